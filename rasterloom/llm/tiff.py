@@ -20,6 +20,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 #: A page of more bytes than this is refused with an error row, so that a forged header can't exhaust memory.
 MAX_PAGE = 1 << 30
+#: Bytes of pixels in an output batch, beyond which the next one begins.
+OUT_BYTES = 4 << 20
 
 
 def packbits_decode(data: bytes) -> bytes:
@@ -241,67 +243,79 @@ def read_pages(media: DataFrame, column: str, keep: list[str]) -> DataFrame:
     the reason in error and null pixels, after the pages before it; the job goes on. Rows are
     independent, so repeated rows repeat their pages. A narrow map, no shuffle.
     """
+    kinds = dict(media.dtypes)
+    return media.select(column, *[k for k in keep if k != column]).mapInArrow(lambda b: page_batches(b, column, keep), ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), PAGES]))
+
+
+def page_batches(batches: Iterator[pa.RecordBatch], column: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The worker's side of read_pages: a few files at a time, so that decoded pages don't pile up."""
     names = [f.split()[0] for f in PAGES.split(", ")]
+    types = [pa.int32()] * 6 + [pa.binary(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, of = [], []
-            for i, cell in enumerate(batch.column(column)):
-                data, page = cell.as_py(), 0
-                if data is None:
-                    continue
-                try:
-                    for order, tags in directories(data):
-                        a = page_pixels(data, order, tags)
-                        rows.append((page, a.shape[1], a.shape[0], a.shape[2], 8 * a.dtype.itemsize, tags.get(COMPRESSION, (1,))[0], a.tobytes(), None))
-                        of.append(i)
-                        page += 1
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows.append((page, *[None] * 6, f"{type(e).__name__}: {e}"))
-                    of.append(i)
-            types = [pa.int32()] * 6 + [pa.binary(), pa.string()]
-            columns = [batch.column(k).take(pa.array(of, pa.int64())) for k in keep]
-            columns += [pa.array([r[j] for r in rows], types[j]) for j in range(8)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+    def out(batch: pa.RecordBatch, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [batch.column(k).take(pa.array(of, pa.int64())) for k in keep]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([r[j] for r in rows], types[j]) for j in range(8))], [*keep, *names])
 
-    kinds = dict(media.dtypes)
-    return media.select(column, *[k for k in keep if k != column]).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), PAGES]))
+    for batch in batches:
+        rows, of, held = [], [], 0
+        for i, cell in enumerate(batch.column(column)):
+            data, page = cell.as_py(), 0
+            if data is None:
+                continue
+            try:
+                for order, tags in directories(data):
+                    a = page_pixels(data, order, tags)
+                    rows.append((page, a.shape[1], a.shape[0], a.shape[2], 8 * a.dtype.itemsize, tags.get(COMPRESSION, (1,))[0], a.tobytes(), None))
+                    of.append(i)
+                    page += 1
+                    held += a.nbytes
+                    if held > OUT_BYTES:
+                        yield out(batch, of, rows)
+                        rows, of, held = [], [], 0
+            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                rows.append((page, *[None] * 6, f"{type(e).__name__}: {e}"))
+                of.append(i)
+        yield out(batch, of, rows)
 
 
 #: Bytes of a row of the page that holds a text.
 ROW = 192
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """Stores each text (null: empty), padded with spaces to whole rows, as one grey page: doc_id, n_bytes, media."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, media = [], []
-            for text in batch.column("text").to_pylist():
-                data = (text or "").encode()
-                n.append(len(data))
-                data = data.ljust(max(ROW, -(-len(data) // ROW) * ROW), b" ")
-                media.append(encode_tiff([np.frombuffer(data, np.uint8).reshape(-1, ROW)]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def media_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stores each text (null: empty), padded with spaces to whole rows, as one grey page."""
+    for batch in batches:
+        n, media = [], []
+        for text in batch.column("text").to_pylist():
+            data = (text or "").encode()
+            n.append(len(data))
+            data = data.ljust(max(ROW, -(-len(data) // ROW) * ROW), b" ")
+            media.append(encode_tiff([np.frombuffer(data, np.uint8).reshape(-1, ROW)]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
-def page_digests(pages: DataFrame) -> DataFrame:
+def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests and features of pages that hold a text: those of the pixels as read back and of the stored file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for pixels, media, w, h in zip(*(batch.column(k).to_pylist() for k in ("pixels", "media", "width", "height")), strict=True):
-                a = np.frombuffer(pixels, np.uint8)
-                share = np.bincount(a, minlength=256) / len(a)
-                bits = -(p := share[share > 0]) @ np.log2(p)
-                feature = f"{w}x{h} mean={a.mean():.4f} std={a.std():.4f} entropy={bits:.4f} edges={np.abs(np.diff(a.reshape(h, w).astype(np.int16), axis=0)).mean() if h > 1 else 0:.4f}"
-                rows.append((len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return pages.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    for batch in batches:
+        rows = []
+        for pixels, media, w, h in zip(*(batch.column(k).to_pylist() for k in ("pixels", "media", "width", "height")), strict=True):
+            a = np.frombuffer(pixels, np.uint8)
+            share = np.bincount(a, minlength=256) / len(a)
+            bits = -(p := share[share > 0]) @ np.log2(p)
+            edges = np.abs(np.diff(a.reshape(h, w).astype(np.int16), axis=0)).mean() if h > 1 else 0
+            feature = f"{w}x{h} mean={a.mean():.4f} std={a.std():.4f} entropy={bits:.4f} edges={edges:.4f}"
+            rows.append((len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        columns = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+
+def text_digests(docs: DataFrame) -> DataFrame:
+    """Per document: its text stored as a TIFF page, read back by the page reader, and digested.
+
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A null
+    text is an empty one: one row of spaces. Equal texts give equal values; repeated rows stay; other
+    columns are ignored. Storing, reading and digesting run in one worker, batch by batch.
+    """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda b: digest_batches(page_batches(media_batches(b), "media", ["doc_id", "n_bytes", "media"])), schema)
