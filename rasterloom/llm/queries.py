@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bwt, tiff
+from . import bitpack, bpe, bwt, tiff
 from .common import table
 
 
@@ -20,11 +20,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = tiff.text_media(table(spark, sf_dir, "documents"))
-    return tiff.page_digests(tiff.read_pages(media, "media", ["doc_id", "n_bytes", "media"]))
+    return tiff.text_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op6_byte_bpe, op8_tiff_media)}
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.tokenise_to_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op6_byte_bpe, op8_tiff_media, op10_token_shards)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {}
