@@ -25,11 +25,13 @@ WORD = re.compile(r"[^\W_]+")
 SAMPLE = 2500
 #: Characters of word beginnings that serve as features beside the whole word.
 STEMS = (3, 4, 5, 6, 7)
-#: Toxic documents that must hold a feature, and its least log odds, for it to mark tokens.
+#: Toxic documents that must hold a feature, after as many different words, and its least log odds, for it to mark tokens.
 SUPPORT, ODDS = 5, 3.0
 #: Tokens of a training segment.
 SEGMENT = 128
 CACHE = 400_000
+#: Marginals below this are no evidence, so that very long texts don't gather it from plain words.
+WEAK = 0.1
 
 
 def word_features(word: str) -> list[str]:
@@ -86,14 +88,17 @@ class ToxicField:
     def __init__(self, docs: list[tuple[str, int]], support: int = SUPPORT, odds: float = ODDS):
         split = [WORD.findall((t or "").lower()) for t, _ in docs]
         label = np.array([y for _, y in docs], int)
-        seen = (Counter(), Counter())
+        seen, places = (Counter(), Counter()), Counter()
+        pairs = {(a, b) for words, y in zip(split, label, strict=True) if y for a, b in zip(["", *words], words, strict=False)}
+        for _, w in pairs:  # a passage that copies repeat is one place
+            places.update(word_features(w))
         for words, y in zip(split, label, strict=True):
             seen[y].update({f for w in set(words) for f in word_features(w)})
         many = (max(1, int((label == 0).sum())), max(1, int(label.sum())))
         marks = {}
         for f, n in seen[1].items():
             gain = np.log((n + 0.5) / (many[1] + 1)) - np.log((seen[0][f] + 0.5) / (many[0] + 1))
-            if n >= support and gain >= odds:
+            if min(n, places[f]) >= support and gain >= odds:
                 marks[f] = gain
         self.index = {f: i for i, f in enumerate(sorted(marks))}
         self.weight, self.bias, self.moves = np.zeros(len(self.index)), -4.0, np.zeros((2, 2))
@@ -155,11 +160,11 @@ class ToxicField:
 
     @staticmethod
     def summary(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A row a text: 1, log odds that any token is toxic, log of 1 + expected toxic tokens."""
+        """A row a text: 1, log odds that any token is toxic."""
         total = lambda a: np.diff(np.concatenate([[0.0], np.cumsum(a)])[starts])
-        none = total(np.log1p(-np.minimum(p, 1 - 1e-9)))
+        none = total(np.where(p < WEAK, 0.0, np.log1p(-np.minimum(p, 1 - 1e-9))))
         any_odds = np.log(np.maximum(-np.expm1(none), 1e-9)) - np.maximum(none, -30)
-        return np.stack([np.ones(len(none)), np.clip(any_odds, -20, 30), np.log1p(np.maximum(total(p), 0))], 1)
+        return np.stack([np.ones(len(none)), np.clip(any_odds, -20, 30)], 1)
 
     def _calibrate(self, split: list[list[str]], label: np.ndarray, rounds: int = 25) -> np.ndarray:
         """Newton's method for a logistic curve over the summaries, held back by a small penalty."""
@@ -167,10 +172,10 @@ class ToxicField:
         starts = np.cumsum([0, *map(len, split)])
         x = self.summary(marginals(np.array(flat), np.unique(starts[:-1][starts[:-1] < len(flat)]), self.moves), starts)
         share = label.mean() if len(label) else 0.0
-        curve = np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0.0, 0.0])
+        curve = np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0.0])
         for _ in range(rounds if len(label) else 0):
             y = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-            hessian = (x * (y * (1 - y))[:, None]).T @ x + 0.05 * len(label) / 1000 * np.eye(3) + 1e-6 * np.eye(3)
+            hessian = (x * (y * (1 - y))[:, None]).T @ x + 0.05 * len(label) / 1000 * np.eye(2) + 1e-6 * np.eye(2)
             curve = curve + np.linalg.solve(hessian, x.T @ (label - y) - 0.05 * len(label) / 1000 * curve)
         return curve
 

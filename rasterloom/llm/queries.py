@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, bwt, crf, langid, tiff, tiling, urls
+from . import bitpack, bpe, bwt, crf, langid, minhash, tiff, tiling, urls
 from .common import crc_mod, table
 
 
@@ -51,6 +51,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, _, _ = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_digests(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.tokenise_to_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_language_id, op4_toxic_spans, op5_string_tiling, op6_byte_bpe, op8_tiff_media, op10_token_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_language_id, op4_toxic_spans, op5_string_tiling, op6_byte_bpe, op7_super_minhash, op8_tiff_media, op10_token_shards)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {}
