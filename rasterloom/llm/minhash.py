@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     described = stage(slim.mapInArrow(_describe, "doc_id long, batch int, n long, identity binary, bands array<long>, sketch binary"), "described")
     usable = described.where("doc_id is not null and n > 0")
     heads = usable.groupBy("identity").agg(F.min("doc_id").alias("head"))
-    nodes = stage(usable.join(heads, (usable.doc_id == heads["head"]) & (usable.identity == heads.identity)).select("doc_id", "batch", "n", usable.identity, "bands", "sketch").dropDuplicates(["doc_id", "identity"]).drop("identity"), "nodes")
+    nodes = stage(usable.join(heads.select("identity", F.col("head").alias("doc_id")), ["identity", "doc_id"]).dropDuplicates(["doc_id", "identity"]).drop("identity"), "nodes")
     members = nodes.select("doc_id", "n", F.explode("bands").alias("band"))
     full = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = stage(members.join(full, "band"), "members")
