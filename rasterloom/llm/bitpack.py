@@ -26,7 +26,7 @@ MAGIC = b"RLTK"
 HEAD = struct.Struct("<4sHHQQII")
 #: Ids of a block, a multiple of 8; 8 ids always end on a byte.
 BLOCK = 1 << 16
-#: Entries of the worker's cache of encoded words; a full cache is emptied.
+#: Entries of each generation of a worker's encoded words.
 CACHE = 250_000
 
 
@@ -114,11 +114,16 @@ class ShardReader:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pre-tokenizer never crosses white space, remembering words.
+    """Encodes texts with a tokenizer that lower-cases and never joins across white space, remembering words.
 
-    Words not seen yet go to the library together, a batch at a time.
+    ASCII is lower-cased and a single end mark cut off beforehand, which the tokenizer would do as well, so
+    that fewer different words are left. Words not seen yet go to the library together, a batch at a time.
+    The memory has two generations: when the young one is full it becomes the old one, and words in use
+    move back.
     """
 
+    MARKS = frozenset(".,;:!?")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -127,17 +132,31 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        known, old, marks = self.known, self.old, self.MARKS
+        for w in [w for w in words if w in old]:
+            known[w] = old[w]
+        words = words - known.keys()
+        ended = [w for w in words if w[-1:] in marks and w[:-1].lower().isalpha()]
+        new = words.difference(ended)
+        new.update(w[:-1] for w in ended)
+        new.update(marks)
+        new = list(new - known.keys())
+        for e, w in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
+            ids = e.ids
+            known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1]]
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        split = [t.replace("\n", " ").split(" ") for t in batch]
-        known = self.known
-        new = list({w for ws in split for w in ws} - known.keys())
-        for e, w in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+            self.known, self.old = {}, self.known
+        split = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in batch]
+        self._learn(set().union(*split) - self.known.keys())
+        get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
