@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, bwt, crf, langid, minhash, tiff, tiling, urls
+from . import bitpack, bpe, bwt, crf, langid, minhash, suffixtree, tiff, tiling, urls
 from .common import crc_mod, table
 
 
@@ -60,11 +60,16 @@ def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffixtree.score(docs.select("doc_id", "text", (crc_mod("doc_id", 5) == 1).alias("held_out")))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.tokenise_to_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_language_id, op4_toxic_spans, op5_string_tiling, op6_byte_bpe, op7_super_minhash, op8_tiff_media, op10_token_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_language_id, op4_toxic_spans, op5_string_tiling, op6_byte_bpe, op7_super_minhash, op8_tiff_media, op9_suffix_tree, op10_token_shards)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {}
