@@ -160,6 +160,16 @@ class WordEncoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """This worker's encoder; it and what it remembers outlast a task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, root: str) -> list[dict]:
     """Encodes docs in ascending doc_id order into one shard file a partition below root; gives the manifest.
 
@@ -170,7 +180,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, root: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encode = WordEncoder(tokenizer_path)
+        encode = word_encoder(tokenizer_path)
         shard = ShardWriter(bits_for(max(encode.vocabulary, end_id + 1)))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
