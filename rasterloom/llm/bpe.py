@@ -168,6 +168,17 @@ class _Chunks(dict):
         return packed
 
 
+_encoders: dict[tuple[str, str], TextEncoder] = {}
+
+
+def text_encoder(ranks_path: str, pattern: str) -> TextEncoder:
+    """This worker's encoder; it and what it remembers outlast a task."""
+    key = (ranks_path, pattern)
+    if key not in _encoders:
+        _encoders[key] = TextEncoder(MonoidBPE(load_ranks(ranks_path)), pattern)
+    return _encoders[key]
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves where asked for.
 
@@ -177,7 +188,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = Fa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(bpe := MonoidBPE(load_ranks(ranks_path)), pattern)
+        encoder = text_encoder(ranks_path, pattern)
+        bpe = encoder.bpe
         for batch in batches:
             n, sha, back, kept = [], [], [], []
             for text in texts(batch):
