@@ -214,6 +214,8 @@ HELD = 24 << 20
 
 
 def _send_contexts(buckets: int, root: str):
+    import zstandard
+
     names = ["bucket", "batch", "hash", "key", "ord", "windows", "bytes"]
 
     def flush(batch: int, held: list) -> Iterator[pa.RecordBatch]:
@@ -229,11 +231,12 @@ def _send_contexts(buckets: int, root: str):
         by = np.argsort(bucket, kind="stable")
         order, bucket = order[by], bucket[by]
         edges = np.append(_runs(bucket), len(order))
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         rows = []
         for a, b in zip(edges, edges[1:], strict=False):
             o = order[a:b]
             pick = np.arange(int(size[o].sum())) + np.repeat(at[o] - (np.cumsum(size[o]) - size[o]), size[o])
-            rows.append((int(bucket[a]), batch, hashes[o].tobytes(), key[o].tobytes(), ids[o].tobytes(), windows[o].tobytes(), data[pick].tobytes()))
+            rows.append((int(bucket[a]), batch, hashes[o].tobytes(), key[o].tobytes(), ids[o].tobytes(), windows[o].tobytes(), squeeze(data[pick].tobytes())))
         types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         for k in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[k : k + 64]], t) for j, t in enumerate(types)], names)
@@ -266,9 +269,12 @@ def _send_contexts(buckets: int, root: str):
 
 def _answer_contexts(sent: pa.Table) -> pa.Table:
     """Per batch: for each of its contexts, its own least id and a bit per window that a smaller id holds too."""
+    import zstandard
+
     sizes = [len(b.as_py()) // 8 for b in sent.column("hash")]
     whole = lambda name, kind: np.frombuffer(b"".join(sent.column(name).to_pylist()), kind)
-    hashes, key, ids, windows, data = whole("hash", "<u8"), whole("key", "<u8"), whole("ord", "<i8"), whole("windows", np.uint8).astype(np.int64), whole("bytes", np.uint8)
+    hashes, key, ids, windows = whole("hash", "<u8"), whole("key", "<u8"), whole("ord", "<i8"), whole("windows", np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(b) for b in sent.column("bytes").to_pylist()), np.uint8)
     size = windows + WINDOW - 1
     at = np.cumsum(size) - size
     order = np.lexsort((ids, hashes))
@@ -371,7 +377,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     slim = staged.select("batch", "ord", "text")
     anchors = slim.mapInArrow(_send_anchors(n), "bucket int, batch int, keys binary, many binary")
     shared = write_answers(in_buckets(anchors, _answer_anchors, "batch int, keys binary"), n, "anchors")
-    contexts = slim.mapInArrow(_send_contexts(n, shared), "bucket int, batch int, hash binary, key binary, ord binary, windows binary, bytes binary")
+    contexts = slim.mapInArrow(_send_contexts(2 * n, shared), "bucket int, batch int, hash binary, key binary, ord binary, windows binary, bytes binary")
     marks = write_answers(in_buckets(contexts, _answer_contexts, "batch int, hash binary, ord binary, mask binary"), n, "marks")
     kinds = dict(docs.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", `{c}` {kinds[c]}" for c in carry)
