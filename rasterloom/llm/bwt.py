@@ -187,7 +187,7 @@ def _send_anchors(buckets: int):
                 yield from flush(now, held)
                 held, now = [], batch
             c = Contexts(*text_bytes(rb.column("text")), hashes=False)
-            ids = rb.column("ord").to_numpy()[c.row]
+            ids = rb.column("_ord").to_numpy()[c.row]
             held.append(_key_extent(c.key, ids, ids))
         yield from flush(now, held)
 
@@ -254,7 +254,7 @@ def _send_contexts(buckets: int, root: str):
             data, offsets = text_bytes(rb.column("text"))
             c = Contexts(data, offsets)
             hit = np.flatnonzero(member(c.key, shared)[1])
-            ids = rb.column("ord").to_numpy()[c.row[hit]]
+            ids = rb.column("_ord").to_numpy()[c.row[hit]]
             order = np.lexsort((ids, c.hash[hit]))
             order = order[_runs(c.hash[hit][order])]
             o, ids = hit[order], ids[order]
@@ -333,7 +333,7 @@ def _mark(root: str, with_text: bool):
                 hit = np.flatnonzero(there)
                 at, n = at[hit], c.windows[hit]
                 bit = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                ids = rb.column("ord").to_numpy()[c.row[hit]]
+                ids = rb.column("_ord").to_numpy()[c.row[hit]]
                 flag = np.repeat(ids != known[1][at], n) | ((np.repeat(known[2][at], n) >> bit.astype(np.uint32)) & np.uint32(1) > 0)
                 start = (np.repeat(c.start[hit], n) + bit)[flag]
                 cover = np.zeros(len(data) + 1, np.int32)
@@ -350,7 +350,7 @@ def _mark(root: str, with_text: bool):
             columns = [rb.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                rest = [i for i, n in enumerate(rb.schema.names) if n not in ("doc_id", "text", "batch", "ord")]
+                rest = [i for i, n in enumerate(rb.schema.names) if n not in ("doc_id", "text", "_batch", "_ord")]
                 columns += [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), *(rb.column(i) for i in rest)]
                 names += ["text", *(rb.schema.names[i] for i in rest)]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -373,12 +373,13 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     """
     with_text = carry is not None
     carry = carry or []
-    staged, n = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("ord"), "text", *carry), "repeats")
-    slim = staged.select("batch", "ord", "text")
+    least_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    staged, n = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), least_id.alias("_ord"), "text", *carry), "repeats")
+    slim = staged.select("_batch", "_ord", "text")
     anchors = slim.mapInArrow(_send_anchors(n), "bucket int, batch int, keys binary, many binary")
     shared = write_answers(in_buckets(anchors, _answer_anchors, "batch int, keys binary"), n, "anchors")
     contexts = slim.mapInArrow(_send_contexts(2 * n, shared), "bucket int, batch int, hash binary, key binary, ord binary, windows binary, bytes binary")
     marks = write_answers(in_buckets(contexts, _answer_contexts, "batch int, hash binary, ord binary, mask binary"), n, "marks")
     kinds = dict(docs.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return (staged if with_text else staged.select("doc_id", "batch", "ord", "text")).mapInArrow(_mark(marks, with_text), schema)
+    return (staged if with_text else staged.select("doc_id", "_batch", "_ord", "text")).mapInArrow(_mark(marks, with_text), schema)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,9 @@ from .common import arrow_fs, shared_path, stage
 
 
 def stage_batches(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """docs with the column batch, rewritten to the shared folder, and the number of batches (at least 1)."""
-    staged = stage(docs.withColumn("batch", F.spark_partition_id()), name)
-    last = staged.agg(F.max("batch")).first()[0]
+    """docs with the column _batch, rewritten to the shared folder, and the number of batches (at least 1)."""
+    staged = stage(docs.withColumn("_batch", F.spark_partition_id()), name)
+    last = staged.agg(F.max("_batch")).first()[0]
     return staged, (last or 0) + 1
 
 
@@ -45,9 +46,9 @@ def read_answer(root: str, batch: int) -> pa.Table | None:
 
 
 def by_batch(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Arrow batches split where the column batch changes."""
+    """Arrow batches split where the column _batch changes."""
     for rb in rows:
-        ids = rb.column("batch").to_numpy()
+        ids = rb.column("_batch").to_numpy()
         at = 0
         while at < len(ids):
             end = at + 1
@@ -63,3 +64,19 @@ def by_batch(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBat
 def in_buckets(sent: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Applies answer to each bucket's rows."""
     return sent.groupBy("bucket").applyInArrow(answer, schema)
+
+
+def without(staged: DataFrame, batches: int, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns of staged rows whose doc_id isn't among gone (doc_id, batch); staged isn't shuffled."""
+    root = write_answers(gone.select("doc_id", "batch").distinct(), batches, "gone")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids = None, None
+        for batch, rb in by_batch(rows):
+            if batch != now:
+                answer, now = read_answer(root, batch), batch
+                ids = answer.column("doc_id").combine_chunks() if answer else pa.array([], pa.int64())
+            yield rb.filter(pc.invert(pc.is_in(rb.column("doc_id"), ids))).select(columns)
+
+    kinds = dict(staged.dtypes)
+    return staged.select("_batch", *columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .exchange import by_batch, read_answer, stage_batches, write_answers
+from .exchange import by_batch, read_answer, stage_batches, without, write_answers
 from .kernel import U64, Spans, lower, mix, text_bytes, words
 
 SHINGLE = 5
@@ -126,7 +126,7 @@ def _describe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(ROWS):
                 band = mix(band * U64(0x9E3779B97F4A7C15) + signature[:, :, k])
             sketch = parity_sketch(h, borders)
-            columns = [part.column("doc_id"), part.column("batch"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in identity], pa.binary()), pa.array([x.tolist() if m else [] for x, m in zip(band.view(np.int64), n, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())]
+            columns = [part.column("doc_id"), part.column("_batch"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in identity], pa.binary()), pa.array([x.tolist() if m else [] for x, m in zip(band.view(np.int64), n, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "batch", "n", "identity", "bands", "sketch"])
 
 
@@ -239,7 +239,7 @@ def _across(table: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(groups, staged documents with the column batch, number of batches).
+    """(groups, staged documents with the column _batch, number of batches).
 
     groups, a row per row of docs: doc_id, batch, n_shingles, component_id (least doc_id that links reach),
     kept. Words are cut at ASCII white space, A-Z lower-cased; a text of 1 to 4 words is one shingle. A
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     through their id. Equal sets are linked without a comparison. An empty table gives no rows.
     """
     staged, batches = stage_batches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "near")
-    slim = staged.select("doc_id", "batch", "text")
+    slim = staged.select("doc_id", "_batch", "text")
     described = stage(slim.mapInArrow(_describe, "doc_id long, batch int, n long, identity binary, bands array<long>, sketch binary"), "described")
     usable = described.where("doc_id is not null and n > 0")
     heads = usable.groupBy("identity").agg(F.min("doc_id").alias("head"))
@@ -284,6 +284,12 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return groups.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), staged, batches
 
 
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """docs without the rows that aren't kept: one document stays of each group."""
+    groups, staged, batches = near_duplicates(docs)
+    return without(staged, batches, groups.where("not kept"), docs.columns)
+
+
 def _sketched(pairs: DataFrame, look: DataFrame) -> DataFrame:
     """Pairs (a, b) that the sketches don't rule out."""
 

@@ -268,7 +268,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     staged, n = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", (~F.col("held_out")).alias("learn"), "text"), "lm")
     tree = learn(staged)
-    sent = staged.select("batch", "learn", "text").mapInArrow(_send_words(n), "bucket int, batch int, keys binary, times binary")
+    sent = staged.select("_batch", "learn", "text").mapInArrow(_send_words(n), "bucket int, batch int, keys binary, times binary")
     root = write_answers(in_buckets(sent, _answer_words, "batch int, keys binary, counts binary, tokens long, kinds long"), n, "words")
     spark = staged.sparkSession
     tokens, kinds = 0, 0
@@ -277,4 +277,4 @@ def score(docs: DataFrame) -> DataFrame:
         tokens, kinds = sums[0] or 0, sums[1] or 0
     held = spark.sparkContext.broadcast(tree)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return staged.select("doc_id", "held_out", "batch", "text").mapInArrow(_score(root, held, tokens, kinds), schema)
+    return staged.select("doc_id", "held_out", "_batch", "text").mapInArrow(_score(root, held, tokens, kinds), schema)

@@ -131,6 +131,16 @@ class Benchmark:
         return np.repeat(where, n), self.of[pick], self.at[pick]
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about BLOCK_BYTES of text."""
+    items = benchmark.selectExpr("item_id", "text").where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for k in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        yield [(r.item_id, r.text) for r in own.collect()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a test item that it gives away.
 
@@ -140,59 +150,72 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Only doc_id, text and item_id, text are read. Documents aren't shuffled: items are held by each
     worker, in blocks of BLOCK_BYTES of text, and documents are scanned once a block.
     """
-    items = benchmark.selectExpr("item_id", "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    out = None
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        part = _scan_block(docs, [(r.item_id, r.text) for r in own.collect()], coverage)
+    own, out = docs.selectExpr("cast(doc_id as long) doc_id", "text"), None
+    for items in _blocks(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known, memory = Benchmark(held.value), {}
+            for batch in batches:
+                found = leaks(known, texts(batch), coverage, memory)
+                columns = [batch.column("doc_id").take(pa.array([r[0] for r in found], pa.int64()))]
+                columns += [pa.array([r[j] for r in found], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.float64()), (5, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "matched_tokens", "item_tokens", "coverage", "n_tiles"])
+
+        part = own.mapInArrow(run, "doc_id long, item_id long, matched_tokens long, item_tokens long, coverage double, n_tiles long")
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def _scan_block(docs: DataFrame, items: list[tuple[int, str]], least: float) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memory = Benchmark(held.value), {}
-        get = known.vocabulary.get
-        for batch in batches:
-            ids, lengths = [], []
-            for text in texts(batch):
-                own = [get(w, 0) for w in words_of(text)]
-                ids += own
-                ids += [0] * SEED
-                lengths.append(len(own) + SEED)
-            flat = np.array(ids, np.int64)
-            starts = np.cumsum([0, *lengths])
-            position, of, at = known.hits(flat)
-            row = np.searchsorted(starts, position, "right") - 1
-            order = np.lexsort((of, row))
-            position, of, at, row = position[order], of[order], at[order], row[order]
-            edges = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(of, prepend=-1))
-            out = []
-            for a, b in zip(edges, [*edges[1:], len(row)], strict=True):
-                item = known.items[of[a]]
-                reach = np.zeros(len(item), bool)
-                for k in range(SEED):
-                    reach[at[a:b] + k] = True
-                if reach.sum() < least * len(item):
-                    continue
-                doc = _near(flat, starts[row[a]], starts[row[a] + 1], position[a:b])
-                key = (int(of[a]), doc.tobytes())
-                if (got := memory.get(key)) is None:
-                    found = tiles(doc, item)
-                    if len(memory) > 5000:
-                        memory.clear()
-                    got = memory[key] = (sum(t[0] for t in found), len(found))
-                if got[0] >= least * len(item):
-                    out.append((int(row[a]), known.ids[of[a]], got[0], len(item), got[0] / len(item), got[1]))
-            columns = [batch.column("doc_id").take(pa.array([r[0] for r in out], pa.int64()))]
-            columns += [pa.array([r[j] for r in out], t) for j, t in enumerate((None, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())) if t]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "matched_tokens", "item_tokens", "coverage", "n_tiles"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, item_id long, matched_tokens long, item_tokens long, coverage double, n_tiles long")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """docs without the rows that give an item away; null and empty texts stay. See contaminated."""
+    for items in _blocks(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known, memory = Benchmark(held.value), {}
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                clean[[r[0] for r in leaks(known, texts(batch), coverage, memory)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def leaks(known: Benchmark, batch: list[str], least: float, memory: dict) -> list[tuple]:
+    """(row, item id, matched tokens, item's tokens, coverage, tiles) of each text and item that it gives away."""
+    get, ids, lengths = known.vocabulary.get, [], []
+    for text in batch:
+        own = [get(w, 0) for w in words_of(text)]
+        ids += own
+        ids += [0] * SEED
+        lengths.append(len(own) + SEED)
+    flat = np.array(ids, np.int64)
+    starts = np.cumsum([0, *lengths])
+    position, of, at = known.hits(flat)
+    row = np.searchsorted(starts, position, "right") - 1
+    order = np.lexsort((of, row))
+    position, of, at, row = position[order], of[order], at[order], row[order]
+    edges = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+    out = []
+    for a, b in zip(edges, [*edges[1:], len(row)], strict=False):
+        item = known.items[of[a]]
+        reach = np.zeros(len(item), bool)
+        for k in range(SEED):
+            reach[at[a:b] + k] = True
+        if reach.sum() < least * len(item):
+            continue
+        doc = _near(flat, starts[row[a]], starts[row[a] + 1], position[a:b])
+        key = (int(of[a]), doc.tobytes())
+        if (got := memory.get(key)) is None:
+            found = tiles(doc, item)
+            if len(memory) > 5000:
+                memory.clear()
+            got = memory[key] = (sum(t[0] for t in found), len(found))
+        if got[0] >= least * len(item):
+            out.append((int(row[a]), known.ids[of[a]], got[0], len(item), got[0] / len(item), got[1]))
+    return out
 
 
 def _near(flat: np.ndarray, start: int, end: int, seeds: np.ndarray) -> np.ndarray:
