@@ -27,7 +27,7 @@ HEAD = struct.Struct("<4sHHQQII")
 #: Ids of a block, a multiple of 8; 8 ids always end on a byte.
 BLOCK = 1 << 16
 #: Entries of each generation of a worker's encoded words.
-CACHE = 250_000
+CACHE = 450_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -58,21 +58,26 @@ class ShardWriter:
 
     def __init__(self, bits: int):
         self.bits, self.ids, self.counts = bits, [], []
-        self.rest, self.blocks, self.tokens = np.zeros(0, np.uint32), [], 0
+        self.rest, self.waiting, self.blocks, self.tokens = [], 0, [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.counts.append(len(ids))
         self.tokens += len(ids)
-        self.rest = np.concatenate([self.rest, ids]) if len(self.rest) else ids
-        while len(self.rest) >= BLOCK:
-            self.blocks.append(pack(self.rest[:BLOCK], self.bits))
-            self.rest = self.rest[BLOCK:]
+        self.rest.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= 4 * BLOCK:
+            self._pack(self.waiting // BLOCK)
+
+    def _pack(self, blocks: int) -> None:
+        whole = np.concatenate(self.rest)
+        self.blocks += [pack(whole[k * BLOCK : (k + 1) * BLOCK], self.bits) for k in range(blocks)]
+        self.rest = [whole[blocks * BLOCK :]]
+        self.waiting = len(self.rest[0])
 
     def write(self, f) -> None:
-        if len(self.rest):
-            self.blocks.append(pack(self.rest, self.bits))
-            self.rest = self.rest[:0]
+        if self.waiting:
+            self._pack(-(-self.waiting // BLOCK))
         f.write(HEAD.pack(MAGIC, 1, self.bits, len(self.ids), self.tokens, BLOCK, 0))
         f.write(np.array([i or 0 for i in self.ids], "<i8").tobytes())
         f.write(np.array([i is None for i in self.ids], np.uint8).tobytes())
