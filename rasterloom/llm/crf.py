@@ -22,7 +22,7 @@ from .common import texts
 
 WORD = re.compile(r"[^\W_]+")
 #: Labelled documents of each class that are trained on, about; drawn by a hash of the id.
-SAMPLE = 2500
+SAMPLE = 2000
 #: Characters of word beginnings that serve as features beside the whole word.
 STEMS = (3, 4, 5, 6, 7)
 #: Toxic documents that must hold a feature, after as many different words, and its least log odds, for it to mark tokens.
@@ -88,17 +88,23 @@ class ToxicField:
     def __init__(self, docs: list[tuple[str, int]], support: int = SUPPORT, odds: float = ODDS):
         split = [WORD.findall((t or "").lower()) for t, _ in docs]
         label = np.array([y for _, y in docs], int)
-        seen, places = (Counter(), Counter()), Counter()
+        frequent = {w for w, n in Counter(w for words, y in zip(split, label, strict=True) if y for w in set(words)).items() if n >= support}
+        toxic, places, plain = Counter(), Counter(), Counter()
+        for words, y in zip(split, label, strict=True):
+            if y:
+                toxic.update({f for w in set(words) for f in word_features(w) if f[0] != "=" or w in frequent})
+        toxic = {f: n for f, n in toxic.items() if n >= support}
         pairs = {(a, b) for words, y in zip(split, label, strict=True) if y for a, b in zip(["", *words], words, strict=False)}
         for _, w in pairs:  # a passage that copies repeat is one place
-            places.update(word_features(w))
+            places.update(f for f in word_features(w) if f in toxic)
         for words, y in zip(split, label, strict=True):
-            seen[y].update({f for w in set(words) for f in word_features(w)})
+            if not y:
+                plain.update({f for w in set(words) for f in word_features(w) if f in toxic})
         many = (max(1, int((label == 0).sum())), max(1, int(label.sum())))
         marks = {}
-        for f, n in seen[1].items():
-            gain = np.log((n + 0.5) / (many[1] + 1)) - np.log((seen[0][f] + 0.5) / (many[0] + 1))
-            if min(n, places[f]) >= support and gain >= odds:
+        for f, n in toxic.items():
+            gain = np.log((n + 0.5) / (many[1] + 1)) - np.log((plain[f] + 0.5) / (many[0] + 1))
+            if places[f] >= support and gain >= odds:
                 marks[f] = gain
         self.index = {f: i for i, f in enumerate(sorted(marks))}
         self.weight, self.bias, self.moves = np.zeros(len(self.index)), -4.0, np.zeros((2, 2))
