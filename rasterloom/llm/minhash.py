@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     final = components(links.unionAll(more).unionAll(same))
     heads_of = heads.join(final, heads["head"] == final.node, "left").select("identity", "head", F.coalesce("component", "head").alias("component"))
     groups = described.join(heads_of, "identity", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     groups = groups.select("doc_id", "batch", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return groups.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), staged, batches
 
