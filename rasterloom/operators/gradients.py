@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import eased, width_pixels
 
-_ROW, _TALL = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
+
+def _row():
+    return W.partitionBy("image_id", "y").orderBy("x")
+
+
+def _tall():
+    return W.partitionBy("image_id", "x").orderBy("y")
 
 
 def edges(indexed: DataFrame, width: int) -> DataFrame:
@@ -18,10 +24,10 @@ def edges(indexed: DataFrame, width: int) -> DataFrame:
     two pixels, then those of the neighbour's row at x - 1 to x + 1 that have its cluster.
     """
     t = indexed.select("image_id", "y", "x", "idx", "v")
-    t = t.withColumn("me", F.struct("idx", "v")).withColumn("down", F.lead("me").over(_TALL))
+    t = t.withColumn("me", F.struct("idx", "v")).withColumn("down", F.lead("me").over(_tall()))
     near = {"left": F.lag("me"), "right": F.lead("me"), "dl": F.lag("down"), "dr": F.lead("down")}
     for name, value in near.items():
-        t = t.withColumn(name, value.over(_ROW))
+        t = t.withColumn(name, value.over(_row()))
 
     def side(nth: int, other: str, before: str, own: str, after: str):
         around = F.filter(F.array(before, own, after), lambda s: s["idx"] == F.col(other)["idx"])
@@ -105,7 +111,7 @@ def blended(decoded: DataFrame, edges: DataFrame, descriptors: DataFrame, width:
     the neighbour. The last write of a pixel stands (raster order, then +x, -x, +y, -y, then outwards).
     """
     t = decoded.select("image_id", "y", "x", "idx", "recon").withColumn("me", F.struct("idx", "recon"))
-    for name, f, window in (("e", F.lead, _ROW), ("w", F.lag, _ROW), ("s", F.lead, _TALL), ("n", F.lag, _TALL)):
+    for name, f, window in (("e", F.lead, _row()), ("w", F.lag, _row()), ("s", F.lead, _tall()), ("n", F.lag, _tall())):
         t = t.withColumn(name, f("me").over(window))
     sides = [("e", "w", 1, 0), ("w", "e", -1, 0), ("s", "n", 0, 1), ("n", "s", 0, -1)]
     t = t.select("image_id", "y", "x", F.col("idx").alias("ca"), F.col("recon").alias("pa"), F.explode(F.array(*(F.struct(F.lit(k).alias("nb"), F.col(a)["idx"].alias("cb"), F.col(a)["recon"].alias("pb"), F.col(o)["idx"].alias("behind"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (a, o, dx, dy) in enumerate(sides)))).alias("s"))

@@ -39,13 +39,13 @@ def median3(planes: DataFrame) -> DataFrame:
 
 
 def bilateral(planes: DataFrame, radius: int = 2, space: float = 5.0, tone: float = 5.0) -> DataFrame:
-    """Bilateral filter, borders clamped, truncated to whole values: image_id, y, x, f."""
+    """Bilateral filter, borders clamped, truncated to whole values (sums a billionth short count as whole): image_id, y, x, f."""
     top, weight, side = F.lit(0.0), F.lit(0.0), 2 * radius + 1
     for k in range(side * side):
         d2 = (k // side - radius) ** 2 + (k % side - radius) ** 2
         w = F.exp(F.lit(-d2 / (2 * space * space)) - F.pow(F.col("nb")[k] - F.col("v"), F.lit(2.0)) / (2 * tone * tone))
         top, weight = top + w * F.col("nb")[k], weight + w
-    return neighbourhood(planes, "v", radius).select("image_id", "y", "x", F.floor(top / weight).cast("int").alias("f"))
+    return neighbourhood(planes, "v", radius).select("image_id", "y", "x", F.floor(top / weight + 1e-9).cast("int").alias("f"))
 
 
 def soft_lowpass(planes: DataFrame, strength: float = 0.2, radius: int = 1) -> DataFrame:

@@ -365,7 +365,7 @@ ORACLE: dict[str, str] = {
     "idct_roundtrip": f"with {PX} select image_id, y, x, round(v, 6) as v from px",
     "gauss3": f"with {BIG}, lim as (select max(y) as my, max(x) as mx from big) select image_id, y, x, round(sum(v * (2 - abs(dy)) * (2 - abs(dx)) / 16.0), 6) as g from {_CLAMP.format(r=1, n=3)} group by image_id, y, x",
     "median3": f"with {BIG}, lim as (select max(y) as my, max(x) as mx from big) select image_id, y, x, cast(list_sort(list(v))[5] as double) as m from {_CLAMP.format(r=1, n=3)} group by image_id, y, x",
-    "bilateral": f"with {BIG}, lim as (select max(y) as my, max(x) as mx from big), n as (select *, exp(-(dx * dx + dy * dy) / 50.0 - (v - own) * (v - own) / 50.0) as w from {_CLAMP.format(r=2, n=5)}) select image_id, y, x, cast(floor(sum(w * v) / sum(w)) as int) as f from n group by image_id, y, x",
+    "bilateral": f"with {BIG}, lim as (select max(y) as my, max(x) as mx from big), n as (select *, exp(-(dx * dx + dy * dy) / 50.0 - (v - own) * (v - own) / 50.0) as w from {_CLAMP.format(r=2, n=5)}) select image_id, y, x, cast(floor(sum(w * v) / sum(w) + 1e-9) as int) as f from n group by image_id, y, x",
     "soft_lowpass": f"with {PX}, n as (select a.image_id, a.y, a.x, a.v as own, b.v, exp(-((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)) / 1.125) as w from px a join px b on a.image_id = b.image_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1) select image_id, y, x, round(any_value(own) * 0.8 + sum(w * v) / sum(w) * 0.2, 6) as s from n group by image_id, y, x",
     "near_boundary": f"{BASE} select image_id, y, x from ix a where exists (select 1 from ix b where b.image_id = a.image_id and abs(a.y - b.y) + abs(a.x - b.x) = 1 and a.idx <> b.idx)",
     "mse_psnr": f"{BASE}, e as (select image_id, avg(power(v - q, 2)) as mse from ({_DECODE}) group by all) select image_id, round(mse, 9) as mse, round(10 * log10(65025 / mse), 5) as psnr from e",
