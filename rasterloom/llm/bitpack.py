@@ -10,17 +10,20 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fs, shared_path, texts
+from .common import arrow_fs, shared_path
 
 MAGIC = b"RLTK"
 HEAD = struct.Struct("<4sHHQQII")
@@ -121,13 +124,15 @@ class ShardReader:
 class WordEncoder:
     """Encodes texts with a tokenizer that lower-cases and never joins across white space, remembering words.
 
-    ASCII is lower-cased and a single end mark cut off beforehand, which the tokenizer would do as well, so
-    that fewer different words are left. Words not seen yet go to the library together, a batch at a time.
-    The memory has two generations: when the young one is full it becomes the old one, and words in use
-    move back.
+    Arrow lower-cases ASCII, splits at spaces and line feeds and numbers a batch's different words, so Python
+    meets each of them once a batch. An end of ASCII marks is cut off a word of letters, which the tokenizer
+    would do as well. Words not seen yet go to the library together; words of letters are joined by spaces and
+    told apart by the end-of-word mark of their last token, if there is exactly one mark a word. The memory
+    has two generations: when the young one is full it becomes the old one, and words in use move back.
     """
 
-    MARKS = frozenset(".,;:!?")
+    MARKS = "".join(c for c in string.punctuation if c != "'")
+    JOINED = 256
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,33 +141,64 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.last = np.zeros(self.vocabulary, bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        known, old, marks = self.known, self.old, self.MARKS
-        for w in [w for w in words if w in old]:
-            known[w] = old[w]
-        words = words - known.keys()
-        ended = [w for w in words if w[-1:] in marks and w[:-1].lower().isalpha()]
-        new = words.difference(ended)
-        new.update(w[:-1] for w in ended)
-        new.update(marks)
-        new = list(new - known.keys())
-        for e, w in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-            ids = e.ids
-            known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for w in ended:
-            known[w] = known[w[:-1]] + known[w[-1]]
-
-    def __call__(self, batch: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
+    @staticmethod
+    def _letters(word: str) -> bool:
+        return word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters alone."""
+        groups = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
+        odd = []
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group):
+                odd += group
+                continue
+            packed, at = ids.tobytes(), 0
+            for w, end in zip(group, (ends * 4).tolist(), strict=True):
+                self.known[w] = packed[at:end]
+                at = end
+        self.known.update((w, ids.tobytes()) for w, ids in zip(odd, self._encode(odd), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        known, old = self.known, self.old
+        known.update((w, old[w]) for w in words if w in old)
+        words = [w for w in words if w not in known]
+        ended = {w: len(body) for w in words if 0 < len(body := w.rstrip(self.MARKS)) < len(w) and self._letters(body)}
+        new = {part for w in words for part in ((w[: ended[w]], w[ended[w] :]) if w in ended else (w,)) if part not in known}
+        plain = [w for w in new if self._letters(w)]
+        other = list(new.difference(plain))
+        self._encode_words(plain)
+        known.update((w, ids.tobytes()) for w, ids in zip(other, self._encode(other), strict=True))
+        for w, n in ended.items():
+            known[w] = known[w[:n]] + known[w[n:]]
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of a string column's texts, one text after another; each text's count of ids); null is empty."""
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
-        split = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in batch]
-        self._learn(set().union(*split) - self.known.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        lower = pc.replace_substring(pc.ascii_lower(pc.fill_null(column, "")), "\n", " ")
+        split = pc.split_pattern(lower, " ")
+        ends = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in words if w not in self.known])
+        packed = [self.known[w] for w in words]
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        starts, flat, at = np.cumsum(size) - size, np.frombuffer(b"".join(packed), "<u4"), coded.indices.to_numpy()
+        count = size[at]
+        before = np.append(0, np.cumsum(count))
+        ids = flat[np.repeat(starts[at] - before[:-1], count) + np.arange(before[-1])]
+        return ids, np.diff(before[ends])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -187,10 +223,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, root: str) -
         task = TaskContext.get()
         encode = word_encoder(tokenizer_path)
         shard = ShardWriter(bits_for(max(encode.vocabulary, end_id + 1)))
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encode(texts(batch)), strict=True):
-                shard.add(doc_id, np.frombuffer(packed + end, "<u4"))
+            ids, counts = encode(batch.column("text"))
+            ends = np.cumsum(counts)
+            ids = np.insert(ids, ends, end_id)
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1]), strict=True):
+                shard.add(doc_id, own)
         if not shard.ids:
             return
         fs, path = arrow_fs(root)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -113,6 +114,19 @@ def test_token_shards(spark):
         assert np.array_equal(bitpack.unpack(bitpack.pack(v, bits), bits, len(v)), v)
 
 
+def test_word_encoder():
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    tok, own = Tokenizer.from_file(path), bitpack.WordEncoder(path)
+    tok.encode_special_tokens = True
+    texts = ["".join(r.choices("aAbZé\u0130'st dl.,;%%$<>=~\u0338\u093c\u0915\u0958\n\t\xa012\u0663\ud55c\u1112 \u1161-_|\ufb01\U0001f600 ", k=r.randrange(60))) for _ in range(2000)]
+    texts += [None, "", "don't", "it's!", "<|endoftext|>", " word" * 1000]
+    for _ in range(2):
+        ids, counts = own(pa.array(texts))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        own.known, own.old = {}, own.known
+    assert not sum(map(len, own(pa.array([], pa.string()))))
+
+
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("tile", [None, (16, 32)])
 def test_tiff_round_trip(compression, tile):
