@@ -85,21 +85,38 @@ def segments(edges: DataFrame, indexed: DataFrame, size: int, bump: bool = True)
     return t.withColumn("width", F.least(F.lit(3), F.col("width") + 1)) if bump else t
 
 
-def descriptors(segments: DataFrame, threshold: float) -> DataFrame:
-    """Emitted descriptors: image_id, queue_idx, lo, hi, first_x, first_y, shape, direction, width, change.
-
-    A segment emits if it is its pair's first, or differs from the last emitted descriptor by the threshold or
-    in direction. Up to 1.0 that is a change against the previous segment (of any field up to 0.3, else of
-    shape or direction), so a lag suffices; larger thresholds would need a fold and are refused.
-    """
-    if threshold > 1.0:
-        raise ValueError("thresholds above 1.0 are not supported")
+def _emitted_by_lag(segments: DataFrame, threshold: float) -> DataFrame:
     fields = ("shape", "direction", "width") if threshold <= 0.3 else ("shape", "direction")
     pair = W.partitionBy("image_id", "lo", "hi").orderBy("seg")
     differs = F.lit(False)
     for f in fields:
         differs = differs | (F.col(f) != F.lag(f).over(pair))
-    t = segments.withColumn("emits", (F.col("seg") == 0) | F.coalesce(differs, F.lit(False))).where("emits")
+    return segments.withColumn("emits", (F.col("seg") == 0) | F.coalesce(differs, F.lit(False))).where("emits")
+
+
+def _emitted_by_fold(segments: DataFrame, threshold: float) -> DataFrame:
+    """One array a pair and image, folded in order; distances are counted in tenths, which are whole numbers."""
+
+    def step(out, s):
+        last = F.element_at(out, -1)
+        tenths = sum((F.when(last[f] != s[f], n).otherwise(0) for f, n in (("shape", 10), ("direction", 5), ("width", 3))), F.lit(0))
+        emits = (tenths >= F.lit(threshold * 10 - 1e-6)) | (last["direction"] != s["direction"])
+        return F.when(emits, F.concat(out, F.array(s))).otherwise(out)
+
+    rest = [c for c in segments.columns if c not in ("image_id", "lo", "hi")]
+    t = segments.groupBy("image_id", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("seg", *(c for c in rest if c != "seg")))).alias("all"))
+    t = t.select("image_id", "lo", "hi", F.explode(F.aggregate("all", F.slice("all", 1, 1), step)).alias("s"))
+    return t.select("image_id", "lo", "hi", "s.*")
+
+
+def descriptors(segments: DataFrame, threshold: float) -> DataFrame:
+    """Emitted descriptors: image_id, queue_idx, lo, hi, first_x, first_y, shape, direction, width, change.
+
+    A segment emits if it is its pair's first, or differs from the last emitted descriptor by the threshold (shape
+    counts 1.0, direction 0.5, width 0.3) or in direction. Up to 1.0 that is a change against the previous segment
+    (of any field up to 0.3, else of shape or direction), so a lag suffices; above, a pair's segments are folded.
+    """
+    t = _emitted_by_fold(segments, threshold) if threshold > 1.0 else _emitted_by_lag(segments, threshold)
     queue = (F.row_number().over(W.partitionBy("image_id").orderBy("flush")) - 1).cast("long")
     return t.select("image_id", queue.alias("queue_idx"), "lo", "hi", "first_x", "first_y", "shape", "direction", "width", (F.col("seg") > 0).alias("change"))
 

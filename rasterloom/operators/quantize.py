@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,10 +17,26 @@ def bucketed(planes: DataFrame, epsilon: float) -> DataFrame:
     return planes.withColumn("k", F.floor(F.col("v") / F.lit(float(epsilon))).cast("int"))
 
 
+def _bucket_keys(epsilon: tuple[float, float, float]) -> list[Column]:
+    return [F.floor(F.col(c) / F.lit(float(e))).cast("int").alias(f"k{c}") for c, e in zip("lab", epsilon, strict=True)]
+
+
+def voxelled(lab: DataFrame, epsilon: tuple[float, float, float]) -> DataFrame:
+    """Pixels (l, a, b) with their 3-D bucket kl, ka, kb."""
+    return lab.select("*", *_bucket_keys(epsilon))
+
+
+def colour_palette(indexed: DataFrame) -> DataFrame:
+    """Mean colour of each cluster and its pixels' greatest distance from it: image_id, idx, l, a, b, error."""
+    mean = indexed.groupBy("image_id", "idx").agg(*(F.avg(c).alias(f"m{c}") for c in "lab"))
+    distance = F.sqrt(sum((F.pow(F.col(c) - F.col(f"m{c}"), F.lit(2.0)) for c in "lab"), F.lit(0.0)))
+    t = indexed.join(mean, ["image_id", "idx"]).groupBy("image_id", "idx", *(f"m{c}" for c in "lab")).agg(F.max(distance).alias("error"))
+    return t.select("image_id", "idx", *(F.col(f"m{c}").alias(c) for c in "lab"), "error")
+
+
 def voxels(lab: DataFrame, epsilon: tuple[float, float, float]) -> DataFrame:
     """Occupied 3-D buckets of pixels (image_id, l, a, b): kl, ka, kb, n and sums."""
-    keys = [F.floor(F.col(c) / F.lit(float(e))).cast("int").alias(f"k{c}") for c, e in zip("lab", epsilon, strict=True)]
-    return lab.groupBy("image_id", *keys).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in "lab"))
+    return lab.groupBy("image_id", *_bucket_keys(epsilon)).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in "lab"))
 
 
 def bounded_runs(planes: DataFrame, epsilon: float, steps: int) -> tuple[DataFrame, DataFrame]:

@@ -104,12 +104,14 @@ def upsample_nearest(small: DataFrame, column: str, width: int, height: int) ->
 def nearest_to_midpoint(pairs: DataFrame, palette: DataFrame) -> DataFrame:
     """(image_id, a, b, idx): the palette entry nearest to the middle of entries a and b; ties take the least idx.
 
+    Distances that agree to nine decimals tie: a and b themselves always do, whatever the order of their sums.
+
     Distinct pairs join their image's palette; the palette is small, the pairs are what is distributed.
     """
     value = lambda name: palette.select("image_id", F.col("idx").alias(name), F.col("value").alias(f"v{name}"))
     t = pairs.select("image_id", "a", "b").distinct().join(value("a"), ["image_id", "a"]).join(value("b"), ["image_id", "b"])
     t = t.join(palette.select("image_id", "idx", "value"), "image_id")
-    best = F.min(F.struct(F.abs(F.col("value") - (F.col("va") + F.col("vb")) / 2).alias("d"), F.col("idx")))
+    best = F.min(F.struct(F.round(F.abs(F.col("value") - (F.col("va") + F.col("vb")) / 2), 9).alias("d"), F.col("idx")))
     return t.groupBy("image_id", "a", "b").agg(best.alias("m")).select("image_id", "a", "b", F.col("m.idx").alias("idx"))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import entropy, gradients, quantize, stencil
-from ..sources import container
+from ..operators import entropy, gradients, quantize, resample, stencil
+from ..sources import container, older
 from ..sources import relations as R
 from . import layers
 
@@ -203,6 +203,12 @@ def change_points(spark, d):
     return gradients.descriptors(_segments(spark, d)[3], 0.25)
 
 
+def change_points_strict(spark, d):
+    """Segments of two edges and a threshold that only two changed fields reach."""
+    ix, _ = _indexed(spark, d)
+    return gradients.descriptors(gradients.segments(gradients.edges(ix, EDGE), ix, 2), 1.2)
+
+
 def apply_gradients(spark, d):
     ix, palette, edge, seg = _segments(spark, d)
     return gradients.blended(quantize.decoded(ix, palette), edge, gradients.descriptors(seg, 0.25), EDGE).select("image_id", "y", "x", *_r("recon"))
@@ -228,6 +234,45 @@ def upsample_nearest(spark, d):
     return stencil.upsample_nearest(stencil.subsample(R.planes_of_embeddings(spark, d), "v"), "v", 8, 8).select("image_id", "y", "x", *_r("v"))
 
 
+def _upsampled(spark, d, odd: bool) -> DataFrame:
+    ix, palette = _indexed(spark, d)
+    return resample.upsample_index(stencil.subsample(ix, "idx", odd=odd), palette, 8, 8, odd)
+
+
+def upsample_index_odd(spark, d):
+    return _upsampled(spark, d, True)
+
+
+def upsample_index_even(spark, d):
+    return _upsampled(spark, d, False)
+
+
+def _colour_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The index matrix of Lab images and its palette: image_id, idx, l, a, b, error."""
+    steps = (5.0, 5.0, 5.0)
+    lab = _lab(R.rgb_of_embeddings(spark, d))
+    clusters = quantize.cover(quantize.voxels(lab, steps), 2).withColumnRenamed("cluster", "idx")
+    ix = quantize.voxelled(lab, steps).join(clusters, ["image_id", "kl", "ka", "kb"])
+    return ix, quantize.colour_palette(ix)
+
+
+def upsample_index_box(spark, d):
+    ix, palette = _colour_index(spark, d)
+    return resample.upsample_index(stencil.subsample(ix, "idx"), palette, 4, 4, nearest=resample.nearest_in_box)
+
+
+def colour_palette(spark, d):
+    return _colour_index(spark, d)[1].select("image_id", "idx", *_r("l", "a", "b", "error", digits=5))
+
+
+def container_first(spark, d):
+    return older.read_older(older.write_older(*_colour_index(spark, d), 1), 1)
+
+
+def container_second(spark, d):
+    return older.read_older(older.write_older(*_colour_index(spark, d), 2), 2)
+
+
 def nearest_palette(spark, d):
     ix, palette = _indexed(spark, d)
     pairs = gradients.first_seen(gradients.edges(ix, EDGE)).select("image_id", F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -318,8 +363,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         quantised_run_statistics, lab_convert, lab_roundtrip, lab_roundtrip_legacy, voxel_agg, quantize_bfs1d, quantize_direct, signal_palette, palette_decode, residual_plane, cluster_error, plane_ranges, half_float, descriptor_codes, easing,
-        med_encode, med_decode, rle, rle_roundtrip, run_key_freq, huffman_codes, huffman_bits, size_report, edges, pair_first_seen, segments, segment_shapes, change_points, apply_gradients, reconstruct, pyramid,
-        subsample_odd, subsample_even, upsample_nearest, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, bfs3d, container_roundtrip, png_files,
+        med_encode, med_decode, rle, rle_roundtrip, run_key_freq, huffman_codes, huffman_bits, size_report, edges, pair_first_seen, segments, segment_shapes, change_points, change_points_strict, apply_gradients, reconstruct, pyramid,
+        subsample_odd, subsample_even, upsample_nearest, upsample_index_odd, upsample_index_even, upsample_index_box, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, bfs3d, colour_palette, container_first, container_second, container_roundtrip, png_files,
     )
 }
 
@@ -330,7 +375,22 @@ _DCT = "cs as (select u, i, sqrt((case when u = 0 then 1 else 2 end) / 8.0) * co
 _CLAMP = "(select a.image_id, a.y, a.x, a.r as own, o.dy, o.dx, b.r as v from big a, lim l, (select i - {r} as dy, j - {r} as dx from range({n}) s(i), range({n}) t(j)) o, big b where b.y = least(l.my, greatest(0, a.y + o.dy)) and b.x = least(l.mx, greatest(0, a.x + o.dx)))"
 _ZZ = "zz as (select r, c, cast(row_number() over (order by r + c, case when (r + c) % 2 = 1 then r else c end) - 1 as int) as k from range(8) a(r), range(8) b(c))"
 
+
+
+def _upsample_sql(first: int) -> str:
+    def filled(out: str, source: str, axis: str, other: str) -> str:
+        at = f"2 * s.{axis} + {first}"
+        part = ", ".join(f"max(case when {at} = g.p + {d} then s.idx end) as {n}" for d, n in ((0, "own"), (-1, "p"), (1, "q")))
+        return f"{out}0 as (select s.image_id, s.{other}, g.p as {axis}, {part} from {source} s join range(8) g(p) on abs({at} - g.p) <= 1 group by s.image_id, s.{other}, g.p), {out} as (select t.image_id, y, x, coalesce(own, near.idx) as idx from {out}0 t left join near on near.image_id = t.image_id and near.a = coalesce(p, q) and near.b = coalesce(q, p))"
+
+    near = "near as (select a.image_id, a.idx as a, b.idx as b, c.idx from pal a join pal b using (image_id) join pal c using (image_id) qualify row_number() over (partition by a.image_id, a.idx, b.idx order by round(abs(c.value - (a.value + b.value) / 2), 9), c.idx) = 1)"
+    small = f"small as (select image_id, y // 2 as y, x // 2 as x, idx from ix where y % 2 = {first} and x % 2 = {first})"
+    return f"{BASE}, {near}, {small}, {filled('wide', 'small', 'x', 'y')}, {filled('tall', 'wide', 'y', 'x')} select image_id, cast(y as int) as y, cast(x as int) as x, idx from tall"
+
+
 ORACLE: dict[str, str] = {
+    "upsample_index_odd": _upsample_sql(1),
+    "upsample_index_even": _upsample_sql(0),
     "quantised_run_statistics": f"{BASE}, {MED}, {RUNS} select image_id, count(*) as n_runs, max(len) as max_run, cast(sum(len) as bigint) as pixels, any_value(size)::bigint as palette_size from runs join sz using (image_id) group by image_id",
     "lab_convert": f"with {RGB}, {_LABS} select image_id, y, x, round(l, 5) as l, round(a, 5) as a, round(b, 5) as b from lb",
     "lab_roundtrip": f"with {RGB}, {_LABS} select image_id, y, x, " + ", ".join(f"{_plain(e)} as {n}" for e, n in zip(scalar.rgb(), "rgb", strict=True)) + " from lb",
@@ -358,7 +418,7 @@ ORACLE: dict[str, str] = {
     "subsample_odd": f"with {PX} select image_id, cast(y // 2 as int) as y, cast(x // 2 as int) as x, round(v, 6) as v from px where x % 2 = 1 and y % 2 = 1",
     "subsample_even": f"with {PX} select image_id, cast(y // 2 as int) as y, cast(x // 2 as int) as x, round(v, 6) as v from px where x % 2 = 0 and y % 2 = 0",
     "upsample_nearest": f"with {PX} select p.image_id, g.y, g.x, round(p.v, 6) as v from (select cast(i as int) as y, cast(j as int) as x, greatest(0, i - 1) // 2 as sy, greatest(0, j - 1) // 2 as sx from range(8) a(i), range(8) b(j)) g join px p on p.y = 2 * g.sy + 1 and p.x = 2 * g.sx + 1",
-    "nearest_palette": f"{BASE}, {EDGES}, q as (select distinct image_id, lo, hi from ed), m as (select q.image_id, lo, hi, (a.value + b.value) / 2 as mid from q join pal a on a.image_id = q.image_id and a.idx = lo join pal b on b.image_id = q.image_id and b.idx = hi) select m.image_id, lo as a, hi as b, idx from m join pal p using (image_id) qualify row_number() over (partition by m.image_id, lo, hi order by abs(p.value - mid), idx) = 1",
+    "nearest_palette": f"{BASE}, {EDGES}, q as (select distinct image_id, lo, hi from ed), m as (select q.image_id, lo, hi, (a.value + b.value) / 2 as mid from q join pal a on a.image_id = q.image_id and a.idx = lo join pal b on b.image_id = q.image_id and b.idx = hi) select m.image_id, lo as a, hi as b, idx from m join pal p using (image_id) qualify row_number() over (partition by m.image_id, lo, hi order by round(abs(p.value - mid), 9), idx) = 1",
     "similar_pairs": f"{BASE} select a.image_id, a.idx as a, b.idx as b from pal a join pal b on a.image_id = b.image_id and a.idx < b.idx where abs(a.value - b.value) < 0.2",
     "dct_block": f"with {PX}, {_DCT} select image_id, cast(u as int) as u, cast(w as int) as w, round(c, 6) as c from co",
     "dct_topk": f"with {PX}, {_DCT}, {_ZZ} select image_id, k, cast(greatest(-127, least(127, round(co.c / 0.05))) as int) as q from co join zz on zz.r = u and zz.c = w where k < 6",

@@ -1,5 +1,6 @@
 """Hand-computed fixtures, round trips and the SQL twins of a few queries on the smallest tables."""
 
+import random
 from pathlib import Path
 
 import duckdb
@@ -8,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import scalar
-from rasterloom.operators import entropy, quantize, stencil
+from rasterloom.operators import entropy, gradients, quantize, resample, stencil
 from rasterloom.plans import catalogue
-from rasterloom.sources import container
+from rasterloom.sources import container, older
 
 DATA = "/root/testdata/sf0.001"
 INDEX = [[2, 2, 3], [2, 4, 3], [1, 4, 4]]
@@ -77,7 +78,7 @@ def test_container_round_trip(spark):
         container.parse(b"\1\0\0\0\1\0\0\0\x99\0\0")
 
 
-@pytest.mark.parametrize("name", ["quantised_run_statistics", "med_decode", "pair_first_seen", "segments", "nearest_palette", "near_boundary", "ssim"])
+@pytest.mark.parametrize("name", ["quantised_run_statistics", "med_decode", "pair_first_seen", "segments", "nearest_palette", "near_boundary", "ssim", "upsample_index_odd", "upsample_index_even"])
 def test_sql_twin(spark, name):
     con = duckdb.connect()
     for f in Path(DATA).glob("*.parquet"):
@@ -88,3 +89,120 @@ def test_sql_twin(spark, name):
     assert columns == sorted(theirs)
     order = lambda t: t[columns].sort_values(columns).reset_index(drop=True)
     assert np.allclose(order(own).to_numpy(float), order(theirs).to_numpy(float), atol=2e-6)
+
+
+@pytest.mark.parametrize("odd", [True, False])
+@pytest.mark.parametrize("shape", [(5, 6), (6, 7), (2, 3)])
+def test_upsampled_indexes(spark, odd, shape):
+    """Against a loop over pixels, both nearest rules; the odd matrix of an even side has a last sample that is missing."""
+    r, (h, w), first = random.Random(3), shape, int(odd)
+    lab = [[r.uniform(0, 20) for _ in range(3)] for _ in range(9)]
+    small = {(y, x): r.randrange(9) for y in range((h - first) // 2) for x in range((w - first) // 2)} or {(0, 0): 4}
+
+    def middle(a, b):
+        return a if a == b else min(range(9), key=lambda k: (round(abs(lab[k][0] - (lab[a][0] + lab[b][0]) / 2), 9), k))
+
+    def boxed(a, b):
+        inside = [k for k in range(9) if all(min(lab[a][c], lab[b][c]) - 5 <= lab[k][c] <= max(lab[a][c], lab[b][c]) + 5 for c in range(3))]
+        return a if a == b else min(inside, key=lambda k: (sum((lab[k][c] - (lab[a][c] + lab[b][c]) / 2) ** 2 for c in range(3)), [a, b, *range(9)].index(k)))
+
+    ix = spark.createDataFrame([(1, y, x, k) for (y, x), k in small.items()], "image_id long, y int, x int, idx int")
+    palette = spark.createDataFrame([(1, k, v[0], *v) for k, v in enumerate(lab)], "image_id long, idx int, value double, l double, a double, b double")
+    for rule, nearest in ((middle, stencil.nearest_to_midpoint), (boxed, resample.nearest_in_box)):
+        full = {(y, x): small.get((y // 2, x // 2), 0) for y in range(first, h, 2) for x in range(first, w, 2)}
+        for axis, size in ((1, w), (0, h)):
+            move = lambda p, d, axis=axis: (p[0] + d * (1 - axis), p[1] + d * axis)
+            lines = {p[1 - axis] for p in full}
+            for p in [(q, k) if axis else (k, q) for q in lines for k in range(1 - first, size, 2)]:
+                a, b = full.get(move(p, -1)), full.get(move(p, 1))
+                full[p] = rule(a, b) if a is not None and b is not None else b if a is None else a
+        got = {(x.y, x.x): x.idx for x in resample.upsample_index(ix, palette, w, h, odd, nearest).collect()}
+        assert got == full
+
+
+def test_descriptor_thresholds(spark):
+    """Lag and fold against a loop that keeps the last emitted descriptor."""
+    r = random.Random(4)
+    rows = [(1, lo, 9, seg, 2, r.randrange(99), r.randrange(99), r.randrange(3), r.randrange(2), r.randrange(3), (0, lo * 20 + seg, lo, 9)) for lo in range(6) for seg in range(20)]
+    schema = "image_id long, lo int, hi int, seg int, n int, first_x int, first_y int, shape int, direction int, width int, flush struct<late:int,seq:int,lo:int,hi:int>"
+    for threshold in (0.25, 0.5, 1.0, 1.2, 1.3, 1.5):
+        last, expected = {}, []
+        for row in rows:
+            lo, seg, now = row[1], row[3], row[7:10]
+            old = last.get(lo)
+            if old is None or (old[0] != now[0]) * 1.0 + (old[1] != now[1]) * 0.5 + (old[2] != now[2]) * 0.3 >= threshold or old[1] != now[1]:
+                last[lo] = now
+                expected.append((len(expected), lo, *now, seg > 0))
+        got = gradients.descriptors(spark.createDataFrame(rows, schema), threshold)
+        assert sorted(map(tuple, got.select("queue_idx", "lo", "shape", "direction", "width", "change").collect())) == expected
+
+
+def test_older_containers(spark):
+    r = np.random.default_rng(6)
+    idx, palette = np.sort(r.integers(0, 7, (5, 9)), axis=1), np.column_stack([r.uniform(0, 100, 7), r.uniform(-128, 127, (7, 2)), r.uniform(0, 9, 7)])
+    queue, points = [3, 15, 0, 9, 4], [(1, 2, 3), (65535, 0, 4)]
+    residual = {"block": 16, "keep": 2, "step": 8.0, "coefficients": r.integers(-127, 128, 12)}
+    for full in (None, (18, 10)):
+        got = older.parse_first(older.first_version(palette, idx, queue, points, 4, full, residual), full is not None)
+        assert np.array_equal(got["idx"], idx) and got["full"] == (full or (9, 5))
+        assert np.abs(got["palette"][:, :3] - palette[:, :3]).max() <= 0.5 and np.array_equal(got["palette"][:, 3], np.floor(palette[:, 3]))
+        assert got["gradients"] == {"bits": 4, "queue": queue, "points": points}
+        assert got["residual"]["coefficients"].tolist() == residual["coefficients"].tolist() and got["residual"]["step"] == 8.0
+    layers = [{"palette": palette[: k + 3], "idx": idx % (k + 3), "queue": queue[:k], "points": points[:k], "bits": 6} for k in range(4)]
+    data = older.second_version(layers)
+    got = older.parse_second(data)["layers"]
+    assert len(got) == 4
+    for own, back in zip(layers, got, strict=True):
+        assert np.array_equal(own["idx"], back["idx"]) and own["queue"] == back["queue"] and own["points"] == back["points"]
+        assert np.allclose(own["palette"][:, :3], back["palette"], rtol=1e-3, atol=1e-3)
+    assert len(older.parse_second(older.second_version(layers[:2]))["layers"]) == 2
+    with pytest.raises(ValueError):
+        older.parse_second(data[:40])
+    ix = matrix(spark, INDEX)
+    colours = spark.createDataFrame([(1, k, float(k), 0.5 * k, -1.0 * k, 0.0) for k in range(5)], "image_id long, idx int, l double, a double, b double, error double")
+    for version in (1, 2):
+        back = older.read_older(older.write_older(ix, colours, version), version).collect()
+        assert {(x.y, x.x, x.idx, x.l, x.b) for x in back} == {(y, x, v, float(v), -float(v)) for y, row in enumerate(INDEX) for x, v in enumerate(row)}
+
+
+def test_region_blur_and_deblocking(spark):
+    r = np.random.default_rng(7)
+    v, idx = r.integers(0, 200, (8, 8)).astype(float), r.integers(0, 2, (8, 8))
+    cells = [(1, y, x, int(idx[y, x]), float(v[y, x])) for y in range(8) for x in range(8)]
+    planes = spark.createDataFrame(cells, "image_id long, y int, x int, idx int, v double")
+    blurred = v.copy()
+    for _ in range(2):
+        for dy, dx in ((0, 1), (1, 0)):
+            new = blurred.copy()
+            for y in range(8):
+                for x in range(8):
+                    near = [(y + k * dy, x + k * dx) for k in (-1, 0, 1)]
+                    near = [blurred[q] for q in near if min(q) >= 0 and max(q) < 8 and idx[q] == idx[y, x]]
+                    new[y, x] = np.floor(sum(near) / len(near))
+            blurred = new
+    got = {(x.y, x.x): x.v for x in stencil.region_blur(planes, passes=2).collect()}
+    assert all(got[p] == blurred[p] for p in np.ndindex(8, 8))
+    expected = {}
+    for y, x in np.ndindex(8, 8):
+        top, weight = v[y, x], 1.0
+        for by, bx, d in ((y // 4, x // 4 - 1, x % 4), (y // 4, x // 4 + 1, 3 - x % 4), (y // 4 - 1, x // 4, y % 4), (y // 4 + 1, x // 4, 3 - y % 4)):
+            if d < 2 and 0 <= by < 2 and 0 <= bx < 2 and abs(jump := v[by * 4 + 2, bx * 4 + 2] - v[y, x]) < 60:
+                u = (2 - d) / 2
+                w = u * u * (3 - 2 * u) * (1 - abs(jump) / 60)
+                top, weight = top + w * v[by * 4 + 2, bx * 4 + 2], weight + w
+        expected[y, x] = top / weight
+    got = {(x.y, x.x): x.v for x in stencil.deblocked(planes, 4, 2, 60.0).collect()}
+    assert all(abs(got[p] - e) < 1e-9 for p, e in expected.items())
+
+
+def test_kept_coefficients_restored(spark):
+    v = np.random.default_rng(8).normal(0, 9, (8, 8))
+    planes = spark.createDataFrame([(1, y, x, float(v[y, x])) for y, x in np.ndindex(8, 8)], "image_id long, y int, x int, v double")
+    basis, cells = np.array(stencil.dct_basis(8)), stencil.zigzag(8)[:6]
+    c, kept = basis @ v @ basis.T, np.zeros((8, 8))
+    for p in cells:
+        kept[p] = np.clip(np.round(c[p] / 0.5), -127, 127) * 0.5
+    back = basis.T @ kept @ basis
+    back *= 2.5 * min(np.abs(back).max() / 10, 1)
+    got = {(x.y, x.x): x.v for x in stencil.restored_residual(stencil.keep_coefficients(stencil.dct(planes, 8), 8, 6, 0.5), 8, 0.5, 2.5).collect()}
+    assert all(abs(got[p] - back[p]) < 1e-9 for p in np.ndindex(8, 8))
