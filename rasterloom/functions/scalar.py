@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def _linear(c: str) -> str:
     return f"(case when {c}/255.0D > 0.04045D then power(({c}/255.0D + 0.055D)/1.055D, 2.4D) else {c}/255.0D/12.92D end)"
@@ -20,6 +23,24 @@ def lab(r: str = "r", g: str = "g", b: str = "b") -> tuple[str, str, str]:
     return f"116.0D*{fy} - 16.0D", f"500.0D*({fx} - {fy})", f"200.0D*({fy} - {fz})"
 
 
+def with_lab(pixels: DataFrame) -> DataFrame:
+    """Pixels (r, g, b) with l, a, b in place of them.
+
+    The formulas of `lab` in steps: a step's values are used more than once by the next, so the optimiser keeps the
+    steps apart, and plans that use l, a and b often don't repeat the whole formula each time.
+    """
+    others = [c for c in pixels.columns if c not in ("r", "g", "b")]
+    steps = [
+        {"_r": _linear("r"), "_g": _linear("g"), "_b": _linear("b")},
+        {"_x": "(0.4124D*_r + 0.3576D*_g + 0.1805D*_b)/0.95047D", "_y": "0.2126D*_r + 0.7152D*_g + 0.0722D*_b", "_z": "(0.0193D*_r + 0.1192D*_g + 0.9505D*_b)/1.08883D"},
+        {"_fx": _f("_x"), "_fy": _f("_y"), "_fz": _f("_z")},
+        {"l": "116.0D*_fy - 16.0D", "a": "500.0D*(_fx - _fy)", "b": "200.0D*(_fy - _fz)"},
+    ]
+    for step in steps:
+        pixels = pixels.select(*others, *(F.expr(e).alias(n) for n, e in step.items()))
+    return pixels
+
+
 def rgb(variant: str = "current") -> tuple[str, str, str]:
     """Columns l, a, b to sRGB bytes; `current` clamps after gamma and truncates x + 0.5, `legacy` clamps before and rounds."""
     cut, slope = ("0.206897D", "(t - 16.0D/116.0D)/7.787D") if variant == "current" else ("(6.0D/29.0D)", "3.0D*(6.0D/29.0D)*(6.0D/29.0D)*(t - 4.0D/29.0D)")

@@ -16,6 +16,7 @@ from ..functions import scalar
 from ..operators import entropy, gradients, quantize, resample, stencil
 from ..sources import container, older
 from ..sources import relations as R
+from ..sources.shared import settled
 from . import layers
 
 EPS, STEPS, EDGE, SEGMENT = 0.05, 2, 8, 8
@@ -69,7 +70,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lab(pixels: DataFrame) -> DataFrame:
-    return pixels.select("image_id", "y", "x", *(F.expr(e).alias(n) for e, n in zip(scalar.lab(), "lab", strict=True)))
+    return scalar.with_lab(pixels.select("image_id", "y", "x", "r", "g", "b"))
 
 
 def quantised_run_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -248,11 +249,14 @@ def upsample_index_even(spark, d):
 
 
 def _colour_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The index matrix of Lab images and its palette: image_id, idx, l, a, b, error."""
-    steps = (5.0, 5.0, 5.0)
-    lab = _lab(R.rgb_of_embeddings(spark, d))
-    clusters = quantize.cover(quantize.voxels(lab, steps), 2).withColumnRenamed("cluster", "idx")
-    ix = quantize.voxelled(lab, steps).join(clusters, ["image_id", "kl", "ka", "kb"])
+    """The index matrix of Lab images and its palette: image_id, idx, l, a, b, error.
+
+    Pixels with their buckets are written once, as are their clusters: both are read several times, and tests for
+    null that joins push down would otherwise repeat the colour formulas below every projection.
+    """
+    lab = settled(quantize.voxelled(_lab(R.rgb_of_embeddings(spark, d)), (5.0, 5.0, 5.0)))
+    clusters = quantize.cover(lab.select("image_id", "kl", "ka", "kb").distinct(), 2).withColumnRenamed("cluster", "idx")
+    ix = settled(lab.join(clusters, ["image_id", "kl", "ka", "kb"]))
     return ix, quantize.colour_palette(ix)
 
 

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.scalar import lab
+from ..functions.scalar import with_lab
 
 
 def lab_stream(spark: SparkSession, folder: str, schema: str = "image_id long, y int, x int, r int, g int, b int") -> DataFrame:
     """Lab pixels of Parquet pixel files as they appear in a folder; stateless, so it resumes from its checkpoint."""
     pixels = spark.readStream.schema(schema).parquet(folder)
-    l, a, b = lab()
-    return pixels.select("image_id", "y", "x", F.expr(l).alias("l"), F.expr(a).alias("a"), F.expr(b).alias("b"))
+    return with_lab(pixels.select("image_id", "y", "x", "r", "g", "b"))
