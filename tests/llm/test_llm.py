@@ -228,6 +228,54 @@ def test_suffix_tree_scores(spark):
         assert got[d].score < 0
 
 
+def brute_tree_score(corpus, text):
+    """log10 of text by dictionaries: contexts of up to DEPTH bytes that are seen twice and diverge."""
+    symbols = lambda t: b"\n" * suffixtree.DEPTH + " ".join(lowered(t)).encode() + b"\n"
+    count = collections.defaultdict(collections.Counter)
+    for b in map(symbols, corpus):
+        for i in range(suffixtree.DEPTH, len(b)):
+            for d in range(suffixtree.DEPTH + 1):
+                count[b[i - d : i]][b[i]] += 1
+    kept, total = {b""}, sum(count[b""].values())
+
+    def p(history, x):
+        out = (count[b""][x] + 0.5) / (total + 128)
+        for d in range(1, len(history) + 1):
+            c = history[len(history) - d :]
+            if c not in kept:
+                return out
+            out = (count[c][x] + 12 * out) / (sum(count[c].values()) + 12)
+        return out
+
+    for c in sorted(filter(None, count), key=len):
+        n = sum(count[c].values())
+        if n >= 2 and c[1:] in kept and 2 * sum(k * np.log(k / n / p(c[1:], x)) for x, k in count[c].items()) > len(count[c]):
+            kept.add(c)
+    b = symbols(text)
+    return sum(np.log10(p(b[i - suffixtree.DEPTH : i], b[i])) for i in range(suffixtree.DEPTH, len(b)))
+
+
+def test_suffix_tree_equals_brute_force(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdeé", k=r.randint(2, 9))) for _ in range(30)]
+    rows = [(i, None if i == 7 else " ".join(r.choices(vocabulary, k=r.randint(0, 30)))) for i in range(60)]
+    got = {x.doc_id: x.score for x in suffixtree.score(frame(spark, rows).selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out")).collect()}
+    corpus = [t for d, t in rows if d % 5 != 1]
+    for d, t in rows[::4]:
+        assert abs(got[d] - brute_tree_score(corpus, t)) < 1e-6
+
+
+def test_suffix_tree_keeps_rare_contexts(spark):
+    """What is seen twice counts as much in a corpus of five million symbols as in a small one."""
+    rare = "qzjxv wkqpz vvkjq xzwqk jjqzp"
+    got = []
+    for filler in (10, 5000):
+        rows = [(i, "the cat sat on the mat " * 50) for i in range(2, filler)] + [(0, rare), (1, rare), (-1, rare)]
+        docs = frame(spark, rows).selectExpr("doc_id", "text", "doc_id = -1 as held_out")
+        got.append({x.doc_id: x.score for x in suffixtree.score(docs).collect()}[-1])
+    assert got[1] > got[0] - 12
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bwt.remove_repeats(docs).count() == minhash.near_duplicates(docs)[0].count() == 0
