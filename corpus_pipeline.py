@@ -15,6 +15,8 @@ from rasterloom.llm.common import stage, table, tune
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose n-grams are further out of place than this share of the profile, in whatever language, are rejected.
 LEAST_SCORE = 0.25
+#: Near copies have at least this percentage of their shingles of five words in common.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
     tune(spark)
-    return minhash.first_of_groups(docs.select(*COLUMNS))
+    return minhash.first_of_groups(docs.select(*COLUMNS), NEAR_PERCENT)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,9 +24,9 @@ from .exchange import by_batch, read_answer, stage_batches, without, write_answe
 from .kernel import U64, Spans, lower, mix, text_bytes, words
 
 SHINGLE = 5
-#: Links need PERCENT * union <= 100 * intersection.
+#: Links need percent * union <= 100 * intersection; this one unless the caller says otherwise.
 PERCENT = 85
-#: A link of that similarity is missed by all bands with a chance of (1 - 0.85**4)**20, under 1 in 2 million.
+#: A link of that similarity is missed by all bands with a chance of (1 - 0.85**4)**20, under 1 in 2 million; at 0.8 it is 3 in 100,000.
 BANDS, ROWS = 20, 4
 #: Bits of a parity sketch.
 SKETCH = 2048
@@ -130,8 +130,8 @@ def _describe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "batch", "n", "identity", "bands", "sketch"])
 
 
-def near_enough(na: np.ndarray, nb: np.ndarray, common: np.ndarray) -> np.ndarray:
-    return 100 * common >= PERCENT * (na + nb - common)
+def near_enough(na: np.ndarray, nb: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * common >= percent * (na + nb - common)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _emit_sets(root: str):
     return run
 
 
-def _confirm(root: str):
+def _confirm(root: str, percent: int):
     """Pairs (a, b) of this batch's documents b whose sets, compared in full, are near enough."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def _confirm(root: str):
                 for a in pairs[b]:
                     for other in hubs.get(a, ()):
                         common = len(np.intersect1d(own, other, assume_unique=True))
-                        if 100 * common >= PERCENT * (len(own) + len(other) - common):
+                        if 100 * common >= percent * (len(own) + len(other) - common):
                             found.append((a, b))
                             break
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -206,7 +206,7 @@ def _confirm(root: str):
     return run
 
 
-def confirm(staged: DataFrame, batches: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(staged: DataFrame, batches: int, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links. Sets of the a travel to the batches of their b; texts stay."""
     where = nodes.select(F.col("doc_id").alias("id"), "batch")
     wanted = pairs.select(F.col("a").alias("id")).distinct().join(where, "id").select(F.col("id").alias("doc_id"), "batch")
@@ -214,10 +214,10 @@ def confirm(staged: DataFrame, batches: int, nodes: DataFrame, pairs: DataFrame)
     placed = stage(pairs.join(where, pairs.b == where.id).select("a", "b", "batch"), "placed")
     hubs = placed.select("batch", "a").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a")
     sent = placed.withColumn("shingles", F.lit(None).cast("binary")).unionByName(hubs.withColumn("b", F.lit(None).cast("long")))
-    return stage(staged.mapInArrow(_confirm(write_answers(sent, batches, "pairs")), "a long, b long"), "links")
+    return stage(staged.mapInArrow(_confirm(write_answers(sent, batches, "pairs"), percent), "a long, b long"), "links")
 
 
-def _across(table: pa.Table) -> pa.Table:
+def _across(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of different components in two blocks of a band (or inside one) that the sketch doesn't rule out."""
     side = table.column("side").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(side), -1)
@@ -229,23 +229,23 @@ def _across(table: pa.Table) -> pa.Table:
         others = right[right > i] if inside else right
         others = others[own[others] != own[i]]
         least, most = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-        others = others[100 * least >= PERCENT * most]
+        others = others[100 * least >= percent * most]
         if len(others):
             apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
             # apart <= |A| + |B| - 2 * common, so common is at most:
             common = (n[others] + n[i] - apart) // 2
-            found += [(int(ids[i]), int(ids[k])) for k in others[near_enough(n[others], n[i], common)]]
+            found += [(int(ids[i]), int(ids[k])) for k in others[near_enough(n[others], n[i], common, percent)]]
     return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, int]:
     """(groups, staged documents with the column _batch, number of batches).
 
     groups, a row per row of docs: doc_id, batch, n_shingles, component_id (least doc_id that links reach),
     kept. Words are cut at ASCII white space, A-Z lower-cased; a text of 1 to 4 words is one shingle. A
     null or blank text has an empty set, is linked with nothing and kept. A null doc_id is linked with
     nothing, has a null component and is kept. Rows of equal doc_id count as one document: they are linked
-    through their id. Equal sets are linked without a comparison. An empty table gives no rows.
+    through their id. Equal sets are linked without a comparison, others from percent of Jaccard similarity on. An empty table gives no rows.
     """
     staged, batches = stage_batches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "near")
     slim = staged.select("doc_id", "_batch", "text")
@@ -260,10 +260,10 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     ranked = members.join(degree, "doc_id")
     hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "n")).alias("hub"))
     stars = members.join(hubs, "band").select((-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("na"), F.col("doc_id").alias("b"), "n").where("a <> b")
-    stars = stars.where(f"100 * least(n, na) >= {PERCENT} * greatest(n, na)").select("a", "b").distinct()
+    stars = stars.where(f"100 * least(n, na) >= {percent} * greatest(n, na)").select("a", "b").distinct()
     look = nodes.select(F.col("doc_id").alias("id"), "n", "sketch")
-    stars = _sketched(stars, look)
-    links = confirm(slim, batches, nodes, stage(stars, "starpairs"))
+    stars = _sketched(stars, look, percent)
+    links = confirm(slim, batches, nodes, stage(stars, "starpairs"), percent)
     joined = components(links)
     placed = stage(members.join(joined, members.doc_id == joined.node, "left").select("band", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
     open_bands = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("width")).where("lo < hi").select("band", "width")
@@ -272,8 +272,8 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "component")
     rest = rest.join(look, rest.doc_id == look.id).drop("id")
-    pairs = rest.groupBy("band", "x", "y").applyInArrow(_across, "a long, b long").distinct()
-    more = confirm(slim, batches, nodes, stage(pairs, "crosspairs"))
+    pairs = rest.groupBy("band", "x", "y").applyInArrow(lambda t: _across(t, percent), "a long, b long").distinct()
+    more = confirm(slim, batches, nodes, stage(pairs, "crosspairs"), percent)
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     same = usable.join(repeated, "doc_id").join(heads, "identity").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     final = components(links.unionAll(more).unionAll(same))
@@ -284,13 +284,13 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return groups.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), staged, batches
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
+def first_of_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that aren't kept: one document stays of each group."""
-    groups, staged, batches = near_duplicates(docs)
+    groups, staged, batches = near_duplicates(docs, percent)
     return without(staged, batches, groups.where("not kept"), docs.columns)
 
 
-def _sketched(pairs: DataFrame, look: DataFrame) -> DataFrame:
+def _sketched(pairs: DataFrame, look: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the sketches don't rule out."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +298,7 @@ def _sketched(pairs: DataFrame, look: DataFrame) -> DataFrame:
             one = lambda c: np.frombuffer(b"".join(rb.column(c).to_pylist()), np.uint64).reshape(len(rb), -1)
             na, nb = rb.column("na").to_numpy(), rb.column("nb").to_numpy()
             apart = np.bitwise_count(one("sa") ^ one("sb")).sum(1, dtype=np.int64)
-            yield pa.RecordBatch.from_struct_array(rb.select(["a", "b"]).to_struct_array().filter(pa.array(near_enough(na, nb, (na + nb - apart) // 2))))
+            yield pa.RecordBatch.from_struct_array(rb.select(["a", "b"]).to_struct_array().filter(pa.array(near_enough(na, nb, (na + nb - apart) // 2, percent))))
 
     of = lambda side: look.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from rasterloom.llm import bitpack, bpe, bwt, crf, langid, minhash, suffixtree, tiff, tiling, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,6 +89,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
 
 
+def test_pipeline_near_copies_from_80_percent(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, base[:-10] + [f"z{i}" for i in range(10)], base[:-30] + [f"y{i}" for i in range(30)]])]
+    docs = frame(spark, rows).selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+    assert minhash.near_duplicates(docs.select("doc_id", "text"))[0].where("kept").count() == 3
+
+
 def test_bpe_equals_library(spark):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
