@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 import struct
 import unicodedata
@@ -143,6 +144,8 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.last = np.zeros(self.vocabulary, bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        #: Added tokens stand for themselves in any text, in their exact case.
+        self.markers = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -201,6 +204,29 @@ class WordEncoder:
         return ids, np.diff(before[ends])
 
 
+    def with_markers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As a call, but added tokens in a text have their own id, as the library gives it by default."""
+        has = pa.array(np.zeros(len(column), bool))
+        for marker in self.markers:
+            has = pc.or_(has, pc.fill_null(pc.match_substring(column, marker), False))
+        marked = np.flatnonzero(has.to_numpy(zero_copy_only=False))
+        if not len(marked):
+            return self(column)
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(self.markers, key=len, reverse=True))) + ")")
+        parts, ends = [], []
+        rest = column.take(pa.array(np.flatnonzero(~has.to_numpy(zero_copy_only=False))))
+        for text in column.take(pa.array(marked)).to_pylist():
+            parts += cut.split(text)
+            ends.append(len(parts))
+        plain_ids, plain_counts = self(rest)
+        ids, counts = self(pa.array([None if p in self.markers else p for p in parts], pa.string()))
+        pieces = [np.array([self.markers[p]], "<u4") if p in self.markers else i for p, i in zip(parts, np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
+        own = iter([np.concatenate(pieces[a:b]) for a, b in zip([0, *ends], ends, strict=False)])
+        others = iter(np.split(plain_ids, np.cumsum(plain_counts)[:-1]) if len(plain_counts) else [])
+        rows = [next(own if m else others) for m in has.to_pylist()]
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -224,7 +250,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, root: str) -
         encode = word_encoder(tokenizer_path)
         shard = ShardWriter(bits_for(max(encode.vocabulary, end_id + 1)))
         for batch in batches:
-            ids, counts = encode(batch.column("text"))
+            ids, counts = encode.with_markers(batch.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1]), strict=True):

@@ -136,6 +136,19 @@ def test_word_encoder():
     assert not sum(map(len, own(pa.array([], pa.string()))))
 
 
+def test_added_tokens_as_the_library(spark):
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(9)
+    tok = Tokenizer.from_file(path)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "one", " two ", "don't", "\u00e9", "\n", "!?", "<|", "|>"]
+    rows = [(0, "one <|endoftext|> two"), (1, None), *((i, "".join(r.choices(parts, k=r.randrange(9)))) for i in range(2, 200))]
+    at = 0
+    got = {x.doc_id: tuple(x)[1:] for x in bitpack.tokenise_to_shards(frame(spark, rows), path, 2).collect()}
+    for d, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        assert got[d] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("tile", [None, (16, 32)])
 def test_tiff_round_trip(compression, tile):
