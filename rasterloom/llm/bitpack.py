@@ -125,11 +125,13 @@ class ShardReader:
 class WordEncoder:
     """Encodes texts with a tokenizer that lower-cases and never joins across white space, remembering words.
 
-    Arrow lower-cases ASCII, splits at spaces and line feeds and numbers a batch's different words, so Python
-    meets each of them once a batch. An end of ASCII marks is cut off a word of letters, which the tokenizer
-    would do as well. Words not seen yet go to the library together; words of letters are joined by spaces and
-    told apart by the end-of-word mark of their last token, if there is exactly one mark a word. The memory
-    has two generations: when the young one is full it becomes the old one, and words in use move back.
+    Arrow splits at spaces and line feeds, numbers a batch's different words and lower-cases those that are
+    ASCII alone (the tokenizer composes characters before it lower-cases, so a mark may join a capital), so
+    Python meets each of them once a batch. An end of ASCII marks is cut off a word of letters, which the
+    tokenizer would do as well. Words not seen yet go to the library together; words of letters are joined by
+    spaces and told apart by the end-of-word mark of their last token, if there is exactly one mark a word.
+    Texts that hold an added token (`<|endoftext|>`) go to the library whole. The memory has two generations:
+    when the young one is full it becomes the old one, and words in use move back.
     """
 
     MARKS = "".join(c for c in string.punctuation if c != "'")
@@ -140,12 +142,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.last = np.zeros(self.vocabulary, bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         #: Added tokens stand for themselves in any text, in their exact case.
-        self.markers = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.markers = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -185,16 +186,18 @@ class WordEncoder:
         for w, n in ended.items():
             known[w] = known[w[:n]] + known[w[n:]]
 
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(the ids of a string column's texts, one text after another; each text's count of ids); null is empty."""
+    def _words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As a call, for texts without an added token."""
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
-        lower = pc.replace_substring(pc.ascii_lower(pc.fill_null(column, "")), "\n", " ")
-        split = pc.split_pattern(lower, " ")
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
         ends = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn([w for w in words if w not in self.known])
+        plain = pc.string_is_ascii(coded.dictionary)
+        if self.markers:  # in another case it is no added token, and must not become one
+            plain = pc.and_(plain, pc.invert(pc.match_substring_regex(coded.dictionary, f"(?i){self.markers}")))
+        words = pc.if_else(plain, pc.ascii_lower(coded.dictionary), coded.dictionary).to_numpy(zero_copy_only=False).tolist()
+        self._learn(list({w: None for w in words if w not in self.known}))
         packed = [self.known[w] for w in words]
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         starts, flat, at = np.cumsum(size) - size, np.frombuffer(b"".join(packed), "<u4"), coded.indices.to_numpy()
@@ -204,26 +207,14 @@ class WordEncoder:
         return ids, np.diff(before[ends])
 
 
-    def with_markers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As a call, but added tokens in a text have their own id, as the library gives it by default."""
-        has = pa.array(np.zeros(len(column), bool))
-        for marker in self.markers:
-            has = pc.or_(has, pc.fill_null(pc.match_substring(column, marker), False))
-        marked = np.flatnonzero(has.to_numpy(zero_copy_only=False))
-        if not len(marked):
-            return self(column)
-        cut = re.compile("(" + "|".join(map(re.escape, sorted(self.markers, key=len, reverse=True))) + ")")
-        parts, ends = [], []
-        rest = column.take(pa.array(np.flatnonzero(~has.to_numpy(zero_copy_only=False))))
-        for text in column.take(pa.array(marked)).to_pylist():
-            parts += cut.split(text)
-            ends.append(len(parts))
-        plain_ids, plain_counts = self(rest)
-        ids, counts = self(pa.array([None if p in self.markers else p for p in parts], pa.string()))
-        pieces = [np.array([self.markers[p]], "<u4") if p in self.markers else i for p, i in zip(parts, np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
-        own = iter([np.concatenate(pieces[a:b]) for a, b in zip([0, *ends], ends, strict=False)])
-        others = iter(np.split(plain_ids, np.cumsum(plain_counts)[:-1]) if len(plain_counts) else [])
-        rows = [next(own if m else others) for m in has.to_pylist()]
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of a string column's texts, one text after another; each text's count of ids); null is empty."""
+        has = pc.fill_null(pc.match_substring_regex(column, self.markers), False).to_numpy(zero_copy_only=False) if self.markers else np.zeros(len(column), bool)
+        if not has.any():
+            return self._words(column)
+        ids, counts = self._words(column.filter(pa.array(~has)))
+        rest, whole = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []), self._encode(column.filter(pa.array(has)).to_pylist())
+        rows = [next(whole if h else rest) for h in has]
         return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
 
 
@@ -240,7 +231,7 @@ def word_encoder(path: str) -> WordEncoder:
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, root: str) -> list[dict]:
     """Encodes docs in ascending doc_id order into one shard file a partition below root; gives the manifest.
 
-    One shuffle: a range partitioning of (doc_id, text), sorted. A task writes its own file name and
+    One shuffle: a range partitioning by doc_id and the text's hash, so that rows of one id or of none are split too. A task writes its own file name and
     reports it when done, so files of failed or repeated attempts are never read. The manifest has one
     entry a partition.
     """
@@ -250,7 +241,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, root: str) -
         encode = word_encoder(tokenizer_path)
         shard = ShardWriter(bits_for(max(encode.vocabulary, end_id + 1)))
         for batch in batches:
-            ids, counts = encode.with_markers(batch.column("text"))
+            ids, counts = encode(batch.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1]), strict=True):
@@ -264,8 +255,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, root: str) -
             shard.write(f)
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([len(shard.ids)], pa.int64()), pa.array([shard.tokens], pa.int64())], ["part", "name", "docs", "tokens"])
 
-    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").withColumn("hash", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("hash")
     rows = sorted(ordered.mapInArrow(run, "part int, name string, docs long, tokens long").collect(), key=lambda r: r.part)
     manifest, at = [], 0
     for r in rows:
@@ -298,7 +290,7 @@ def tokenise_to_shards(docs: DataFrame, tokenizer_path: str, end_id: int) -> Dat
     """Writes docs as token shards to the shared folder and reads them back.
 
     Per document: doc_id, start (ids of all documents before it), n_tokens with the end id, ids_crc32. A
-    null or empty text is the end id alone. Rows of equal doc_id are ordered by text; null ids come first.
+    null or empty text is the end id alone. Rows of equal doc_id are ordered by their texts' hash; null ids come first.
     An empty table gives no files and no rows; other columns are ignored.
     """
     root = shared_path(docs.sparkSession, "shards")

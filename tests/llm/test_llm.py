@@ -110,7 +110,6 @@ def test_bpe_equals_library(spark):
 def test_token_shards(spark):
     path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = [(i, None if i == 4 else "".join(r.choices(TRICKY, k=r.randrange(30)))) for i in range(40)]
     at = 0
     got = {x.doc_id: tuple(x)[1:] for x in bitpack.tokenise_to_shards(frame(spark, rows), path, 2).collect()}
@@ -126,8 +125,8 @@ def test_token_shards(spark):
 def test_word_encoder():
     path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
     tok, own = Tokenizer.from_file(path), bitpack.WordEncoder(path)
-    tok.encode_special_tokens = True
     texts = ["".join(r.choices("aAbZé\u0130'st dl.,;%%$<>=~\u0338\u093c\u0915\u0958\n\t\xa012\u0663\ud55c\u1112 \u1161-_|\ufb01\U0001f600 ", k=r.randrange(60))) for _ in range(2000)]
+    texts += ["I\u1039\u0307 x", "I\u0331\u0307", "see <|endoftext|> here", "<|EndOfText|>", *("".join(r.choices(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "I", "\u0307", "S\u0323", " ", "<|"], k=r.randrange(9))) for _ in range(500))]
     texts += [None, "", "don't", "it's!", "<|endoftext|>", " word" * 1000]
     for _ in range(2):
         ids, counts = own(pa.array(texts))
