@@ -1,16 +1,17 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Documents carry labels, tokens don't; tokens of toxic documents whose word or word beginning occurs in
-toxic documents far more than in others become the labelled tokens. The field has two states and is
-trained on segments of those documents. Its forward and backward messages are ratios that a token maps
-by a Moebius transform, so whole batches are scanned at once. A logistic curve over a document's
-marginals gives its score.
+The field has two states a token. Its features are a token's word, word beginning and end and shape, the words
+before and after it, and the move from the state before. Documents carry labels, tokens don't, so tokens' labels
+are expected: a document is toxic if any of its tokens is. The likelihood of that has the gradient
+c (E[features] - features of the path without a toxic token), c being -1 for a clean document and P0 / (1 - P0)
+for a toxic one, P0 the probability of that path; E comes from forward-backward messages. Messages are kept as
+ratios, which a token maps by a Moebius transform, so whole batches are scanned at once.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +22,26 @@ from pyspark.sql import functions as F
 from .common import texts
 
 WORD = re.compile(r"[^\W_]+")
-#: Labelled documents of each class that are trained on, about; drawn by a hash of the id.
-SAMPLE = 2000
-#: Characters of word beginnings that serve as features beside the whole word.
-STEMS = (3, 4, 5, 6, 7)
-#: Toxic documents that must hold a feature, after as many different words, and its least log odds, for it to mark tokens.
-SUPPORT, ODDS = 5, 3.0
-#: Tokens of a training segment.
-SEGMENT = 128
+#: Labelled documents of each class that are trained on, about, drawn by a hash of the id among those of up to
+#: SAMPLE_BYTES; the product bounds what reaches the driver.
+SAMPLE, SAMPLE_BYTES = 1500, 16 << 10
+#: Characters of word beginnings and ends that are features beside the whole word.
+STEMS, ENDS = (3, 4, 5, 6), (3, 4)
+#: Training documents that must hold a feature.
+SUPPORT = 5
+ROUNDS = 90
+#: Weight of the penalty on squared weights, in documents.
+DECAY = 1.0
+#: Tokens of a block of training documents.
+BLOCK = 1 << 16
+#: Words that a worker remembers.
 CACHE = 400_000
-#: Marginals below this are no evidence, so that very long texts don't gather it from plain words.
-WEAK = 0.1
 
 
 def word_features(word: str) -> list[str]:
-    return [f"={word}", *(word[:n] for n in STEMS if len(word) >= n)]
+    """What a token's own word says: itself, beginnings, ends and shape."""
+    shape = f"#{min(len(word), 12)}{'d' if any(c.isdigit() for c in word) else ''}{'' if word.isascii() else 'u'}"
+    return [f"={word}", shape, *(word[:n] + "-" for n in STEMS if len(word) > n), *("-" + word[-n:] for n in ENDS if len(word) > n)]
 
 
 def moebius_scan(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -65,119 +71,178 @@ def moebius_scan(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) ->
     return out.T.ravel()[:n]
 
 
-def marginals(emission: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """P(state 1) of each token of chains that begin at starts; emission: log weight of 1 over 0; moves: 2 x 2 log weights."""
-    n = len(emission)
-    if not n:
-        return np.zeros(0)
-    e, m = np.exp(np.clip(emission, -40, 40)), np.exp(moves)
-    begin, end = np.zeros(n, bool), np.zeros(n, bool)
-    begin[starts] = True
-    end[np.append(starts[1:], n) - 1] = True
-    ahead = moebius_scan(np.where(begin, 0, e * m[1, 1]), np.where(begin, e, e * m[0, 1]), np.where(begin, 0, m[1, 0]), np.where(begin, 1, m[0, 0]))
-    w = np.append(e[1:], 1.0)
-    flip = lambda a: a[::-1]
-    back = moebius_scan(flip(np.where(end, 0, m[1, 1] * w)), flip(np.where(end, 1, m[1, 0])), flip(np.where(end, 0, m[0, 1] * w)), flip(np.where(end, 1, m[0, 0])))[::-1]
-    odds = ahead * back
-    return odds / (1 + odds)
+class Messages:
+    """Forward and backward messages of chains laid end to end, as ratios of state 1 to state 0.
+
+    emission: log weight of state 1 over 0 of each token; begin: whether a chain begins there; moves: 2 x 2 log
+    weights from state to state.
+    """
+
+    def __init__(self, emission: np.ndarray, begin: np.ndarray, moves: np.ndarray):
+        self.begin, self.m = begin, np.exp(moves)
+        self.weight = np.exp(np.clip(emission, -40, 40))
+        e, m, end = self.weight, self.m, np.append(begin[1:], True)
+        self.ahead = moebius_scan(np.where(begin, 0, e * m[1, 1]), np.where(begin, e, e * m[0, 1]), np.where(begin, 0, m[1, 0]), np.where(begin, 1, m[0, 0]))
+        w = np.append(e[1:], 1.0)
+        flip = lambda a: a[::-1]
+        self.back = moebius_scan(flip(np.where(end, 0, m[1, 1] * w)), flip(np.where(end, 1, m[1, 0])), flip(np.where(end, 0, m[0, 1] * w)), flip(np.where(end, 1, m[0, 0])))[::-1]
+
+    def marginals(self) -> np.ndarray:
+        """P(state 1) of each token."""
+        odds = self.ahead * self.back
+        return odds / (1 + odds)
+
+    def clean(self) -> np.ndarray:
+        """log P(state 0 | state 0 before) of each token; a chain's sum is the log probability that it has no token in state 1."""
+        return -np.log1p(np.where(self.begin, 1.0, self.m[0, 1] / self.m[0, 0]) * self.weight * self.back)
+
+    def moves(self) -> np.ndarray:
+        """P(state i, then state j) of each token and its predecessor, tokens x 4; 0 where a chain begins."""
+        before, here = np.append(1.0, self.ahead[:-1]), self.weight * self.back
+        joint = np.stack([np.full(len(here), self.m[0, 0]), self.m[0, 1] * here, self.m[1, 0] * before, self.m[1, 1] * before * here], 1)
+        return np.where(self.begin[:, None], 0.0, joint / joint.sum(1, keepdims=True))
+
+
+def begins(starts: np.ndarray) -> np.ndarray:
+    """Marks of the first tokens of texts with those starts and end; texts without tokens have none."""
+    out = np.zeros(starts[-1], bool)
+    out[starts[:-1][np.diff(starts) > 0]] = True
+    return out
+
+
+class Vocabulary:
+    """Numbers words and remembers each one's features."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+
+    def __call__(self, text: str) -> list[int]:
+        number = self.number
+        return [number.setdefault(w.lower(), len(number)) for w in WORD.findall(text)]
+
+
+def _blocks(ids: list[np.ndarray], label: np.ndarray, role: np.ndarray, none: int) -> Iterator[tuple]:
+    """Training documents by about BLOCK tokens: words, chain begins, neighbours before and after (`none`: there is none), document, labels."""
+    held, n = [], 0
+    for k, own in enumerate(ids):
+        held.append(k)
+        n += len(own)
+        if n >= BLOCK or k == len(ids) - 1:
+            starts = np.cumsum([0, *(len(ids[j]) for j in held)])
+            if n:
+                flat, begin = np.concatenate([ids[j] for j in held]), begins(starts)
+                before, after = np.append(none, role[flat[:-1]]), np.append(role[flat[1:]], none)
+                before[begin] = after[np.append(begin[1:], True)] = none
+                yield flat, begin, before.astype(np.int32), after.astype(np.int32), np.repeat(np.arange(len(held)), np.diff(starts)), label[held]
+            held, n = [], 0
 
 
 class ToxicField:
-    """The trained field: feature weights, bias, moves between the states, and the curve for documents."""
-
-    def __init__(self, docs: list[tuple[str, int]], support: int = SUPPORT, odds: float = ODDS):
-        split = [WORD.findall((t or "").lower()) for t, _ in docs]
-        label = np.array([y for _, y in docs], int)
-        frequent = {w for w, n in Counter(w for words, y in zip(split, label, strict=True) if y for w in set(words)).items() if n >= support}
-        toxic, places, plain = Counter(), Counter(), Counter()
-        for words, y in zip(split, label, strict=True):
-            if y:
-                toxic.update({f for w in set(words) for f in word_features(w) if f[0] != "=" or w in frequent})
-        toxic = {f: n for f, n in toxic.items() if n >= support}
-        pairs = {(a, b) for words, y in zip(split, label, strict=True) if y for a, b in zip(["", *words], words, strict=False)}
-        for _, w in pairs:  # a passage that copies repeat is one place
-            places.update(f for f in word_features(w) if f in toxic)
-        for words, y in zip(split, label, strict=True):
-            if not y:
-                plain.update({f for w in set(words) for f in word_features(w) if f in toxic})
-        many = (max(1, int((label == 0).sum())), max(1, int(label.sum())))
-        marks = {}
-        for f, n in toxic.items():
-            gain = np.log((n + 0.5) / (many[1] + 1)) - np.log((plain[f] + 0.5) / (many[0] + 1))
-            if places[f] >= support and gain >= odds:
-                marks[f] = gain
-        self.index = {f: i for i, f in enumerate(sorted(marks))}
-        self.weight, self.bias, self.moves = np.zeros(len(self.index)), -4.0, np.zeros((2, 2))
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self._train(split, label)
-        self.curve = self._calibrate(split, label)
-
-    def active(self, word: str) -> tuple[int, ...]:
-        return tuple(i for f in word_features(word) if (i := self.index.get(f)) is not None)
-
-    def _train(self, split: list[list[str]], label: np.ndarray, rounds: int = 60) -> None:
-        """Gradient ascent on the conditional likelihood of the labelled tokens, segments as chains."""
-        tokens, chain, gold, of, at = [], [], [], [], []
-        for words, y in zip(split, label, strict=True):
-            for k, w in enumerate(words):
-                if k % SEGMENT == 0:
-                    chain.append(len(gold))
-                own = self.active(w)
-                of += [len(gold)] * len(own)
-                at += own
-                gold.append(1 if own and y else 0)
-            tokens.append(len(words))
-        gold, chain, of, at = np.array(gold), np.array(chain, np.int64), np.array(of, np.int64), np.array(at, np.int64)
-        if not len(gold):
-            return
-        pair = np.ones(len(gold) - 1, bool)
-        pair[chain[1:] - 1] = False
-        seen = np.bincount((gold[:-1] * 2 + gold[1:])[pair], minlength=4).reshape(2, 2) + 1.0
-        self.moves = np.log(seen / seen.sum(1, keepdims=True))
-        total = np.zeros(len(self.weight) + 1)
-        scale = max(1.0, float(gold.sum()))
-        for _ in range(rounds):
-            emission = self.bias + np.bincount(of, self.weight[at], len(gold))
-            off = gold - marginals(emission, chain, self.moves)
-            step = np.append(np.bincount(at, off[of], len(self.weight)), off.sum()) / scale - np.append(1e-4 * self.weight, 0)
-            total += step**2
-            move = 0.5 * step / np.sqrt(total + 1e-12)
-            self.weight, self.bias = self.weight + move[:-1], self.bias + move[-1]
-
-    def emissions(self, words: list[str]) -> list[float]:
-        get, cache = self.cache.get, self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        out = []
-        for w in words:
-            if (e := get(w)) is None:
-                e = cache[w] = self.bias + float(sum(self.weight[i] for i in self.active(w)))
-            out.append(e)
-        return out
-
-    def tag(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(marginals of all tokens, the first token of each text and the end)."""
-        flat, starts = [], [0]
+    """The trained field: weights by feature, of words as neighbours, bias, moves, and the curve for documents."""
+
+    def __init__(self, docs: list[tuple[str, int]], support: int = SUPPORT, rounds: int = ROUNDS):
+        number, ids = Vocabulary(), []
+        for text, _ in docs:
+            ids.append(np.array(number(text), np.int32))
+        label, words = np.array([y for _, y in docs], float), list(number.number)
+        held = np.zeros(len(words), np.int64)
+        for own in ids:
+            held[np.unique(own)] += 1
+        names: dict[str, int] = {}
+        at, of = array("i"), array("i")
+        for k, w in enumerate(words):
+            own = [names.setdefault(f, len(names)) for f in word_features(w)]
+            at.extend(own)
+            of.extend([k] * len(own))
+        at, of = np.array(at, np.int64), np.array(of, np.int64)
+        often = np.bincount(at, held[of], len(names)) >= support
+        place = np.cumsum(often) - 1
+        self.names = {f: int(place[i]) for f, i in names.items() if often[i]}
+        at, of = place[at[often[at]]], of[often[at]]
+        near = np.flatnonzero(held >= support)
+        self.near = {words[k]: i for i, k in enumerate(near)}
+        role = np.full(len(words), len(near), np.int32)
+        role[near] = np.arange(len(near))
+        del names, number
+        self._forget()
+        self._train(list(_blocks(ids, label, role, len(near))), label, (at, of, len(words)), len(near), rounds)
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.own, self.as_before, self.as_after = [], [], []
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "own", "as_before", "as_after")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _train(self, blocks: list[tuple], label: np.ndarray, features: tuple, kinds: int, rounds: int) -> None:
+        """Gradient ascent on the documents' likelihood; every step moves feature weights, bias and moves."""
+        at, of, words = features
+        size = [len(self.names), kinds + 1, kinds + 1, 1, 4]
+        cut = np.cumsum(size)[:-1]
+        theta, total = np.zeros(sum(size)), np.zeros(sum(size))
+        theta[cut[2]] = -6.0
+        decay = np.concatenate([np.full(cut[2], DECAY), np.zeros(1), np.full(4, DECAY)])
+        for _ in range(rounds if blocks and 0 < label.mean() < 1 else 0):
+            own, b, a, bias, moves = np.split(theta, cut)
+            word = np.bincount(of, own[at], words) + bias
+            pulled, g = np.zeros(words), [np.zeros(n) for n in size[1:]]
+            for flat, begin, before, after, doc, y in blocks:
+                chain = Messages(word[flat] + b[before] + a[after], begin, moves.reshape(2, 2))
+                p, pairs = chain.marginals(), chain.moves()
+                clean = np.bincount(doc, chain.clean(), len(y))
+                c = np.where(y > 0, np.minimum(1 / np.maximum(np.expm1(-clean), 1e-6), 50.0), -1.0)[doc]
+                pull = c * p
+                pairs[:, 0] -= ~begin
+                pulled += np.bincount(flat, pull, words)
+                for k, part in enumerate((np.bincount(before, pull, kinds + 1), np.bincount(after, pull, kinds + 1), pull.sum(), c @ pairs)):
+                    g[k] += part
+            g[0][kinds] = g[1][kinds] = 0  # no neighbour is no evidence
+            step = np.concatenate([np.bincount(at, pulled[of], size[0]), *g]) - decay * theta
+            total += step * step
+            theta += 0.4 * step / np.sqrt(total + 1e-8)
+        own, self.before, self.after, bias, moves = np.split(theta, cut)
+        self.weight, self.bias, self.moves = own, float(bias[0]), moves.reshape(2, 2)
+        word = np.bincount(of, own[at], words) + bias
+        clean = [np.bincount(doc, Messages(word[flat] + self.before[before] + self.after[after], begin, self.moves).clean(), len(y)) for flat, begin, before, after, doc, y in blocks]
+        self.curve = self._calibrate(np.concatenate(clean) if clean else np.zeros(0), np.concatenate([k[-1] for k in blocks]) if blocks else label)
+
+    def _number(self, word: str) -> int:
+        """Numbers a word of a text and works out what it weighs as itself, before and after a token."""
+        w = word.lower()
+        self.own.append(float(sum(self.weight[i] for f in word_features(w) if (i := self.names.get(f)) is not None)))
+        k = self.near.get(w, -1)
+        self.as_before.append(float(self.before[k]))
+        self.as_after.append(float(self.after[k]))
+        self.known[word] = len(self.own) - 1
+        return len(self.own) - 1
+
+    def tag(self, batch: list[str]) -> tuple[Messages, np.ndarray]:
+        """(messages of all tokens, the first token of each text and the end)."""
+        if len(self.known) > CACHE:
+            self._forget()
+        known, number, flat, starts = self.known, self._number, [], [0]
         for text in batch:
-            flat += self.emissions(WORD.findall(text.lower()))
+            flat += [k if (k := known.get(w)) is not None else number(w) for w in WORD.findall(text)]
             starts.append(len(flat))
-        starts = np.array(starts)
-        return marginals(np.array(flat), np.unique(starts[:-1][starts[:-1] < len(flat)]), self.moves), starts
+        flat, starts = np.array(flat, np.int64), np.array(starts)
+        begin, score = begins(starts), self.bias + np.array(self.own)[flat]
+        if len(flat):
+            score[1:] += np.where(begin[1:], 0.0, np.array(self.as_before)[flat[:-1]])
+            score[:-1] += np.where(begin[1:], 0.0, np.array(self.as_after)[flat[1:]])
+        return Messages(score, begin, self.moves) if len(flat) else None, starts
 
     @staticmethod
-    def summary(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _summary(clean: np.ndarray) -> np.ndarray:
         """A row a text: 1, log odds that any token is toxic."""
-        total = lambda a: np.diff(np.concatenate([[0.0], np.cumsum(a)])[starts])
-        none = total(np.where(p < WEAK, 0.0, np.log1p(-np.minimum(p, 1 - 1e-9))))
-        any_odds = np.log(np.maximum(-np.expm1(none), 1e-9)) - np.maximum(none, -30)
-        return np.stack([np.ones(len(none)), np.clip(any_odds, -20, 30)], 1)
-
-    def _calibrate(self, split: list[list[str]], label: np.ndarray, rounds: int = 25) -> np.ndarray:
-        """Newton's method for a logistic curve over the summaries, held back by a small penalty."""
-        flat = [e for words in split for e in self.emissions(words)]
-        starts = np.cumsum([0, *map(len, split)])
-        x = self.summary(marginals(np.array(flat), np.unique(starts[:-1][starts[:-1] < len(flat)]), self.moves), starts)
-        share = label.mean() if len(label) else 0.0
+        return np.stack([np.ones(len(clean)), np.clip(np.log(np.maximum(-np.expm1(clean), 1e-9)) - np.maximum(clean, -30), -20, 30)], 1)
+
+    def _calibrate(self, clean: np.ndarray, label: np.ndarray, rounds: int = 25) -> np.ndarray:
+        """Newton's method for a logistic curve over the log odds, held back by a small penalty."""
+        x, share = self._summary(clean), label.mean() if len(label) else 0.0
         curve = np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0.0])
         for _ in range(rounds if len(label) else 0):
             y = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
@@ -185,15 +250,18 @@ class ToxicField:
             curve = curve + np.linalg.solve(hessian, x.T @ (label - y) - 0.05 * len(label) / 1000 * curve)
         return curve
 
-    def scores(self, p: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.summary(p, starts) @ self.curve, -30, 30)))
+    def scores(self, chain: Messages | None, starts: np.ndarray) -> np.ndarray:
+        """The score of each text, from the probability that none of its tokens is toxic."""
+        clean = np.diff(np.concatenate([[0.0], np.cumsum(chain.clean())])[starts]) if chain else np.zeros(len(starts) - 1)
+        return 1 / (1 + np.exp(-np.clip(self._summary(np.minimum(clean, 0.0)) @ self.curve, -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicField:
-    """A field from about `sample` labelled documents of each class, drawn by a hash of the id.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> ToxicField:
+    """A field from about `sample` labelled documents of each class of up to `most` bytes, drawn by a hash of the id.
 
     labels: doc_id, toxic; the greatest label of a repeated id counts, null ids and labels don't. The
-    sampled ids are bounded by `sample`, so their join with docs sends them to all tasks.
+    sampled ids are bounded by `sample`, so their join with docs sends them to all tasks. Without labels of
+    both classes the field has no weights, and every text scores the share of toxic documents.
     """
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
@@ -201,7 +269,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicFiel
     for y, n in sizes.items():
         share = share | ((F.col("toxic") == y) & (draw < min(1 << 20, -(-(sample << 20) // n))))
     drawn = labels.where(share)
-    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic").collect()
+    rows = docs.select(F.col("doc_id"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= most).join(F.broadcast(drawn), "doc_id").select("text", "toxic").collect()
     return ToxicField(sorted((r.text or "", r.toxic) for r in rows))
 
 
@@ -209,23 +277,23 @@ def score(docs: DataFrame, field: ToxicField, keep: list[str], threshold: float
     """The columns in keep, score (0 to 1), predicted (1 from the threshold on) and spans of each row.
 
     spans lists (start, end) character offsets of maximal runs of tokens with a marginal above a half. A
-    null or empty text has no tokens and gets the curve's score for that. Repeated rows repeat; an empty
-    table gives none. Whole texts are tagged; a narrow map over the scan.
+    null or empty text has no tokens and gets the curve's score for that. Equal texts have equal scores up to
+    rounding; repeated rows repeat; an empty table gives none. Whole texts are tagged; a narrow map over the scan.
     """
     held = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = texts(batch)
-            p, starts = held.value.tag(own)
-            found = held.value.scores(p, starts)
+            chain, starts = held.value.tag(own)
+            found, p = held.value.scores(chain, starts), chain.marginals() if chain else np.zeros(0)
             spans = []
             over = np.concatenate([[0], np.cumsum(p > 0.5)])
             for i, text in enumerate(own):
                 runs = []
                 if over[starts[i + 1]] > over[starts[i]]:
                     last = -2
-                    for k, m in enumerate(WORD.finditer(text.lower())):
+                    for k, m in enumerate(WORD.finditer(text)):
                         if p[starts[i] + k] > 0.5:
                             if last == k - 1:
                                 runs[-1]["end"] = m.end()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -236,6 +237,41 @@ def test_toxic_field(spark):
     assert np.allclose(crf.moebius_scan(p, q, u, v), want)
 
 
+def test_field_messages_equal_all_paths():
+    """Marginals, pairs of states and the clean path's probability against the sum over all paths of each chain."""
+    r = np.random.default_rng(3)
+    emission, moves, starts = r.normal(0, 2, 12), r.normal(0, 1, (2, 2)), np.array([0, 5, 5, 6, 12])
+    chain = crf.Messages(emission, crf.begins(starts), moves)
+    p, pairs, clean = chain.marginals(), chain.moves(), chain.clean()
+    for lo, hi in zip(starts, starts[1:], strict=False):
+        weight = {path: np.exp(sum(emission[lo + k] for k, y in enumerate(path) if y) + sum(moves[a, b] for a, b in itertools.pairwise(path))) for path in itertools.product((0, 1), repeat=hi - lo)}
+        z = sum(weight.values())
+        for k in range(hi - lo):
+            assert np.isclose(p[lo + k], sum(w for path, w in weight.items() if path[k]) / z)
+            for i, j in itertools.product((0, 1), repeat=2):
+                assert np.isclose(pairs[lo + k, 2 * i + j], sum(w for path, w in weight.items() if k and path[k - 1 : k + 1] == (i, j)) / z)
+        assert np.isclose(np.exp(clean[lo:hi].sum()), weight[(0,) * (hi - lo)] / z)
+
+
+def test_field_knows_contexts():
+    """Insults that training has never seen score by the words around them; without labels of both classes nothing does."""
+    r = random.Random(6)
+    plain, docs = [f"w{i}" for i in range(200)], []
+    for i in range(300):
+        words = r.choices(plain, k=30)
+        insult = r.choice("bcdfg") * 2 + str(r.randrange(9)) + "x"
+        words[10:10] = (f"you are such a {insult} today" if i % 3 == 0 else "you have a nice idea he is today such are what" if i % 3 == 1 else "").split()
+        docs.append((" ".join(words), int(i % 3 == 0)))
+    field = crf.ToxicField(docs)
+    chain, starts = field.tag(["w1 you are such a qwzop today w4", "w3 you have a nice qwzop he is", "", " \u0130 "])
+    assert chain.marginals()[:8].argmax() == 5 and chain.marginals()[5] > 0.5
+    scores = field.scores(chain, starts)
+    assert scores[0] > 0.9 and max(scores[1:]) < 0.1 and scores[2] == field.scores(None, np.array([0, 0]))[0]
+    for one_class in ([], [("a b", 0)], [("a b", 1)]):
+        field = crf.ToxicField(one_class)
+        assert 0 <= field.scores(*field.tag(["a b"]))[0] <= 1
+
+
 def test_suffix_tree_scores(spark):
     rows = [(i, None if i == 3 else "" if i == 4 else f"The cat {'sat ' * (i % 3)}on mat{i % 5}.") for i in range(40)]
     docs = frame(spark, rows).selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out")
