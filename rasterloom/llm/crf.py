@@ -169,10 +169,10 @@ class ToxicField:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.own, self.as_before, self.as_after = [], [], []
+        self.table = np.zeros((1 << 12, 3))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "own", "as_before", "as_after")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "table")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -212,13 +212,13 @@ class ToxicField:
 
     def _number(self, word: str) -> int:
         """Numbers a word of a text and works out what it weighs as itself, before and after a token."""
-        w = word.lower()
-        self.own.append(float(sum(self.weight[i] for f in word_features(w) if (i := self.names.get(f)) is not None)))
+        w, n = word.lower(), len(self.known)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         k = self.near.get(w, -1)
-        self.as_before.append(float(self.before[k]))
-        self.as_after.append(float(self.after[k]))
-        self.known[word] = len(self.own) - 1
-        return len(self.own) - 1
+        self.table[n] = sum(self.weight[i] for f in word_features(w) if (i := self.names.get(f)) is not None), self.before[k], self.after[k]
+        self.known[word] = n
+        return n
 
     def tag(self, batch: list[str]) -> tuple[Messages, np.ndarray]:
         """(messages of all tokens, the first token of each text and the end)."""
@@ -229,10 +229,10 @@ class ToxicField:
             flat += [k if (k := known.get(w)) is not None else number(w) for w in WORD.findall(text)]
             starts.append(len(flat))
         flat, starts = np.array(flat, np.int64), np.array(starts)
-        begin, score = begins(starts), self.bias + np.array(self.own)[flat]
-        if len(flat):
-            score[1:] += np.where(begin[1:], 0.0, np.array(self.as_before)[flat[:-1]])
-            score[:-1] += np.where(begin[1:], 0.0, np.array(self.as_after)[flat[1:]])
+        begin, (score, before, after) = begins(starts), self.table[flat].T
+        score = score + self.bias
+        score[1:] += np.where(begin[1:], 0.0, before[:-1])
+        score[:-1] += np.where(begin[1:], 0.0, after[1:])
         return Messages(score, begin, self.moves) if len(flat) else None, starts
 
     @staticmethod

@@ -22,6 +22,8 @@ from .common import texts
 PROFILE = 300
 #: Labelled documents a language that the profiles are counted on, about; drawn by a hash of the id.
 SAMPLE = 1500
+#: Stands for a word's edge in codes of n-grams; no letter has this code point.
+EDGE = 1
 _letters: list[np.ndarray] = []
 
 
@@ -33,16 +35,17 @@ def letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Codes of all n-grams of a text, 21 bits a character; 0 stands for a word's edge."""
+    """Codes of all n-grams of a text's words, 21 bits a character: letters, and pairs and triples that may begin or end at a word's edge."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     own = letters()[points]
-    x = np.where(own, points, 0).astype(np.uint64)
     keep = own.copy()
     keep[1:] |= own[:-1]
-    x = np.concatenate([np.zeros(1, np.uint64), x[keep], np.zeros(1, np.uint64)])
+    edge = np.full(1, EDGE, np.uint64)
+    x = np.concatenate([edge, np.where(own, points, EDGE)[keep].astype(np.uint64), edge])
+    letter = x != EDGE
     two = x[:-1] << np.uint64(21) | x[1:]
     three = two[:-1] << np.uint64(21) | x[2:]
-    return np.concatenate([x[x > 0], two[two > 0], three[x[1:-1] > 0]])
+    return np.concatenate([x[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]])
 
 
 def ranked(text: str, most: int = PROFILE) -> np.ndarray:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitpack, bpe, bwt, crf, langid, minhash, suffixtree, tiff, tiling, urls
+from . import bitpack, bpe, bwt, crf, langid, minhash, oracle, suffixtree, tiff, tiling, urls
 from .common import crc_mod, table
 
 
@@ -69,7 +70,17 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.tokenise_to_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_language_id, op4_toxic_spans, op5_string_tiling, op6_byte_bpe, op7_super_minhash, op8_tiff_media, op9_suffix_tree, op10_token_shards)}
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_tiff_media that don't depend on the stored form."""
+    return op8_tiff_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def word_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_suffix_tree that don't depend on the tree."""
+    return op9_suffix_tree(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 5))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_language_id, op4_toxic_spans, op5_string_tiling, op6_byte_bpe, op7_super_minhash, op8_tiff_media, op9_suffix_tree, op10_token_shards, media_payloads, word_base_scores)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.sql(URL_RULES)
