@@ -51,12 +51,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spans:
-    """64-bit hashes of any spans of a byte array, from prefix sums of a random polynomial."""
+    """64-bit hashes of any spans of an array, from prefix sums of a random polynomial; of bytes, or of 64-bit values (whole)."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, whole: bool = False):
         up, self.down = powers(len(data))
         self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_ROLL[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((data if whole else _ROLL[data]) * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64) * U64(MULT))

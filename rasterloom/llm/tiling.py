@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin matching.
 
-Tokens of a document and of a test item that share a seed (five tokens) are tiled: the longest common
-runs of unmarked tokens are marked first, then shorter ones down to a seed's length. The share of the
-item that tiles cover is its coverage; the order of the tiles is free, so reordered passages count.
+Tokens of a document and of a test item that share a seed (five tokens, or a shorter item whole) are tiled:
+the longest common run of unmarked tokens is marked, then the next, down to a seed's length. The share of
+the item that tiles cover is its coverage; the order of the tiles is free, so reordered passages count.
 """
 
 from __future__ import annotations
@@ -15,21 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
-from .kernel import U64, member, mix
+from .common import arrow_fs, shared_path, texts
+from .kernel import U64, Spans, member, mix
 
-#: Least tokens of a tile and of a seed; items with fewer tokens can't be found.
+#: Least tokens of a tile and of a seed; an item with fewer is its own seed and tile.
 SEED = 5
 #: Least share of an item's tokens that tiles must cover.
 COVERAGE = 0.6
 #: Bytes of item texts that a worker holds; a larger benchmark is taken in as many blocks.
 BLOCK_BYTES = 8 << 20
-WORD = re.compile(r"[^\W_]+")
+#: Scripts without spaces between words; each of their characters is a token.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORD = re.compile(f"[^\\W_{UNSPACED}]+|[{UNSPACED}]")
 _BASE = U64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters and digits."""
+    """Lower-cased runs of letters and digits; of scripts without spaces, single characters."""
     return WORD.findall(text.lower())
 
 
@@ -50,114 +52,139 @@ def _free(marked: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(total[size:] == total[:-size]) if len(marked) >= size else np.zeros(0, np.int64)
 
 
-def _scan(doc: np.ndarray, item: np.ndarray, used: np.ndarray, done: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal matches (length, start in doc, start in item) of at least size unmarked tokens."""
-    at, of = _free(used, size), _free(done, size)
-    if not len(at) or not len(of):
-        return []
-    item_hash = gram_hashes(item, size)[of]
-    order = np.argsort(item_hash, kind="stable")
-    table = item_hash[order]
-    doc_hash = gram_hashes(doc, size)[at]
-    low, high = np.searchsorted(table, doc_hash, "left"), np.searchsorted(table, doc_hash, "right")
-    found, seen = [], set()
-    for k in np.flatnonzero(high > low):
-        i = int(at[k])
-        for j in of[order[low[k] : high[k]]].tolist():
-            if (i - 1, j - 1) in seen:  # inside a match that began before
-                seen.add((i, j))
-                continue
-            n = 0
-            while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not used[i + n] and not done[j + n]:
-                n += 1
-            if n >= size:
-                seen.add((i, j))
-                found.append((n, i, j))
-    return found
+class Runner:
+    """Hashes of token runs of any length, from prefix sums."""
+
+    def __init__(self, ids: np.ndarray):
+        self.spans = Spans(mix(ids), whole=True)
+
+    def __call__(self, start: np.ndarray, size: int) -> np.ndarray:
+        return self.spans(start, start + size)
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy tiles (length, start in doc, start in item); id 0 matches nothing.
 
-    Longest first, equal lengths by start in doc and then in item.
+    Longest first, equal lengths by start in doc and then in item. Whether a common run of some length is left
+    is a join of the runs' hashes; lengths never grow, so each next one is searched by halving below the last.
+    Memory is linear in both, however often a run repeats.
     """
     used, done, out = doc == 0, item == 0, []
-    size = max(least, min(len(item), 4 * least))
-    while True:
-        found = _scan(doc, item, used, done, size)
-        longest = max(found, default=(0,))[0]
-        if longest > 2 * size:
-            size = longest
-            continue
-        again = False
-        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if used[i : i + n].any() or done[j : j + n].any():
-                again = True  # what is left of it may still be long enough
-                continue
-            used[i : i + n] = done[j : j + n] = True
-            out.append((n, i, j))
-        if again:
-            continue
-        if size <= least:
-            return out
-        size = max(least, size // 2)
+    of_doc, of_item = Runner(doc), Runner(item)
+
+    def first(size: int) -> tuple[int, int] | None:
+        at, of = _free(used, size), _free(done, size)
+        if not len(at) or not len(of):
+            return None
+        table = of_item(of, size)
+        order = np.argsort(table, kind="stable")
+        where, there = member(of_doc(at, size), table[order])
+        k = int(there.argmax())
+        return (int(at[k]), int(of[order[where[k]]])) if there[k] else None
+
+    size = min(len(doc), len(item))
+    while size >= least:
+        found, low = first(size), least
+        if not found:
+            best, high = None, size - 1
+            while low <= high:
+                mid = (low + high) // 2
+                if got := first(mid):
+                    best, size, low = got, mid, mid + 1
+                else:
+                    high = mid - 1
+            if not (found := best):
+                break
+        i, j = found
+        used[i : i + size] = done[j : j + size] = True
+        out.append((size, i, j))
+    return out
 
 
 class Benchmark:
-    """Items as token ids with the table of their seeds."""
+    """Items as token ids with the table of their seeds, by seed size; an item without a token can't be found."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], seed: int = SEED):
         self.vocabulary: dict[str, int] = {}
         self.ids, self.items = [], []
         for item_id, text in items:
             words = words_of(text or "")
-            if len(words) >= SEED:
+            if words:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
-        grams = [gram_hashes(x, SEED) for x in self.items]
-        seeds = np.concatenate(grams) if grams else np.zeros(0, U64)
-        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else of
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.of, self.at = seeds[order], of[order], at[order]
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, place in the item) of each shared seed."""
-        grams = gram_hashes(ids, SEED)
-        where = np.flatnonzero(member(grams, self.seeds)[1]) if len(grams) else np.zeros(0, np.int64)
-        low, high = np.searchsorted(self.seeds, grams[where], "left"), np.searchsorted(self.seeds, grams[where], "right")
+        self.least = np.minimum([len(x) for x in self.items], seed).astype(np.int64)
+        self.grams = [gram_hashes(x, int(n)) for x, n in zip(self.items, self.least, strict=True)]
+        self.tables = {}
+        for n in np.unique(self.least).tolist():
+            own = np.flatnonzero(self.least == n)
+            seeds = np.concatenate([np.unique(self.grams[k]) for k in own])
+            of = np.repeat(own, [len(np.unique(self.grams[k])) for k in own])
+            order = np.argsort(seeds, kind="stable")
+            self.tables[n] = seeds[order], of[order]
+
+    def hits(self, grams: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, seed) of the different seeds of that size that rows share with items, ordered."""
+        seeds, of = self.tables[size]
+        where = np.flatnonzero(member(grams, seeds)[1]) if len(grams) else np.zeros(0, np.int64)
+        own, row = grams[where], row[where]
+        order = np.lexsort((own, row))
+        own, row = own[order], row[order]
+        new = np.append(True, (own[1:] != own[:-1]) | (row[1:] != row[:-1]))[: len(own)]
+        own, row = own[new], row[new]
+        low, high = np.searchsorted(seeds, own, "left"), np.searchsorted(seeds, own, "right")
         n = high - low
-        pick = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
-        return np.repeat(where, n), self.of[pick], self.at[pick]
+        pick = of[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)]
+        row, own = np.repeat(row, n), np.repeat(own, n)
+        order = np.lexsort((pick, row))
+        return row[order], pick[order], own[order]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_BYTES of text."""
-    items = benchmark.selectExpr("item_id", "text").where("text is not null")
+def write_items(benchmark: DataFrame) -> tuple[str, int]:
+    """(folder, blocks) of the items, in the shared folder, one subfolder for a block of about BLOCK_BYTES of text."""
+    items = benchmark.selectExpr("cast(item_id as long) item_id", "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield [(r.item_id, r.text) for r in own.collect()]
+    blocks, root = max(1, -(-size // BLOCK_BYTES)), shared_path(benchmark.sparkSession, "items")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block").write.partitionBy("block").parquet(root)
+    return root, blocks
+
+
+_known: dict[tuple[str, int], Benchmark] = {}
+
+
+def read_items(root: str, block: int) -> Benchmark:
+    """A block of items, in a worker, which holds one at a time."""
+    if (root, block) not in _known:
+        import pyarrow.parquet as pq
+        from pyarrow import fs as pafs
+
+        fs, path = arrow_fs(root)
+        path = f"{path}/block={block}"
+        there = fs.get_file_info(path).type != pafs.FileType.NotFound
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet")] if there else []
+        tables = [pq.read_table(f, filesystem=fs, partitioning=None) for f in sorted(files)]
+        _known.clear()
+        _known[root, block] = Benchmark([r for t in tables for r in zip(t.column("item_id").to_pylist(), t.column("text").to_pylist(), strict=True)])
+    return _known[root, block]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a test item that it gives away.
 
     Per pair: doc_id, item_id, matched_tokens, item_tokens, coverage, n_tiles; only pairs whose tiles cover
-    at least that share of the item. A null or empty text matches nothing; items of fewer than five
-    tokens can't be found; repeated rows on either side give repeated pairs; empty tables give none.
-    Only doc_id, text and item_id, text are read. Documents aren't shuffled: items are held by each
-    worker, in blocks of BLOCK_BYTES of text, and documents are scanned once a block.
+    at least that share of the item. An item of fewer than five tokens is found where all of it stands; one
+    without a token never is. A null or empty text matches nothing; repeated rows on either side give
+    repeated pairs; empty tables give none. Only doc_id, text and item_id, text are read. Documents aren't
+    shuffled: workers read the items from the shared folder, in blocks of BLOCK_BYTES of text, and
+    documents are scanned once a block.
     """
     own, out = docs.selectExpr("cast(doc_id as long) doc_id", "text"), None
-    for items in _blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+    root, blocks = write_items(benchmark)
+    for block in range(blocks):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            known, memory = Benchmark(held.value), {}
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            memory = {}
             for batch in batches:
-                found = leaks(known, texts(batch), coverage, memory)
+                found = leaks(read_items(root, block), texts(batch), coverage, memory)
                 columns = [batch.column("doc_id").take(pa.array([r[0] for r in found], pa.int64()))]
                 columns += [pa.array([r[j] for r in found], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.float64()), (5, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "matched_tokens", "item_tokens", "coverage", "n_tiles"])
@@ -169,14 +196,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """docs without the rows that give an item away; null and empty texts stay. See contaminated."""
-    for items in _blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+    root, blocks = write_items(benchmark)
+    for block in range(blocks):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            known, memory = Benchmark(held.value), {}
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            memory = {}
             for batch in batches:
                 clean = np.ones(len(batch), bool)
-                clean[[r[0] for r in leaks(known, texts(batch), coverage, memory)]] = False
+                clean[[r[0] for r in leaks(read_items(root, block), texts(batch), coverage, memory)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -192,36 +219,39 @@ def leaks(known: Benchmark, batch: list[str], least: float, memory: dict) -> lis
         ids += [0] * SEED
         lengths.append(len(own) + SEED)
     flat = np.array(ids, np.int64)
-    starts = np.cumsum([0, *lengths])
-    position, of, at = known.hits(flat)
-    row = np.searchsorted(starts, position, "right") - 1
-    order = np.lexsort((of, row))
-    position, of, at, row = position[order], of[order], at[order], row[order]
-    edges = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
-    out = []
-    for a, b in zip(edges, [*edges[1:], len(row)], strict=False):
-        item = known.items[of[a]]
-        reach = np.zeros(len(item), bool)
-        for k in range(SEED):
-            reach[at[a:b] + k] = True
-        if reach.sum() < least * len(item):
-            continue
-        doc = _near(flat, starts[row[a]], starts[row[a] + 1], position[a:b])
-        key = (int(of[a]), doc.tobytes())
-        if (got := memory.get(key)) is None:
-            found = tiles(doc, item)
-            if len(memory) > 5000:
-                memory.clear()
-            got = memory[key] = (sum(t[0] for t in found), len(found))
-        if got[0] >= least * len(item):
-            out.append((int(row[a]), known.ids[of[a]], got[0], len(item), got[0] / len(item), got[1]))
+    starts, out = np.cumsum([0, *lengths]), []
+    for size in known.tables:
+        grams = gram_hashes(flat, size)
+        place = np.searchsorted(starts, np.arange(len(grams)), "right") - 1
+        row, of, seeds = known.hits(grams, place, size)
+        edges = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(row)], strict=False):
+            item, r = known.items[of[a]], int(row[a])
+            if _reach(member(known.grams[of[a]], seeds[a:b])[1], size).sum() < least * len(item):
+                continue
+            own = grams[starts[r] : starts[r + 1] - size + 1]
+            doc = _near(flat[starts[r] : starts[r + 1]], member(own, seeds[a:b])[1], size)
+            key = (int(of[a]), doc.tobytes())
+            if (got := memory.get(key)) is None:
+                found = tiles(doc, item, size)
+                if len(memory) > 5000:
+                    memory.clear()
+                got = memory[key] = (sum(t[0] for t in found), len(found))
+            if got[0] >= least * len(item):
+                out.append((r, known.ids[of[a]], got[0], len(item), got[0] / len(item), got[1]))
+    return out
+
+
+def _reach(seeds: np.ndarray, size: int) -> np.ndarray:
+    """Which tokens lie in a run of size tokens that begins at one of the marks."""
+    out = np.zeros(len(seeds) + size - 1, bool)
+    for k in range(size):
+        out[k : k + len(seeds)] |= seeds
     return out
 
 
-def _near(flat: np.ndarray, start: int, end: int, seeds: np.ndarray) -> np.ndarray:
+def _near(doc: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     """The document's tokens that lie in shared seeds, other stretches shrunk to one 0: tiles lie in seeds."""
-    own = np.zeros(end - start, bool)
-    for k in range(SEED):
-        own[seeds - start + k] = True
-    ids = np.where(own, flat[start:end], 0)
+    own = _reach(seeds, size)[: len(doc)]
+    ids = np.where(own, doc, 0)
     return ids[own | np.concatenate([[True], own[:-1]])]

@@ -206,6 +206,25 @@ def test_tiles_equal_brute_force(spark):
     bench = spark.createDataFrame([(9, item), (10, None), (11, "too short")], "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in tiling.contaminated(docs, bench).collect()} == {(1, 9), (2, 9)}
     assert {x.doc_id for x in tiling.decontaminated(docs, bench).collect()} == {3, 4, 5}
+    docs = frame(spark, [(1, "it is Too, short here"), (2, "too long, short"), (3, "\u6771\u4eac\u90fd\u306b\u4f4f\u3093\u3067\u3044\u308b\u3002"), (4, "\u6771\u4eac\u5927\u962a"), (5, "!?")])
+    bench = spark.createDataFrame([(11, "too short"), (12, "\u79c1\u306f\u6771\u4eac\u90fd\u306b\u4f4f\u3093\u3067"), (13, "?!"), (14, "short")], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in tiling.contaminated(docs, bench).collect()} == {(1, 11), (1, 14), (2, 14), (3, 12)}
+
+
+def test_repeated_seeds_take_linear_memory():
+    """A word repeated 60,000 times against an item of 2,000: pairs of places would be 120 million."""
+    known = tiling.Benchmark([(1, "so " * 2000), (2, "so " * 30 + "a b c d e f")])
+    assert tiling.leaks(known, ["so " * 60_000, "x"], 0.6, {}) == [(0, 1, 2000, 2000, 1.0, 1), (0, 2, 30, 36, 30 / 36, 1)]
+    assert len(tiling.tiles(np.ones(50_000, np.int64), np.ones(3000, np.int64))) == 1
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", 60)
+    items = [(k, " ".join(f"t{k}x{j}" for j in range(8))) for k in range(12)]
+    docs = frame(spark, [(k, "start " + t + " end") for k, t in items] + [(99, "none of it")])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((x.doc_id, x.item_id) for x in tiling.contaminated(docs, bench).collect()) == [(k, k) for k in range(12)]
+    assert [x.doc_id for x in tiling.decontaminated(docs, bench).collect()] == [99]
 
 
 def test_url_rules(spark):
