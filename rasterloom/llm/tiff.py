@@ -18,15 +18,17 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
-#: A page of more bytes than this is refused with an error row, so that a forged header can't exhaust memory.
+#: By default a page of more bytes than this is an error row, so that a forged header can't exhaust memory.
 MAX_PAGE = 1 << 30
+#: No limit: the format's own offsets have 32 bits, and a Spark string ends at half of that.
+WHOLE = 1 << 32
 #: Bytes of pixels in an output batch, beyond which the next one begins.
 OUT_BYTES = 4 << 20
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = WHOLE) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -57,12 +59,12 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = WHOLE) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, widening one code early; 256 clears, 257 ends."""
     out, bits, held, at, width = bytearray(), 0, 0, 0, 9
     words: list[bytes] = [bytes((i,)) for i in range(256)] + [b"", b""]
     last = b""
-    while True:
+    while len(out) < most:
         while held < width:
             if at >= len(data):
                 return bytes(out)
@@ -86,6 +88,7 @@ def lzw_decode(data: bytes) -> bytes:
         out += last
         if len(words) + 1 >= 1 << width and width < 12:
             width += 1
+    return bytes(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -134,9 +137,9 @@ def _decode(kind: int, data: bytes, most: int) -> bytes:
     if kind in (DEFLATE, OLD_DEFLATE):
         return zlib.decompressobj().decompress(data, most)
     if kind == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if kind == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     raise ValueError(f"compression {kind} is not supported")
 
 
@@ -200,33 +203,49 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
 
 
-def page_pixels(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
+def _samples(raw: bytes, rows: int, count: int, each: int, bits: int, predictor: int, order: str) -> np.ndarray:
+    """(rows, count) samples of a decoded strip or tile whose pixels have `each` of them, the predictor undone; floats as their bits."""
+    line = -(-count * bits // 8)
+    if len(raw) < rows * line:
+        raise ValueError("a strip or tile is too short")
+    a = np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line)
+    if bits < 8:  # most significant bits first, rows begin on a byte
+        a = np.unpackbits(a, axis=1)[:, : count * bits].reshape(rows, count, bits) @ (1 << np.arange(bits)[::-1]).astype(np.uint8)
+    elif predictor == 3:  # differences of bytes, dealt to planes from the highest byte down
+        planes = np.cumsum(a.reshape(rows, -1, each), 1, np.uint8).reshape(rows, bits // 8, count)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{bits // 8}")[..., 0]
+    else:
+        a = a.view(f"{order}u{bits // 8}")
+    if predictor == 2:
+        a = np.cumsum(a.reshape(rows, -1, each), 1, a.dtype.newbyteorder("=")).reshape(rows, count) & a.dtype.type((1 << bits) - 1)
+    return a
+
+
+def page_pixels(data: bytes, order: str, tags: dict[int, tuple], most: int = MAX_PAGE) -> np.ndarray:
     """(height, width, samples) of one directory: strips or tiles, chunky or planar, predictors undone."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     w, h, s, kind = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(COMPRESSION, NONE)
-    bits, planar, predictor = set(tags.get(BITS, (1,))), one(PLANAR, 1) == 2, one(PREDICTOR, 1)
-    if bits not in ({8}, {16}, {32}) or predictor not in (1, 2):
-        raise ValueError(f"{bits} bits a sample with predictor {predictor} are not supported")
-    size = bits.pop() // 8
-    if w * h * s * size > MAX_PAGE:
+    depth, planar, predictor = set(tags.get(BITS, (1,))), one(PLANAR, 1) == 2, one(PREDICTOR, 1)
+    bits = max(depth)
+    if len(depth) > 1 or bits not in (1, 2, 4, 8, 16, 32) or predictor not in (1, 2, 3) or predictor == 3 and bits < 16:
+        raise ValueError(f"{depth} bits a sample with predictor {predictor} are not supported")
+    size = max(1, bits // 8)
+    if w * h * s * size > most:
         raise ValueError("the page is too large")
-    dtype, each = np.dtype(f"{order}u{size}"), 1 if planar else s
+    each = 1 if planar else s
     tiled = TILE_OFFSETS in tags
     pw, ph = (one(TILE_WIDTH, w), one(TILE_HEIGHT, h)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h))
     at, count = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
-    out = np.zeros((h, w, s), dtype.newbyteorder("="))
+    if min(pw, ph) < 1 and w * h:
+        raise ValueError("a strip or tile has no pixels")
+    out = np.zeros((h, w, s), f"u{size}")
     k = 0
     for plane in range(s if planar else 1):
         for y in range(0, h, ph):
             for x in range(0, w, pw):
                 rows = ph if tiled else min(ph, h - y)
-                need = rows * pw * each * size
-                raw = _decode(kind, data[at[k] : at[k] + count[k]], need)
-                if len(raw) < need:
-                    raise ValueError("a strip or tile is too short")
-                part = np.frombuffer(raw, dtype, rows * pw * each).reshape(rows, pw, each)
-                if predictor == 2:
-                    part = np.cumsum(part, 1, out.dtype)
+                raw = _decode(kind, data[at[k] : at[k] + count[k]], rows * -(-pw * each * bits // 8))
+                part = _samples(raw, rows, pw * each, each, bits, predictor, order).reshape(rows, pw, each)
                 here = out[y : y + rows, x : x + pw]
                 here[..., plane : plane + each] = part[: here.shape[0], : here.shape[1]]
                 k += 1
@@ -236,18 +255,19 @@ def page_pixels(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
 PAGES = "page int, width int, height int, samples int, bits int, compression int, pixels binary, error string"
 
 
-def read_pages(media: DataFrame, column: str, keep: list[str]) -> DataFrame:
+def read_pages(media: DataFrame, column: str, keep: list[str], most: int = MAX_PAGE) -> DataFrame:
     """One row per page of the TIFF files in a binary column, with the columns in keep.
 
-    page counts from 0. A null file gives no row. A file or page that can't be read gives one row with
-    the reason in error and null pixels, after the pages before it; the job goes on. Rows are
+    page counts from 0; bits are those that a pixel's sample takes here, 8 for smaller ones. A null file gives no row. A file or page that can't be read gives one row with
+    the reason in error and null pixels, after the pages before it; so does a
+    page of more than `most` bytes, and the job goes on. Rows are
     independent, so repeated rows repeat their pages. A narrow map, no shuffle.
     """
     kinds = dict(media.dtypes)
-    return media.select(column, *[k for k in keep if k != column]).mapInArrow(lambda b: page_batches(b, column, keep), ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), PAGES]))
+    return media.select(column, *[k for k in keep if k != column]).mapInArrow(lambda b: page_batches(b, column, keep, most), ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), PAGES]))
 
 
-def page_batches(batches: Iterator[pa.RecordBatch], column: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def page_batches(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], most: int = MAX_PAGE) -> Iterator[pa.RecordBatch]:
     """The worker's side of read_pages: a few files at a time, so that decoded pages don't pile up."""
     names = [f.split()[0] for f in PAGES.split(", ")]
     types = [pa.int32()] * 6 + [pa.binary(), pa.string()]
@@ -264,7 +284,7 @@ def page_batches(batches: Iterator[pa.RecordBatch], column: str, keep: list[str]
                 continue
             try:
                 for order, tags in directories(data):
-                    a = page_pixels(data, order, tags)
+                    a = page_pixels(data, order, tags, most)
                     rows.append((page, a.shape[1], a.shape[0], a.shape[2], 8 * a.dtype.itemsize, tags.get(COMPRESSION, (1,))[0], a.tobytes(), None))
                     of.append(i)
                     page += 1
@@ -298,7 +318,9 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Digests and features of pages that hold a text: those of the pixels as read back and of the stored file."""
     for batch in batches:
         rows = []
-        for pixels, media, w, h in zip(*(batch.column(k).to_pylist() for k in ("pixels", "media", "width", "height")), strict=True):
+        for pixels, media, w, h, error in zip(*(batch.column(k).to_pylist() for k in ("pixels", "media", "width", "height", "error")), strict=True):
+            if error:
+                raise ValueError(f"a stored text can't be read back: {error}")
             a = np.frombuffer(pixels, np.uint8)
             share = np.bincount(a, minlength=256) / len(a)
             bits = -(p := share[share > 0]) @ np.log2(p)
@@ -318,4 +340,4 @@ def text_digests(docs: DataFrame) -> DataFrame:
     columns are ignored. Storing, reading and digesting run in one worker, batch by batch.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda b: digest_batches(page_batches(media_batches(b), "media", ["doc_id", "n_bytes", "media"])), schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda b: digest_batches(page_batches(media_batches(b), "media", ["doc_id", "n_bytes", "media"], WHOLE)), schema)

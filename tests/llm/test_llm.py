@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 from pathlib import Path
 
@@ -163,6 +164,47 @@ def test_tiff_round_trip(compression, tile):
         assert all(np.array_equal(b.squeeze(), p) for b, p in zip(back, pages, strict=True))
 
 
+def golden(order, tags, body):
+    """A file made by hand: header, body at 8, one directory; tags are (tag, field, values) with values of at most four bytes or an offset."""
+    width = {3: "H", 4: "I"}
+    entries = b"".join(struct.pack(f"{order}HHI", t, f, n) + struct.pack(f"{order}{len(v)}{width[f]}", *v).ljust(4, b"\0") for t, f, n, v in tags)
+    return (b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 8 + len(body)) + body + struct.pack(f"{order}H", len(tags)) + entries + b"\0\0\0\0"
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_golden(order):
+    """Files and streams that the module didn't write."""
+    read = lambda data: [tiff.page_pixels(data, o, t) for o, t in tiff.directories(data)]
+    assert tiff.packbits_decode(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    assert tiff.lzw_decode(int("".join(f"{c:09b}" for c in codes).ljust(88, "0"), 2).to_bytes(11, "big")) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    # 2 x 3 pixels of two 16-bit planes, a strip each, offsets and counts written behind the pixels
+    planes = (np.arange(12) * 1000).astype(f"{order}u2").reshape(3, 2, 2)
+    body = planes[:, :, 0].tobytes() + planes[:, :, 1].tobytes() + struct.pack(f"{order}4I2H", 8, 20, 12, 12, 16, 16)
+    file = golden(order, [(256, 3, 1, [2]), (257, 3, 1, [3]), (258, 3, 2, [16, 16]), (259, 3, 1, [1]), (273, 4, 2, [32]), (277, 3, 1, [2]), (278, 3, 1, [3]), (279, 4, 2, [40]), (284, 3, 1, [2])], body)
+    assert read(file)[0].tolist() == planes.tolist()
+    # 10 x 2 pixels of 1 bit, PackBits, bits by default
+    file = golden(order, [(256, 3, 1, [10]), (257, 3, 1, [2]), (259, 3, 1, [32773]), (273, 4, 1, [8]), (278, 3, 1, [2]), (279, 4, 1, [6])], bytes([3, 0b10110000, 0b01000000, 0xFF, 0x80, 0]))
+    assert read(file)[0][..., 0].tolist() == [[1, 0, 1, 1, 0, 0, 0, 0, 0, 1], [1] * 9 + [0]]
+    # 3 x 1 pixels of 4 bits with differences
+    file = golden(order, [(256, 3, 1, [3]), (257, 3, 1, [1]), (258, 3, 1, [4]), (259, 3, 1, [1]), (273, 4, 1, [8]), (278, 3, 1, [1]), (279, 4, 1, [2]), (317, 3, 1, [2])], bytes([0x9A, 0x10]))
+    assert read(file)[0].ravel().tolist() == [9, 3, 4]
+    # floats as differences of byte planes
+    values = np.array([1.5, -2.25, 1e6, 0.125], ">f4")
+    flat = values.view(np.uint8).reshape(4, 4).T.ravel()
+    file = golden(order, [(256, 3, 1, [4]), (257, 3, 1, [1]), (258, 3, 1, [32]), (259, 3, 1, [1]), (273, 4, 1, [8]), (278, 3, 1, [1]), (279, 4, 1, [16]), (317, 3, 1, [3])], np.diff(flat, prepend=np.uint8(0)).tobytes())
+    assert read(file)[0].ravel().view(np.float32).tolist() == values.tolist()
+
+
+def test_tiff_limit(spark):
+    """A page above the limit is an error row for files of others; texts have no limit."""
+    file = bytearray(tiff.encode_tiff([np.zeros((40, 50), np.uint8), np.zeros((4, 5), np.uint8)]))
+    media = spark.createDataFrame([(1, file)], "id long, media binary")
+    assert [(r.page, r.error is None) for r in tiff.read_pages(media, "media", ["id"], 100).collect()] == [(0, False)]
+    assert tiff.page_pixels(bytes(file), *next(tiff.directories(bytes(file))), most=2000).shape == (40, 50, 1)
+    assert tiff.lzw_decode(tiff.lzw_encode(b"a" * 900), 100)[:100] == b"a" * 100 and len(tiff.packbits_decode(tiff.packbits_encode(b"a" * 9000), 100)) < 300
+
+
 def test_tiff_rows(spark):
     file = bytearray(tiff.encode_tiff([np.zeros((4, 5), np.uint8), np.ones((4, 5), np.uint8)]))
     media = spark.createDataFrame([(1, file), (2, None), (3, bytearray(b"junk")), (4, file[:-9])], "id long, media binary")
