@@ -71,6 +71,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def restage(df: DataFrame, name: str, last: str | None) -> tuple[DataFrame, str]:
+    """As stage, for rounds: (rows reread, their folder); the folder of the last round, which df was made from, is deleted."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/rasterloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if last:
+        delete(spark, last)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def arrow_fs(uri: str):
     """(file system, path) of a shared folder, for use inside a Python worker."""
     from pyarrow import fs

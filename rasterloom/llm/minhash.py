@@ -5,13 +5,15 @@ components are negatively correlated and the variance is lower than that of inde
 an element stops as soon as its next value can't lower the signature any more.
 
 Documents that share a band are candidates. Links are first confirmed along stars: every candidate with
-its band's hub, the document whose bands are fullest. What the stars connect is one component; only
-pairs across components are looked at further. There a parity sketch gives a lower bound of the sets'
-difference, which rules out pairs exactly, and the pairs left are confirmed on full sets.
+its band's hub, the document whose bands are fullest, then those that are in no band's largest component with
+some of its members. What stars connect is one component; only pairs across components are looked at further,
+and none inside a band's largest one. There set sizes rule pairs out, then a parity sketch's lower bound of the
+sets' difference, exactly; the pairs left are confirmed on full sets.
 """
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import delete, restage, stage
 from .exchange import by_batch, read_answer, stage_batches, without, write_answers
 from .kernel import U64, Spans, lower, mix, text_bytes, words
 
@@ -30,8 +32,10 @@ PERCENT = 85
 BANDS, ROWS = 20, 4
 #: Bits of a parity sketch.
 SKETCH = 2048
-#: Members of a band that are compared with each other in one task; larger bands are cut into such blocks.
-BLOCK = 1024
+#: Members of a band that are compared with as many others in one task; larger bands are cut into such blocks.
+BLOCK = 256
+#: Members of a band's largest component that its other members are compared with first.
+HUBS = 8
 _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=U64)) | U64(1)
 
 
@@ -150,11 +154,12 @@ def components(edges: DataFrame) -> DataFrame:
             moved = moved.unionAll(least.select(F.col("a").alias("v"), "m"))
         return moved.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
-    edges, last = edges.where("a <> b").select("a", "b").distinct(), None
+    edges, last, path = edges.where("a <> b").select("a", "b").distinct(), None, None
     while True:
-        edges = stage(star(star(edges, True), False), "stars")
+        edges, path = restage(star(star(edges, True), False), "stars", path)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
+            atexit.register(delete, edges.sparkSession, path)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select("b", "b").distinct())
         last = tuple(now)
 
@@ -218,16 +223,16 @@ def confirm(staged: DataFrame, batches: int, nodes: DataFrame, pairs: DataFrame,
 
 
 def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of different components in two blocks of a band (or inside one) that the sketch doesn't rule out."""
+    """Pairs of different components, of a member of side 0 and one of side 1 (or of two of side 0, where that is all), that the sketch doesn't rule out."""
     side = table.column("side").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(side), -1)
-    ids, n, own = (table.column(c).to_numpy() for c in ("doc_id", "n", "component"))
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(side)),) * 2
+    ids, n, own, low = (table.column(c).to_numpy() for c in ("doc_id", "n", "component", "low"))
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if not table.column("inner").to_numpy().any() else (np.arange(len(side)),) * 2
     inside = left is right
     found = []
     for i in left:
         others = right[right > i] if inside else right
-        others = others[own[others] != own[i]]
+        others = others[(own[others] != own[i]) & ~(low[i] & low[others])]
         least, most = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
         others = others[100 * least >= percent * most]
         if len(others):
@@ -238,6 +243,44 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
 
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (band, doc_id, n) of bands with several components, with their component and `own`, the band's component of the most members."""
+    joined = components(links)
+    placed = stage(members.join(joined, members.doc_id == joined.node, "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "labelled")
+    shares = placed.groupBy("band", "component").agg(F.count("*").alias("many"))
+    bands = shares.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("many", "component")).alias("most")).where("kinds > 1")
+    return stage(placed.join(bands.select("band", F.col("most.component").alias("own")), "band"), "open")
+
+
+def _to_hubs(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member outside its band's largest component with a few members of it, drawn by a hash."""
+    draw = F.xxhash64("doc_id", "band")
+    inner = rest.where("component = own").groupBy("band", F.pmod(draw, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(draw.alias("h"), "doc_id", "n")).alias("hub"))
+    pairs = rest.where("component <> own").join(inner.select("band", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("na")), "band")
+    return pairs.where(f"100 * least(n, na) >= {percent} * greatest(n, na)").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def _blocked(rest: DataFrame, percent: int) -> DataFrame:
+    """Members dealt to tasks so that each pair of different components of a band that sizes allow meets in one of them.
+
+    band, z, x, y name a task, side is a member's side in it. A member is in its class of sizes and, as `low`, in the
+    next one (two members that sizes allow are in one class or in neighbouring ones; two that are low don't meet). Those outside the largest component, the
+    few, are cut into blocks and meet each block of the few and of the others; so the others' copies grow with the
+    few alone. A band without the few has none.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
+    t = rest.withColumn("class", size).withColumn("z", F.explode(F.array("class", F.col("class") + 1))).withColumn("few", (F.col("component") != F.col("own")).cast("int"))
+    counts = t.groupBy("band", "z").agg(F.sum("few").alias("n_few"), F.sum(1 - F.col("few")).alias("n_other"), F.max(F.col("class") == F.col("z")).alias("of_class")).where("n_few > 0 and of_class")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    t = t.join(counts.select("band", "z", blocks("n_few").alias("xs"), blocks("n_other").alias("ys")), ["band", "z"])
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("few") == 1, F.col("xs")).otherwise(F.col("ys"))).cast("int")
+    # few are blocks 0 to xs - 1, others xs to xs + ys - 1; a task is (x, y) with x < xs and x <= y
+    t = t.withColumn("own_block", F.when(F.col("few") == 1, own).otherwise(own + F.col("xs")))
+    other = F.when(F.col("few") == 1, F.sequence(F.lit(0), F.col("xs") + F.col("ys") - 1)).otherwise(F.sequence(F.lit(0), F.col("xs") - 1))
+    t = t.withColumn("other", F.explode(other))
+    return t.select("band", "z", F.least("own_block", "other").alias("x"), F.greatest("own_block", "other").alias("y"), (F.col("own_block") > F.col("other")).cast("int").alias("side"), (F.col("own_block") == F.col("other")).alias("inner"), (F.col("class") != F.col("z")).alias("low"), "doc_id", "component")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, int]:
     """(groups, staged documents with the column _batch, number of batches).
 
@@ -264,15 +307,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     look = nodes.select(F.col("doc_id").alias("id"), "n", "sketch")
     stars = _sketched(stars, look, percent)
     links = confirm(slim, batches, nodes, stage(stars, "starpairs"), percent)
-    joined = components(links)
-    placed = stage(members.join(joined, members.doc_id == joined.node, "left").select("band", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
-    open_bands = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("width")).where("lo < hi").select("band", "width")
-    split = F.ceil(F.col("width") / BLOCK).cast("int")
-    rest = placed.join(open_bands, "band").withColumn("blocks", split).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "component")
+    near = _sketched(_to_hubs(_open(members, links), percent), look, percent)
+    links = links.unionAll(confirm(slim, batches, nodes, stage(near, "hubpairs"), percent))
+    rest = _blocked(_open(members, links), percent)
     rest = rest.join(look, rest.doc_id == look.id).drop("id")
-    pairs = rest.groupBy("band", "x", "y").applyInArrow(lambda t: _across(t, percent), "a long, b long").distinct()
+    pairs = rest.groupBy("band", "z", "x", "y").applyInArrow(lambda t: _across(t, percent), "a long, b long").distinct()
     more = confirm(slim, batches, nodes, stage(pairs, "crosspairs"), percent)
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     same = usable.join(repeated, "doc_id").join(heads, "identity").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))

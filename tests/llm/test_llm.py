@@ -94,6 +94,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
 
 
+def test_open_bands_lose_no_pair(spark, monkeypatch):
+    """Blocks, size classes and the largest component together let each pair that sizes allow meet exactly once."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    r = random.Random(2)
+    rows = [(b, d, r.choice([1, 2, 17, 85, 99, 100, 101, 118, 850, 1000]), r.choice([0, 0, 0, d])) for b in range(3) for d in range(1, 60)]
+    rest = spark.createDataFrame([(*x, 0) for x in rows], "band long, doc_id long, n long, component long, own long")
+    groups = collections.defaultdict(list)
+    size = {(b, d): (n, c) for b, d, n, c in rows}
+    for t in minhash._blocked(rest, 85).collect():
+        groups[t.band, t.z, t.x, t.y].append(t)
+    met = collections.Counter()
+    for (band, *_), own in groups.items():
+        assert len(own) < 40
+        for a, b in itertools.combinations(own, 2):
+            if (a.inner or a.side != b.side) and a.component != b.component and not (a.low and b.low):
+                met[band, min(a.doc_id, b.doc_id), max(a.doc_id, b.doc_id)] += 1
+    allowed = {(b, x, y) for b, x, y in itertools.product(range(3), range(1, 60), range(1, 60)) if x < y and size[b, x][1] != size[b, y][1] and 100 * min(size[b, x][0], size[b, y][0]) >= 85 * max(size[b, x][0], size[b, y][0])}
+    assert allowed <= set(met) and max(met.values()) == 1
+
+
 def test_pipeline_near_copies_from_80_percent(spark):
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(w)) for i, w in enumerate([base, base[:-10] + [f"z{i}" for i in range(10)], base[:-30] + [f"y{i}" for i in range(30)]])]
