@@ -1,10 +1,10 @@
 """Repeated passages by merging the Burrows-Wheeler transforms of shards.
 
-A collection of strings, each padded and taken as a circle, is sorted shard by shard. Shard orders are
-merged by interleave refinement: the interleave after k rounds is right for the first g*k symbols, and
-a round deals the shards' BWT symbols (g preceding bytes each) stably into their classes, which moves
-every shard's ranks one LF step without touching a suffix. Borders between classes carry the common
-prefix length at which they arose; classes that are still whole at depth 50 are the repeated intervals.
+A collection of strings, each padded and taken as a circle, is sorted shard by shard, to the depth of a window.
+Shard orders are merged by interleave refinement: the interleave after k rounds is right for the first g*k symbols,
+and a round deals the shards' BWT symbols (g preceding bytes each) stably into their classes, which moves every
+shard's ranks one LF step without touching a suffix. Each border between neighbours carries the round that made it
+and so their common prefix; the intervals between borders shorter than a window are its repeats.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ WINDOW = 50
 GRAM = 20
 #: Windows of one context at most (a bit each); longer runs, which only periodic text has, are cut.
 RUN = 32
-#: Bytes of strings that are merged together; a key's strings are never divided.
+#: Places of an anchor in all rows beyond which each of its windows travels by itself, to the bucket of its own hash.
+HOT = 4096
+#: Bytes of strings that are merged together, about; one anchor's are at most HOT times the longest context.
 CHUNK = 400_000
 SHARDS = 4
 
@@ -44,7 +46,7 @@ def gram_codes(data: np.ndarray, nxt: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def shard_order(codes: np.ndarray, back: np.ndarray, rounds: int) -> np.ndarray:
-    """Positions of a shard's circles in sorted order, by as many stable rounds as the longest circle needs."""
+    """Positions of a shard's circles sorted by as many codes, a stable round each."""
     order = np.arange(len(codes))
     for _ in range(rounds):
         order = back[order]
@@ -52,15 +54,15 @@ def shard_order(codes: np.ndarray, back: np.ndarray, rounds: int) -> np.ndarray:
     return order
 
 
-def merge_bwts(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave of sorted shards from their BWTs alone.
+def merge_bwts(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of sorted shards from their BWTs alone, to that many rounds.
 
-    Gives, along the merged order: the shard, the class of equal prefixes of that many rounds, and for
-    each class border the round that made it (common prefix in units of g; 0 inside a class).
+    Gives, along the merged order, the shard and the common prefix with the one before: the rounds, in units of g,
+    that the two are equal for, which is `rounds` if nothing parted them.
     """
     symbols = np.concatenate(bwts)
     shard = np.repeat(np.arange(len(bwts), dtype=np.uint8), [len(b) for b in bwts])
-    group, born = np.zeros(len(symbols), np.int32), np.zeros(len(symbols), np.uint8)
+    group, common, borders = np.zeros(len(symbols), np.int32), np.full(len(symbols), rounds, np.uint8), 0
     for k in range(rounds):
         merged = np.empty_like(symbols)
         merged[np.argsort(shard, kind="stable")] = symbols
@@ -69,9 +71,12 @@ def merge_bwts(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndar
         border = np.empty(len(symbols), bool)
         border[:1] = True
         border[1:] = (merged[1:] != merged[:-1]) | (before[1:] != before[:-1])
-        born[border & (born == 0)] = k + 1
+        np.minimum(common, k, out=common, where=border)
         group = np.cumsum(border, dtype=np.int32)
-    return shard, group, born
+        if len(group) and group[-1] == borders:  # no new border: later rounds find none either
+            break
+        borders = int(group[-1]) if len(group) else 0
+    return shard, common
 
 
 def repeat_minimum(strings: np.ndarray, lengths: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -95,14 +100,15 @@ def repeat_minimum(strings: np.ndarray, lengths: np.ndarray, weight: np.ndarray)
     edges = [0, *dict.fromkeys(int(base[c]) for c in cuts if 0 < c < count), total]
     orders, bwts = [], []
     for lo, hi in zip(edges, edges[1:], strict=False):
-        order = shard_order(codes[lo:hi], back[lo:hi] - lo, -(-int(size.max()) // g)) + lo
+        order = shard_order(codes[lo:hi], back[lo:hi] - lo, WINDOW // g) + lo
         orders.append(order)
         bwts.append(codes[back[order]])
-    shard, group, _ = merge_bwts(bwts, WINDOW // g)
+    shard, common = merge_bwts(bwts, WINDOW // g)
     position = np.empty(total, np.int64)
     position[np.argsort(shard, kind="stable")] = np.concatenate(orders)
     inside = position - base[owner[position]]
     usable = inside <= lengths[owner[position]] - WINDOW
+    group = np.cumsum(common * g < WINDOW)  # a shorter common prefix begins the next interval
     position, group = position[usable], group[usable]
     first = np.flatnonzero(np.diff(group, prepend=-1))
     least = np.minimum.reduceat(weight[owner[position]], first) if len(first) else weight[:0]
@@ -153,32 +159,54 @@ class Contexts:
         self.start, self.windows = at, count
         self.key = least[at] >> U64(16)
         self.row = np.searchsorted(offsets, at, "right") - 1
+        self.spans = spans
         self.hash = spans(at, at + count + WINDOW - 1) if hashes else None
 
+    def keep(self, those: np.ndarray) -> None:
+        for name in ("start", "windows", "key", "row", "hash"):
+            setattr(self, name, getattr(self, name)[those])
+
+    def divide(self, hot: np.ndarray) -> None:
+        """Runs at anchors among hot become a run for each window, with its own hash as key."""
+        if not len(self.key) or not len(hot):
+            return
+        split = np.flatnonzero(member(self.key, hot)[1])
+        n = self.windows[split]
+        at = np.repeat(self.start[split], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        own = self.spans(at, at + WINDOW)
+        rest = np.ones(len(self.key), bool)
+        rest[split] = False
+        order = np.argsort(np.concatenate([self.start[rest], at]), kind="stable")
+        pairs = {"start": at, "windows": np.ones(len(at), np.int64), "key": own >> U64(16), "row": np.repeat(self.row[split], n), "hash": own}
+        for name, new in pairs.items():
+            setattr(self, name, np.concatenate([getattr(self, name)[rest], new])[order])
+
 
 def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def _key_extent(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their least and greatest id."""
+def _key_extent(key: np.ndarray, low: np.ndarray, high: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys with their least and greatest id and their places."""
     order = np.argsort(key, kind="stable")
-    key, low, high = key[order], low[order], high[order]
+    key, low, high, times = key[order], low[order], high[order], times[order]
     first = _runs(key)
-    return (key[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)) if len(first) else (key, low, high)
+    return (key[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.add.reduceat(times, first)) if len(first) else (key, low, high, times)
 
 
-def _send_anchors(buckets: int):
+def _send_anchors(buckets: int, most: int):
+    import zstandard
+
     def flush(batch: int, held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        key, low, high = _key_extent(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        key, low, high, times = _key_extent(*(np.concatenate(x) for x in zip(*held, strict=True)))
         bucket = key % U64(buckets)
         order = np.argsort(bucket, kind="stable")
-        key, bucket, many = key[order], bucket[order], (low != high)[order]
-        edges = np.append(_runs(bucket), len(key))
-        rows = [(int(bucket[a]), batch, pack_sorted(key[a:b]), pack_sorted(key[a:b][many[a:b]])) for a, b in zip(edges, edges[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "batch", "keys", "many"])
+        key, bucket, many, times = key[order], bucket[order], (low != high)[order], np.minimum(times, most + 1).astype("<u2")[order]
+        edges, squeeze = np.append(_runs(bucket), len(key)), zstandard.ZstdCompressor(level=1).compress
+        rows = [(int(bucket[a]), batch, pack_sorted(key[a:b]), pack_sorted(key[a:b][many[a:b]]), squeeze(times[a:b].tobytes())) for a, b in zip(edges, edges[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "batch", "keys", "many", "times"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -188,25 +216,35 @@ def _send_anchors(buckets: int):
                 held, now = [], batch
             c = Contexts(*text_bytes(rb.column("text")), hashes=False)
             ids = rb.column("_ord").to_numpy()[c.row]
-            held.append(_key_extent(c.key, ids, ids))
+            held.append(_key_extent(c.key, ids, ids, np.ones(len(ids), np.int64)))
         yield from flush(now, held)
 
     return run
 
 
-def _answer_anchors(sent: pa.Table) -> pa.Table:
-    keys = [unpack_sorted(b.as_py()) for b in sent.column("keys")]
-    every, times = np.unique(np.concatenate(keys), return_counts=True)
-    shared = every[times > 1]
-    for b in sent.column("many"):
-        if len(many := unpack_sorted(b.as_py())):
-            shared = np.union1d(shared, many)
-    return pa.table({"batch": sent.column("batch"), "keys": pa.array([pack_sorted(k[member(k, shared)[1]]) for k in keys], pa.binary())})
+def _answer_anchors(most: int):
+    """Per batch: which of its anchors several ids hold, and which of them have more than `most` places."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        import zstandard
+
+        keys = [unpack_sorted(b.as_py()) for b in sent.column("keys")]
+        every, back, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = every[times > 1]
+        for b in sent.column("many"):
+            if len(many := unpack_sorted(b.as_py())):
+                shared = np.union1d(shared, many)
+        places = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(t.as_py()), "<u2") for t in sent.column("times")])
+        hot = np.intersect1d(every[np.bincount(back, places, len(every)) > most], shared, assume_unique=True)
+        return pa.table({"batch": sent.column("batch"), **{name: pa.array([pack_sorted(k[member(k, of)[1]]) for k in keys], pa.binary()) for name, of in (("keys", shared), ("hot", hot))}})
+
+    return run
 
 
-def _shared_keys(root: str, batch: int) -> np.ndarray:
-    answer = read_answer(root, batch)
-    return np.sort(np.concatenate([unpack_sorted(b.as_py()) for b in answer.column("keys")])) if answer else np.zeros(0, U64)
+def _keys_of(root: str, batch: int, column: str) -> np.ndarray:
+    """Anchors of a batch as answered: `keys`, the shared ones, or `hot`."""
+    answer = read_answer(root, batch, [column])
+    return np.sort(np.concatenate([unpack_sorted(b.as_py()) for b in answer.column(column)])) if answer else np.zeros(0, U64)
 
 
 #: Bytes of contexts that a task holds before it sends them on.
@@ -242,18 +280,20 @@ def _send_contexts(buckets: int, root: str):
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[k : k + 64]], t) for j, t in enumerate(types)], names)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now, shared, size = [], None, None, 0
+        held, now, shared, hot, size = [], None, None, None, 0
         for batch, rb in by_batch(rows):
             if batch != now or size > HELD:
                 yield from flush(now, held)
                 if batch != now:
-                    shared = _shared_keys(root, batch)
+                    shared, hot = _keys_of(root, batch, "keys"), _keys_of(root, batch, "hot")
                 held, now, size = [], batch, 0
             if not len(shared):
                 continue
             data, offsets = text_bytes(rb.column("text"))
             c = Contexts(data, offsets)
-            hit = np.flatnonzero(member(c.key, shared)[1])
+            c.keep(member(c.key, shared)[1])
+            c.divide(hot)
+            hit = np.arange(len(c.key))
             ids = rb.column("_ord").to_numpy()[c.row[hit]]
             order = np.lexsort((ids, c.hash[hit]))
             order = order[_runs(c.hash[hit][order])]
@@ -283,9 +323,12 @@ def _answer_contexts(sent: pa.Table) -> pa.Table:
     kind_of = np.empty(len(hashes), np.int64)
     kind_of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     floor = np.repeat(least[:, None], RUN, 1)
+    most = np.maximum.reduceat(ids[order], first) if len(first) else least
     by_key = np.argsort(key[kinds], kind="stable")
     edges = np.append(_runs(key[kinds][by_key]), len(by_key))
-    rival = np.flatnonzero(np.diff(edges) > 1)
+    # an anchor whose strings one id holds alone, as parts of hot ones may be, has nothing to remove
+    low, high = (f.reduceat(a[by_key], edges[:-1]) if len(by_key) else a for f, a in ((np.minimum, least), (np.maximum, most)))
+    rival = np.flatnonzero(low < high)
     k = 0
     while k < len(rival):
         group, held = [], 0
@@ -308,7 +351,7 @@ def _answer_contexts(sent: pa.Table) -> pa.Table:
     return pa.table({"batch": sent.column("batch"), **{n: pa.array([a[x:y].tobytes() for x, y in parts], pa.binary()) for n, a in (("hash", hashes), ("ord", ids), ("mask", mask))}})
 
 
-def _mark(root: str, with_text: bool):
+def _mark(root: str, anchors: str, with_text: bool):
     """Rereads batches with their answers and removes the repeated bytes."""
 
     def answer(batch: int):
@@ -321,14 +364,15 @@ def _mark(root: str, with_text: bool):
         return hashes[order], ids[order], mask[order]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, None
+        now, known, hot = None, None, None
         for batch, rb in by_batch(rows):
             if batch != now:
-                known, now = answer(batch), batch
+                known, hot, now = answer(batch), _keys_of(anchors, batch, "hot"), batch
             data, offsets = text_bytes(rb.column("text"))
             gone = np.zeros(len(data), bool)
             if len(known[0]):
                 c = Contexts(data, offsets)
+                c.divide(hot)
                 at, there = member(c.hash, known[0])
                 hit = np.flatnonzero(there)
                 at, n = at[hit], c.windows[hit]
@@ -358,7 +402,7 @@ def _mark(root: str, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """Removes each byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
     Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with carry (names of further columns of
@@ -368,18 +412,19 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     table gives no rows; other columns are ignored and never clash.
 
     Only windows whose anchor occurs in two ids travel: as distinct contexts a batch, to the bucket of
-    their anchor, where contexts of one form are one string. Where an anchor has several forms, shard
-    BWTs of them are merged. Work and shuffled bytes grow with the text, whatever a group's size.
+    their anchor, where equal contexts are one string of its least id, and shard BWTs of each shared
+    anchor's strings are merged. Windows of an anchor with more than `hot` places go by their own hash, so
+    that no bucket gathers a frequent gram's surroundings. Work and shuffled bytes grow with the text.
     """
     with_text = carry is not None
     carry = carry or []
     least_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     staged, n = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), least_id.alias("_ord"), "text", *carry), "repeats")
     slim = staged.select("_batch", "_ord", "text")
-    anchors = slim.mapInArrow(_send_anchors(n), "bucket int, batch int, keys binary, many binary")
-    shared = write_answers(in_buckets(anchors, _answer_anchors, "batch int, keys binary"), n, "anchors")
+    anchors = slim.mapInArrow(_send_anchors(n, hot), "bucket int, batch int, keys binary, many binary, times binary")
+    shared = write_answers(in_buckets(anchors, _answer_anchors(hot), "batch int, keys binary, hot binary"), n, "anchors")
     contexts = slim.mapInArrow(_send_contexts(2 * n, shared), "bucket int, batch int, hash binary, key binary, ord binary, windows binary, bytes binary")
     marks = write_answers(in_buckets(contexts, _answer_contexts, "batch int, hash binary, ord binary, mask binary"), n, "marks")
     kinds = dict(docs.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return (staged if with_text else staged.select("doc_id", "_batch", "_ord", "text")).mapInArrow(_mark(marks, with_text), schema)
+    return (staged if with_text else staged.select("doc_id", "_batch", "_ord", "text")).mapInArrow(_mark(marks, shared, with_text), schema)

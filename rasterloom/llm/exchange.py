@@ -32,8 +32,8 @@ def write_answers(answers: DataFrame, batches: int, name: str) -> str:
     return root
 
 
-def read_answer(root: str, batch: int) -> pa.Table | None:
-    """A batch's answer, in a Python worker; None if it has none."""
+def read_answer(root: str, batch: int, columns: list[str] | None = None) -> pa.Table | None:
+    """A batch's answer, or those columns of it, in a Python worker; None if it has none."""
     import pyarrow.parquet as pq
     from pyarrow import fs as pafs
 
@@ -42,7 +42,7 @@ def read_answer(root: str, batch: int) -> pa.Table | None:
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
         return None
     files = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet")]
-    return pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in sorted(files)]) if files else None
+    return pa.concat_tables([pq.read_table(f, columns=columns, filesystem=fs, partitioning=None) for f in sorted(files)]) if files else None
 
 
 def by_batch(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:

@@ -40,7 +40,9 @@ def mixed(n=120):
     return rows + [(n, rows[3][1]), (None, rows[4][1])]
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [bwt.HOT, 3])
+def test_repeats_equal_brute_force(spark, hot):
+    """With 3, most shared anchors are divided into windows."""
     rows = mixed()
     first = {}
     for d, t in rows:
@@ -48,7 +50,7 @@ def test_repeats_equal_brute_force(spark):
         for i in range(len(b) - 49):
             k = -1 if d is None else d
             first[b[i : i + 50]] = min(first.get(b[i : i + 50], k), k)
-    got = {r[0]: tuple(r)[1:] for r in bwt.remove_repeats(frame(spark, rows)).collect()}
+    got = {r[0]: tuple(r)[1:] for r in bwt.remove_repeats(frame(spark, rows), hot=hot).collect()}
     for d, t in rows:
         b, gone = (t or "").encode(), bytearray(len((t or "").encode()))
         for i in range(len(b) - 49):
@@ -70,6 +72,22 @@ def test_merged_order_is_sorted():
     assert got.tolist() == [want[s[i : i + 50].tobytes()] for s in strings for i in range(len(s) - 49)]
 
 
+def test_merged_common_prefixes():
+    """Interleave and common prefixes of two shards of circles against sorting all of them."""
+    r = np.random.default_rng(1)
+    circles = [bytes(r.integers(97, 99, n).astype(np.uint8)) + b"\0" for n in (9, 12, 7, 11)]
+    shards, turns = (circles[:2], circles[2:]), 8
+    turned = [sorted(((c * 9)[k:][: len(c) * 8], c, k) for c in shard for k in range(len(c))) for shard in shards]
+    bwts = [np.array([c[k - 1] for _, c, k in t], np.uint16) for t in turned]
+    shard, common = bwt.merge_bwts(bwts, turns)
+    prefixes = [[t[0][:turns] for t in own] for own in turned]
+    own = [iter(p) for p in prefixes]
+    merged = [next(own[s]) for s in shard]
+    assert merged == sorted(prefixes[0] + prefixes[1])
+    same = lambda a, b: next((k for k in range(turns) if a[k] != b[k]), turns)
+    assert common[1:].tolist() == [same(a, b) for a, b in itertools.pairwise(merged)]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     r = random.Random(3)
     base = [r.choice("abcdefgh") + str(r.randrange(50)) for _ in range(90)]
