@@ -1,7 +1,7 @@
 """Language-model scores by a probabilistic suffix tree over bytes.
 
 A text is its lower-cased words, each followed by a space, the last by the end mark. The tree keeps a
-context of up to six bytes if it is seen twice and a divergence test says that its next-symbol
+context of up to six bytes if it is seen twice and a divergence test at a thousandth says that its next-symbol
 distribution differs from that of its suffix; suffixes of kept contexts are kept. A symbol's probability
 is that of the longest kept suffix of its history, smoothed towards the suffix one byte shorter.
 
@@ -33,6 +33,8 @@ LEAST = 2
 SHARED = 3
 #: Weight of the shorter context, in symbols.
 PULL = 12.0
+#: Normal quantile of the divergence test: of contexts whose symbols don't depend on the longer context, one in a thousand is kept.
+QUANTILE = 3.0902
 #: Bucket number of what makes up the tree's top.
 TOP = -1
 #: Key of the end token among the words' hashes.
@@ -101,6 +103,12 @@ def levels(gram: np.ndarray, times: np.ndarray, depths: range) -> tuple[np.ndarr
     return tuple(np.concatenate(c) for c in zip(*rows, strict=True))
 
 
+def likely(kinds: np.ndarray) -> np.ndarray:
+    """The QUANTILE of chi-squared with so many degrees of freedom, by the cube-root approximation."""
+    spread = 2 / (9 * np.maximum(kinds, 1))
+    return kinds * (1 - spread + QUANTILE * np.sqrt(spread)) ** 3
+
+
 class SuffixTree:
     """Kept contexts by depth, with their symbols' counts."""
 
@@ -131,7 +139,7 @@ class SuffixTree:
         parent = self.probability(key & suffix, d - 1)
         gain = np.bincount(group, n * np.log(n / sums[group] / parent), len(ids)) if len(ids) else sums
         kinds = np.bincount(group, minlength=len(ids))
-        test = 2 * gain > kinds  # about chi-squared with that mean if the symbols don't depend on the longer context
+        test = 2 * gain > likely(kinds)  # about chi-squared with that mean if the symbols don't depend on the longer context
         test &= member(ids & U64((1 << 8 * (d - 1)) - 1), kept)[1] if d > 1 else True
         own = test[group] if len(ids) else np.zeros(0, bool)
         self.keys.append(key[own])

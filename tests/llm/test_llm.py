@@ -450,12 +450,30 @@ def brute_tree_score(corpus, text):
 
     for c in sorted(filter(None, count), key=len):
         n = sum(count[c].values())
-        if n >= 2 and c[1:] in kept and 2 * sum(k * np.log(k / n / p(c[1:], x)) for x, k in count[c].items()) > len(count[c]):
+        k = len(count[c])
+        limit = k * (1 - 2 / (9 * k) + 3.0902 * (2 / (9 * k)) ** 0.5) ** 3
+        if n >= 2 and c[1:] in kept and 2 * sum(m * np.log(m / n / p(c[1:], x)) for x, m in count[c].items()) > limit:
             kept.add(c)
     b = symbols(text)
     return sum(np.log10(p(b[i - suffixtree.DEPTH : i], b[i])) for i in range(suffixtree.DEPTH, len(b)))
 
 
+def test_suffix_tree_is_a_distribution():
+    """The next symbol's probabilities sum to one after any history; contexts by chance are pruned, telling ones kept."""
+    r = np.random.default_rng(5)
+    data = r.choice(np.frombuffer(b"abcd", np.uint8), 40_000)
+    data[1::9], data[2::9] = 120, 121  # x is always followed by y
+    grams = np.zeros(len(data) - suffixtree.DEPTH, np.uint64)
+    for k in range(suffixtree.DEPTH + 1):
+        grams = grams << np.uint64(8) | data[k : k + len(grams)]
+    kinds, times = np.unique(grams, return_counts=True)
+    tree = suffixtree.SuffixTree(*suffixtree.levels(kinds, times.astype(float), range(suffixtree.DEPTH + 1)))
+    for history in (b"abcdab", b"aaaaax", b"zzzzzz", b"\n\n\n\nab"):
+        own = np.array([int.from_bytes(history + bytes([x]), "big") for x in range(256)], np.uint64)
+        assert abs(tree.probability(own, suffixtree.DEPTH).sum() - 1) < 1e-9
+    assert ord("x") in tree.contexts[1] and np.allclose(suffixtree.likely(np.array([1, 10, 100])), [10.83, 29.59, 149.45], atol=0.3)
+
+
 def test_suffix_tree_equals_brute_force(spark):
     r = random.Random(8)
     vocabulary = ["".join(r.choices("abcdeé", k=r.randint(2, 9))) for _ in range(30)]
