@@ -109,6 +109,19 @@ def in_sphere(axes: tuple[str, str, str], radius: str) -> tuple[str, str, str]:
     return tuple(f"({a}*(case when {norm} > {radius} then {radius}/{norm} else 1.0D end))" for a in axes)
 
 
+#: Modulus of the hashed numbers; its square fits 63 bits.
+MODULUS = 2147483647
+
+
 def uniform(seed: int, *keys: str) -> str:
-    """A number in 0..1 that depends on a seed and columns only, in place of an order-dependent generator."""
-    return f"(pmod(xxhash64({seed}, {', '.join(keys)}), 1000003)/1000003.0D)"
+    """A number in 0..1 that depends on a seed and whole-number columns only, in place of an order-dependent generator."""
+    h = " + ".join(f"{k}*{m}" for k, m in zip(keys, (48271, 69621, 40692, 16807), strict=False))
+    h = f"pmod({h} + {seed * 7919 + 12345}, {MODULUS})"
+    for add in (12345, 67890):
+        h = f"pmod({h}*{h} + {add}, {MODULUS})"
+    return f"({h}/{MODULUS}.0D)"
+
+
+def normal(seed: int, *keys: str) -> str:
+    """A standard normal number of a seed and whole-number columns."""
+    return f"(sqrt(-2.0D*ln(greatest({uniform(2 * seed, *keys)}, 1e-12D)))*cos(2.0D*pi()*{uniform(2 * seed + 1, *keys)}))"

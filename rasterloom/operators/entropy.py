@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Bits of the longest code that containers hold.
+MOST_BITS = 32
+
+
 def med_encode(indexed: DataFrame, size: DataFrame) -> DataFrame:
     """Median-edge prediction residuals: image_id, y, x, e = idx - prediction + size (image_id, size).
 
@@ -23,27 +27,26 @@ def med_encode(indexed: DataFrame, size: DataFrame) -> DataFrame:
     return t.join(size, "image_id").select("image_id", "y", "x", (F.col("idx") - guess + F.col("size")).cast("int").alias("e"))
 
 
+def undo_med(e: np.ndarray) -> np.ndarray:
+    """The matrix whose median-edge prediction residuals are e. Cells of one anti-diagonal don't depend on each other."""
+    h, w = e.shape
+    out = np.zeros((h + 1, w + 1), np.int64)  # a row above and a column before, of zeros
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        inner = np.where(c >= np.maximum(a, b), np.minimum(a, b), np.where(c <= np.minimum(a, b), np.maximum(a, b), a + b - c))
+        out[y + 1, x + 1] = e[y, x] + np.where(y == 0, a, np.where(x == 0, b, inner))
+    return out[1:, 1:]
+
+
 def med_decode(residuals: DataFrame, size: DataFrame) -> DataFrame:
     """The index matrix of residuals. Each prediction needs decoded neighbours, so an image is decoded in one call."""
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w, p = int(pdf.y.max()) + 1, int(pdf.x.max()) + 1, int(pdf["size"].iloc[0])
-        e = np.zeros((h, w), np.int64)
-        e[pdf.y, pdf.x] = pdf.e - p
-        out = [[0] * w for _ in range(h)]
-        for y in range(h):
-            above, own = out[y - 1], out[y]
-            for x in range(w):
-                if y == 0:
-                    guess = own[x - 1] if x else 0
-                elif x == 0:
-                    guess = above[0]
-                else:
-                    a, b, c = own[x - 1], above[x], above[x - 1]
-                    guess = min(a, b) if c >= max(a, b) else max(a, b) if c <= min(a, b) else a + b - c
-                own[x] = int(e[y, x]) + guess
-        idx = np.array(out)
-        return pdf[["image_id", "y", "x"]].assign(idx=idx[pdf.y, pdf.x])
+        e = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), np.int64)
+        e[pdf.y, pdf.x] = pdf.e - int(pdf["size"].iloc[0])
+        return pdf[["image_id", "y", "x"]].assign(idx=undo_med(e)[pdf.y, pdf.x])
 
     return residuals.join(size, "image_id").groupBy("image_id").applyInPandas(decode, "image_id long, y int, x int, idx int")
 
@@ -51,16 +54,19 @@ def med_decode(residuals: DataFrame, size: DataFrame) -> DataFrame:
 def runs(values: DataFrame, column: str) -> DataFrame:
     """Run lengths in raster order, across row ends: image_id, run_no, value, len.
 
-    Rows are collapsed first, each by itself; runs that meet at row ends are joined on what is left.
+    Rows are collapsed first, each by itself; only one row of a row's first and last value is ordered by image.
     """
     t = values.select("image_id", "y", "x", F.col(column).alias("value"))
     row = W.partitionBy("image_id", "y").orderBy("x")
     t = t.withColumn("new", F.coalesce((F.col("value") != F.lag("value").over(row)).cast("int"), F.lit(1)))
     t = t.withColumn("part", F.sum("new").over(row.rowsBetween(W.unboundedPreceding, 0)))
     t = t.groupBy("image_id", "y", "part").agg(F.first("value").alias("value"), F.count("*").alias("len"))
-    whole = W.partitionBy("image_id").orderBy("y", "part")
-    t = t.withColumn("new", F.coalesce((F.col("value") != F.lag("value").over(whole)).cast("int"), F.lit(1)))
-    t = t.withColumn("run_no", F.sum("new").over(whole.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    # a row's runs are counted by themselves; what it adds before the next row is known from its first and last value
+    ends = t.groupBy("image_id", "y").agg(F.max("part").alias("parts"), F.min_by("value", "part").alias("head"), F.max_by("value", "part").alias("tail"))
+    rows = W.partitionBy("image_id").orderBy("y")
+    ends = ends.withColumn("joins", F.coalesce((F.col("head") == F.lag("tail").over(rows)).cast("long"), F.lit(0)))
+    base = F.sum(F.col("parts") - F.col("joins")).over(rows.rowsBetween(W.unboundedPreceding, 0)) - F.col("parts")
+    t = t.join(ends.select("image_id", "y", base.alias("base")), ["image_id", "y"]).withColumn("run_no", F.col("base") + F.col("part") - 1)
     return t.groupBy("image_id", "run_no").agg(F.first("value").alias("value"), F.sum("len").alias("len"))
 
 
@@ -79,7 +85,10 @@ def run_keys(runs: DataFrame) -> DataFrame:
 
 
 def code_table(freq: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """key -> (code, length) of a prefix code of least total length; ties by frequency, then by least key; a single key is code 0 of 1 bit."""
+    """key -> (code, length) of a prefix code of least total length; ties by frequency, then by least key; a single key is code 0 of 1 bit.
+
+    Where that needs more than MOST_BITS bits, frequencies are halved until it doesn't.
+    """
     if len(freq) == 1:
         return {k: (0, 1) for k in freq}
     heap = [(n, k, k) for k, n in freq.items()]
@@ -94,8 +103,8 @@ def code_table(freq: dict[int, int]) -> dict[int, tuple[int, int]]:
             open_nodes += [(node[0], code << 1, length + 1), (node[1], code << 1 | 1, length + 1)]
         else:
             out[node] = (code, length)
-    if max(length for _, length in out.values()) > 32:
-        raise ValueError("a code is longer than 32 bits")
+    if max(length for _, length in out.values()) > MOST_BITS:
+        return code_table({k: (n + 1) // 2 for k, n in freq.items()})
     return out
 
 
@@ -115,7 +124,30 @@ def code_bits(coded: DataFrame) -> DataFrame:
     return t.withColumn("bytes", F.expr("(bits + 7) div 8"))
 
 
-def size_report(sections: DataFrame) -> DataFrame:
-    """Bytes by (section_group, section) with subtotals and the total: a rollup of (section_group, section, bytes)."""
-    t = sections.rollup("section_group", "section").agg(F.sum("bytes").alias("bytes"))
-    return t.select(F.coalesce("section_group", F.lit("TOTAL")).alias("section_group"), F.coalesce("section", F.lit("ALL")).alias("section"), "bytes")
+def section_sizes(palette: DataFrame, coded: DataFrame, descriptors: DataFrame, group: str, bits: int = 2) -> DataFrame:
+    """Bytes of one layer's sections in its container: image_id, section_group, section, bytes.
+
+    palette has a row an entry, coded a row a code (key, freq, len), descriptors a row an entry of the queue. A layer's
+    fields are its tag, the residuals' range, bits an index, longest run, table entries, runs and bytes of the stream.
+    """
+    entries = palette.groupBy("image_id").agg((2 + 2 * F.count("*")).alias("palette"))
+    stream = code_bits(coded).select("image_id", (9 * F.col("entries")).alias("table"), F.col("bytes").alias("runs"))
+    queue = descriptors.groupBy("image_id").agg((F.expr(f"(count(*) * {bits} + 7) div 8") + 8 * F.sum(F.col("change").cast("long"))).alias("queue"))
+    t = entries.join(stream, "image_id").join(queue, "image_id", "left")
+    each = {"palette": F.col("palette"), "fields": F.lit(18), "table": F.col("table"), "runs": F.col("runs"), "gradients": 13 + F.coalesce("queue", F.lit(0))}
+    t = t.select("image_id", F.explode(F.array(*(F.struct(F.lit(n).alias("section"), c.cast("long").alias("bytes")) for n, c in each.items()))).alias("s"))
+    return t.select("image_id", F.lit(group).alias("section_group"), "s.section", "s.bytes")
+
+
+def size_report(sections: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Each image's bytes by (section_group, section) with subtotals and the total, as bits a pixel, percent of the file and, of 24 bits a pixel, the ratio.
+
+    A rollup of (image_id, section_group, section, bytes); pixels has a row a pixel.
+    """
+    t = sections.groupBy("image_id", "section_group", "section").agg(F.sum("bytes").alias("bytes"))
+    t = t.rollup("image_id", "section_group", "section").agg(F.sum("bytes").alias("bytes")).where("image_id is not null")
+    t = t.select("image_id", F.coalesce("section_group", F.lit("TOTAL")).alias("section_group"), F.coalesce("section", F.lit("ALL")).alias("section"), "bytes")
+    t = t.join(pixels.groupBy("image_id").agg(F.count("*").alias("pixels")), "image_id")
+    t = t.join(t.where("section_group = 'TOTAL'").select("image_id", F.col("bytes").alias("whole")), "image_id")
+    bits = 8.0 * F.col("bytes")
+    return t.select("image_id", "section_group", "section", "bytes", (bits / F.col("pixels")).alias("bits_a_pixel"), (100.0 * F.col("bytes") / F.col("whole")).alias("percent"), (24.0 * F.col("pixels") / bits).alias("ratio"))

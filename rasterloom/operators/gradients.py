@@ -46,20 +46,30 @@ def first_seen(edges: DataFrame) -> DataFrame:
     return t.withColumn("pair_no", (F.row_number().over(W.partitionBy("image_id").orderBy("first_seq")) - 1).cast("long"))
 
 
-def _shape(samples: str, lo: str, hi: str) -> str:
-    """The shape code whose curve has the least L1 error over the samples in order."""
-    n = f"size({samples})"
+def _with_shape(t: DataFrame) -> DataFrame:
+    """t (samples, low, high) with the shape code whose curve has the least L1 error over the samples in order.
+
+    The three errors are one fold over the samples, made once, and compared as columns; those that agree to nine
+    decimals tie, and the lower code wins.
+    """
+    n = "size(samples)"
     at = f"(cast(i as double)/greatest({n} - 1, 1))"
-    norm = f"least(1.0D, greatest(0.0D, (s - {lo})/({hi} - {lo})))"
-    error = lambda shape: f"aggregate(transform({samples}, (s, i) -> abs({norm} - {eased(at, str(shape))})), 0.0D, (t, e) -> t + e)"
-    return f"""(case when {n} = 0 then 1 when {hi} - {lo} < 1e-4 then 0
-        when least({error(1)}, {error(2)}, {error(3)}) > 0.3D*{n} then 0
-        when {error(1)} <= least({error(2)}, {error(3)}) then 1 when {error(2)} <= {error(3)} then 2 else 3 end)"""
+    norm = "least(1.0D, greatest(0.0D, (s - low)/(high - low)))"
+    apart = ", ".join(f"abs({norm} - {eased(at, str(k))}) as e{k}" for k in (1, 2, 3))
+    start = "named_struct('e1', 0.0D, 'e2', 0.0D, 'e3', 0.0D)"
+    t = t.withColumn("_apart", F.expr(f"transform(samples, (s, i) -> struct({apart}))"))
+    last = "e -> named_struct('e1', round(e.e1, 9), 'e2', round(e.e2, 9), 'e3', round(e.e3, 9))"
+    t = t.withColumn("_e", F.expr(f"aggregate(_apart, {start}, (t, e) -> named_struct('e1', t.e1 + e.e1, 'e2', t.e2 + e.e2, 'e3', t.e3 + e.e3), {last})"))
+    shape = f"""case when {n} = 0 then 1 when high - low < 1e-4 then 0 when least(_e.e1, _e.e2, _e.e3) > round(0.3D*{n}, 9) then 0
+        when _e.e1 <= least(_e.e2, _e.e3) then 1 when _e.e2 <= _e.e3 then 2 else 3 end"""
+    return t.withColumn("shape", F.expr(shape)).drop("_apart", "_e")
 
 
 def segments(edges: DataFrame, indexed: DataFrame, size: int, bump: bool = True) -> DataFrame:
     """Chunks of `size` edges of each pair's boundary with their descriptors and the order they are emitted in.
 
+    With bump, widths are one code larger.
+
     image_id, lo, hi, seg, n, first_x, first_y, shape, direction, width, flush (a struct that sorts in order).
     Full chunks are emitted at their last edge, the rest at the end by pair.
     """
@@ -81,7 +91,7 @@ def segments(edges: DataFrame, indexed: DataFrame, size: int, bump: bool = True)
     width = f"case when {between} <= 1 then 0 when {between} <= 3 then 1 when {between} <= 6 then 2 else 3 end"
     full = F.col("n") >= size
     flush = F.struct(F.when(full, 0).otherwise(1).alias("late"), F.when(full, F.col("last_seq")).otherwise(0).alias("seq"), "lo", "hi")
-    t = t.select("image_id", "lo", "hi", "seg", "n", "first_x", "first_y", F.expr(_shape("samples", "low", "high")).alias("shape"), F.expr(direction).alias("direction"), F.expr(width).alias("width"), flush.alias("flush"))
+    t = _with_shape(t).select("image_id", "lo", "hi", "seg", "n", "first_x", "first_y", "shape", F.expr(direction).alias("direction"), F.expr(width).alias("width"), flush.alias("flush"))
     return t.withColumn("width", F.least(F.lit(3), F.col("width") + 1)) if bump else t
 
 
@@ -121,28 +131,66 @@ def descriptors(segments: DataFrame, threshold: float) -> DataFrame:
     return t.select("image_id", queue.alias("queue_idx"), "lo", "hi", "first_x", "first_y", "shape", "direction", "width", (F.col("seg") > 0).alias("change"))
 
 
-def blended(decoded: DataFrame, edges: DataFrame, descriptors: DataFrame, width: int, linear: bool = False) -> DataFrame:
-    """Pixels (image_id, y, x, idx, recon) after blending across boundaries: image_id, y, x, recon.
+def _sides(decoded: DataFrame) -> DataFrame:
+    """Pixels with each of their four neighbours of another cluster: image_id, y, x, ca, pa, nb, cb, pb, behind, dx, dy, lo, hi.
 
-    Each pixel and each of its four neighbours of another cluster writes at most three pixels: behind it, itself and
-    the neighbour. The last write of a pixel stands (raster order, then +x, -x, +y, -y, then outwards).
+    nb numbers the neighbours +x, -x, +y, -y; behind is the cluster on the other side of the pixel.
     """
     t = decoded.select("image_id", "y", "x", "idx", "recon").withColumn("me", F.struct("idx", "recon"))
     for name, f, window in (("e", F.lead, _row()), ("w", F.lag, _row()), ("s", F.lead, _tall()), ("n", F.lag, _tall())):
         t = t.withColumn(name, f("me").over(window))
     sides = [("e", "w", 1, 0), ("w", "e", -1, 0), ("s", "n", 0, 1), ("n", "s", 0, -1)]
     t = t.select("image_id", "y", "x", F.col("idx").alias("ca"), F.col("recon").alias("pa"), F.explode(F.array(*(F.struct(F.lit(k).alias("nb"), F.col(a)["idx"].alias("cb"), F.col(a)["recon"].alias("pb"), F.col(o)["idx"].alias("behind"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (a, o, dx, dy) in enumerate(sides)))).alias("s"))
-    t = t.select("image_id", "y", "x", "ca", "pa", "s.*").where("cb is not null and cb <> ca").withColumn("lo", F.least("ca", "cb")).withColumn("hi", F.greatest("ca", "cb"))
+    return t.select("image_id", "y", "x", "ca", "pa", "s.*").where("cb is not null and cb <> ca").withColumn("lo", F.least("ca", "cb")).withColumn("hi", F.greatest("ca", "cb"))
+
+
+def _described(sides: DataFrame, edges: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """sides with the descriptor that holds there: that of a change at the pixel, else of the pair's number, else the first.
+
+    Numbers end with the queue: a pair first seen on the second edge of the pixel whose first edge took the last one
+    has no descriptor and drops out; later pairs take the first.
+    """
     size = descriptors.groupBy("image_id").agg(F.count("*").alias("queue_size"))
-    pairs = first_seen(edges).join(size, "image_id").where("pair_no < queue_size").select("image_id", "lo", "hi", "pair_no")
+    seen = first_seen(edges).withColumn("before", F.lag("first_seq").over(W.partitionBy("image_id").orderBy("first_seq")))
+    numbered = (F.col("pair_no") < F.col("queue_size")) | ((F.col("pair_no") == F.col("queue_size")) & (F.col("first_seq") % 2 == 1) & (F.col("before") == F.col("first_seq") - 1))
+    pairs = seen.join(size, "image_id").where(numbered).select("image_id", "lo", "hi", "pair_no")
     changes = descriptors.where("change").groupBy("image_id", F.col("first_x").alias("x"), F.col("first_y").alias("y")).agg(F.max("queue_idx").alias("change_idx"))
-    t = t.join(changes, ["image_id", "x", "y"], "left").join(pairs, ["image_id", "lo", "hi"], "left")
-    t = t.withColumn("queue_idx", F.coalesce("change_idx", "pair_no", F.lit(0).cast("long"))).join(descriptors.select("image_id", "queue_idx", "shape", "width"), ["image_id", "queue_idx"])
+    t = sides.join(changes, ["image_id", "x", "y"], "left").join(pairs, ["image_id", "lo", "hi"], "left")
+    return t.withColumn("queue_idx", F.coalesce("change_idx", "pair_no", F.lit(0).cast("long"))).join(descriptors.select("image_id", "queue_idx", "shape", "direction", "width"), ["image_id", "queue_idx"])
+
+
+def _written(decoded: DataFrame, writes: DataFrame) -> DataFrame:
+    """Pixels with the last of the writes (image_id, x, y, value, order) to each."""
+    wrote = writes.groupBy("image_id", "x", "y").agg(F.max_by("value", "order").alias("wrote"))
+    return decoded.select("image_id", "y", "x", "recon").join(wrote, ["image_id", "x", "y"], "left").select("image_id", "y", "x", F.coalesce("wrote", "recon").alias("recon"))
+
+
+def blended(decoded: DataFrame, edges: DataFrame, descriptors: DataFrame, width: int, linear: bool = False) -> DataFrame:
+    """Pixels (image_id, y, x, idx, recon) after blending across boundaries: image_id, y, x, recon.
+
+    Each pixel and each of its four neighbours of another cluster writes at most three pixels: behind it, itself and
+    the neighbour. The last write of a pixel stands (raster order, then +x, -x, +y, -y, then outwards).
+    """
+    t = _described(_sides(decoded), edges, descriptors)
     t = t.withColumn("h", F.expr(width_pixels("width"))).withColumn("o", F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1)))))
     t = t.where("o >= 0 or behind in (ca, cb)")
     step = "(case o when -1 then -ceil(h/2.0D) when 0 then ceil(h/2.0D) - 1 else h end)"
     t = t.withColumn("t", F.expr(f"({step} + h)/(2.0D*h + 1)"))
-    t = t.withColumn("value", F.expr(f"pa + {eased('t', '1' if linear else 'shape')}*(pb - pa)"))
+    value = F.expr(f"pa + {eased('t', '1' if linear else 'shape')}*(pb - pa)")
     order = ((F.col("y").cast("long") * width + F.col("x")) * 4 + F.col("nb")) * 3 + F.col("o") + 1
-    wrote = t.groupBy("image_id", (F.col("x") + F.col("o") * F.col("dx")).alias("x"), (F.col("y") + F.col("o") * F.col("dy")).alias("y")).agg(F.max_by("value", order).alias("wrote"))
-    return decoded.select("image_id", "y", "x", "recon").join(wrote, ["image_id", "x", "y"], "left").select("image_id", "y", "x", F.coalesce("wrote", "recon").alias("recon"))
+    return _written(decoded, t.select("image_id", (F.col("x") + F.col("o") * F.col("dx")).alias("x"), (F.col("y") + F.col("o") * F.col("dy")).alias("y"), value.alias("value"), order.alias("order")))
+
+
+def blended_along(decoded: DataFrame, edges: DataFrame, descriptors: DataFrame, width: int) -> DataFrame:
+    """As blended, but each side writes along its descriptor's direction, from half a width behind the pixel to half a width beyond.
+
+    Directions are x, y, and the diagonals with y growing or falling. A width code that is none is 3 pixels. Only
+    pixels of the two clusters are written; the last write stands.
+    """
+    t = _described(_sides(decoded), edges, descriptors).withColumn("h", F.expr(width_pixels("width", 3)))
+    t = t.withColumn("d", F.explode(F.expr("sequence(-h, h)"))).withColumn("t", F.expr("(d + h)/(2.0D*h + 1)"))
+    to_x, to_y = F.expr("x + if(direction = 1, 0, d)"), F.expr("y + case direction when 0 then 0 when 3 then -d else d end")
+    order = ((F.col("y").cast("long") * width + F.col("x")) * 4 + F.col("nb")) * 32 + F.col("d") + 16
+    t = t.select("image_id", to_x.alias("x"), to_y.alias("y"), "ca", "cb", F.expr(f"pa + {eased('t', 'shape')}*(pb - pa)").alias("value"), order.alias("order"))
+    t = t.join(decoded.select("image_id", "y", "x", "idx"), ["image_id", "y", "x"]).where("idx in (ca, cb)")
+    return _written(decoded, t.select("image_id", "x", "y", "value", "order"))

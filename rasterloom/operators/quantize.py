@@ -60,6 +60,20 @@ def direct(planes: DataFrame, epsilon: float) -> DataFrame:
     return p.select("image_id", "k", idx.alias("idx"), "value", F.greatest(F.col("value") - F.col("lo"), F.col("hi") - F.col("value")).alias("error"), "n")
 
 
+def error_summary(palette: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Per image the mean and the greatest of its entries' errors, and pixels an entry: image_id, mean_error, worst_error, reduction."""
+    entries = palette.groupBy("image_id").agg(F.avg("error").alias("mean_error"), F.max("error").alias("worst_error"), F.count("*").alias("entries"))
+    sizes = pixels.groupBy("image_id").agg(F.count("*").alias("pixels"))
+    return entries.join(sizes, "image_id").select("image_id", "mean_error", "worst_error", (F.col("pixels") / F.col("entries")).alias("reduction"))
+
+
+def numbered_voxels(indexed: DataFrame) -> DataFrame:
+    """Voxelled pixels with idx, the rank of their bucket in its image: each bucket is its own cluster."""
+    kinds = indexed.select("image_id", "kl", "ka", "kb").distinct()
+    rank = (F.row_number().over(W.partitionBy("image_id").orderBy("kl", "ka", "kb")) - 1).alias("idx")
+    return indexed.join(kinds.select("*", rank), ["image_id", "kl", "ka", "kb"])
+
+
 def index_matrix(planes: DataFrame, clusters: DataFrame, epsilon: float) -> DataFrame:
     """planes with the cluster idx of each pixel, by an equi-join on the bucket."""
     return bucketed(planes, epsilon).join(clusters.select("image_id", "k", "idx"), ["image_id", "k"]).drop("k")

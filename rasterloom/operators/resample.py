@@ -14,7 +14,7 @@ def nearest_in_box(pairs: DataFrame, palette: DataFrame, margin: float = 5.0) ->
     """(image_id, a, b, idx): the colour nearest to the middle of a and b among both and those in their box.
 
     palette has image_id, idx and l, a, b. The box spans both colours and the margin on every axis. Ties take a,
-    then b, then the least idx. Distinct pairs meet their image's palette by an equi-join on the image.
+    then b, then the least idx; squared distances that agree to six decimals tie, as those of a and b always do. Distinct pairs meet their image's palette by an equi-join on the image.
     """
     colour = lambda p: palette.select("image_id", F.col("idx").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in "lab"))
     t = pairs.select("image_id", F.col("a").alias("p"), F.col("b").alias("q")).distinct()
@@ -25,7 +25,7 @@ def nearest_in_box(pairs: DataFrame, palette: DataFrame, margin: float = 5.0) ->
         inside = inside & n.between(F.least(p, q) - margin, F.greatest(p, q) + margin)
         distance = distance + (n - (p + q) / 2) * (n - (p + q) / 2)
     rank = F.when(F.col("n") == F.col("p"), 0).when(F.col("n") == F.col("q"), 1).otherwise(F.col("n") + 2)
-    best = F.min_by("n", F.struct(distance.alias("d"), rank.alias("k")))
+    best = F.min_by("n", F.struct(F.round(distance, 6).alias("d"), rank.alias("k")))
     return t.where(inside).groupBy("image_id", "p", "q").agg(best.alias("idx")).select("image_id", F.col("p").alias("a"), F.col("q").alias("b"), "idx")
 
 
@@ -53,3 +53,24 @@ def upsample_index(small: DataFrame, palette: DataFrame, width: int, height: int
     grid = small.select("image_id").distinct().withColumn("y", upto(height)).withColumn("x", upto(width))
     whole = grid.join(small.select("image_id", "y", "x", "idx"), ["image_id", "y", "x"], "left").fillna(0, ["idx"])
     return _filled(_filled(whole, "x", first, width, palette, nearest), "y", first, height, palette, nearest)
+
+
+def upsample_index_older(small: DataFrame, palette: DataFrame, width: int, height: int) -> DataFrame:
+    """The oldest rule for even samples: gaps as in upsample_index, but the far border differs.
+
+    An odd side's last column (row) takes the one before it, sample or not; an even side's, which has no sample, is
+    index 0.
+    """
+
+    def bordered(t: DataFrame, axis: str, size: int) -> DataFrame:
+        if size % 2 == 0:
+            return t.withColumn("idx", F.when(F.col(axis) == size - 1, 0).otherwise(F.col("idx")))
+        other = "y" if axis == "x" else "x"
+        last = t.where(F.col(axis) == size - 2).select("image_id", other, F.lit(size - 1).alias(axis), "idx")
+        return t.where(F.col(axis) < size - 1).unionByName(last)
+
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 2)))
+    grid = small.select("image_id").distinct().withColumn("y", upto(height)).withColumn("x", upto(width))
+    whole = grid.join(small.select("image_id", "y", "x", "idx"), ["image_id", "y", "x"], "left").fillna(0, ["idx"])
+    wide = bordered(_filled(whole, "x", 0, width, palette, nearest_to_midpoint), "x", width)
+    return bordered(_filled(wide, "y", 0, height, palette, nearest_to_midpoint), "y", height)

@@ -84,9 +84,40 @@ def near_boundary(indexed: DataFrame, distance: int) -> DataFrame:
     return t.where(test).select("image_id", "y", "x")
 
 
-def subsample(values: DataFrame, column: str, odd: bool = True) -> DataFrame:
-    """Every second row and column: image_id, y, x and the column, at half the coordinates."""
+def similar_border_blur(planes: DataFrame, colour: tuple[str, ...], radius: int = 3, threshold: float = 10.0) -> DataFrame:
+    """Gaussian blur (sigma radius / 2) near borders of similar clusters: image_id, y, x, v.
+
+    planes: image_id, y, x, idx, v (0 to 255) and the cluster's colour. A pixel is blurred if, at most `radius` rows and
+    columns away, some pixel has a neighbour of another cluster whose colour is nearer than the threshold. Pixels
+    beyond the image have no weight; results are truncated. Clusters' colours are compared where they meet, so no
+    pair of palette entries is.
+    """
+    row, tall, side = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y"), 2 * radius + 1
+    t = planes.withColumn("_me", F.struct("idx", *colour))
+    near = F.lit(False)
+    for f, window in ((F.lead, row), (F.lag, row), (F.lead, tall), (F.lag, tall)):
+        other = f("_me").over(window)
+        apart = F.sqrt(sum(((other[c] - F.col(c)) * (other[c] - F.col(c)) for c in colour), F.lit(0.0)))
+        near = near | F.coalesce((other["idx"] != F.col("idx")) & (apart < threshold), F.lit(False))
+    t = t.withColumn("_near", F.when(near, 1.0).otherwise(0.0)).select("image_id", "y", "x", "v", "_near")
+    t = neighbourhood(t, "_near", radius, clamp=False).withColumn("_blur", F.exists("nb", lambda n: n > 0)).drop("nb")
+    weight, top, total = [], F.lit(0.0), F.lit(0.0)
+    for k in range(side * side):
+        weight.append(math.exp(-((k // side - radius) ** 2 + (k % side - radius) ** 2) / (2 * (radius / 2) ** 2)))
+        top = top + F.coalesce(F.col("nb")[k] * weight[k], F.lit(0.0))
+        total = total + F.when(F.col("nb")[k].isNotNull(), weight[k]).otherwise(0.0)
+    soft = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), top / total + 1e-9)))
+    return neighbourhood(t, "v", radius, clamp=False).select("image_id", "y", "x", F.when(F.col("_blur"), soft.cast("double")).otherwise(F.col("v")).alias("v"))
+
+
+def subsample(values: DataFrame, column: str, odd: bool = True, size: tuple[int, int] | None = None) -> DataFrame:
+    """Every second row and column: image_id, y, x and the column, at half the coordinates.
+
+    With size (width, height) of the whole, samples end at half of one less, so an even side's last one is left out.
+    """
     rest = 1 if odd else 0
+    if size:
+        values = values.where((F.col("x") < (size[0] - 1) // 2 * 2 + rest) & (F.col("y") < (size[1] - 1) // 2 * 2 + rest))
     t = values.where((F.col("x") % 2 == rest) & (F.col("y") % 2 == rest))
     return t.select("image_id", F.expr("cast(y div 2 as int)").alias("y"), F.expr("cast(x div 2 as int)").alias("x"), column)
 
@@ -101,24 +132,63 @@ def upsample_nearest(small: DataFrame, column: str, width: int, height: int) ->
     return grid.join(own, ["image_id", "sy", "sx"]).select("image_id", "y", "x", column)
 
 
+def resized(planes: DataFrame, sizes: tuple[int, int], width: int, height: int) -> DataFrame:
+    """Planes of sizes (width, height) at another width and height, by bilinear weights of pixel centres: image_id, y, x, v.
+
+    A target pixel has two source places an axis (one at the borders); pixels join the targets that they have a share in.
+    """
+
+    def places(n: int, out: int) -> list[tuple[int, int, float]]:
+        found = []
+        for k in range(out):
+            at = min(max((k + 0.5) * n / out - 0.5, 0.0), n - 1.0)
+            low = int(at)
+            found += [(k, low, 1 - (at - low))] + ([(k, low + 1, at - low)] if at > low else [])
+        return found
+
+    def taps(axis: str, n: int, out: int) -> Column:
+        listed = F.array(*(F.struct(F.lit(k).alias("to"), F.lit(at).alias("at"), F.lit(w).alias("w")) for k, at, w in places(n, out)))
+        return F.filter(listed, lambda t: t["at"] == F.col(axis))
+
+    t = planes
+    for axis, n, out in (("x", sizes[0], width), ("y", sizes[1], height)):
+        other = "y" if axis == "x" else "x"
+        t = t.select("image_id", other, "v", F.explode(taps(axis, n, out)).alias("t"))
+        t = t.groupBy("image_id", other, F.col("t.to").alias(axis)).agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
+    return t.select("image_id", "y", "x", "v")
+
+
 def nearest_to_midpoint(pairs: DataFrame, palette: DataFrame) -> DataFrame:
     """(image_id, a, b, idx): the palette entry nearest to the middle of entries a and b; ties take the least idx.
 
     Distances that agree to nine decimals tie: a and b themselves always do, whatever the order of their sums.
 
-    Distinct pairs join their image's palette; the palette is small, the pairs are what is distributed.
+    Middles and entries are sorted together, so a middle sees the entry below and the one above: work grows with
+    their sum, not their product.
     """
     value = lambda name: palette.select("image_id", F.col("idx").alias(name), F.col("value").alias(f"v{name}"))
     t = pairs.select("image_id", "a", "b").distinct().join(value("a"), ["image_id", "a"]).join(value("b"), ["image_id", "b"])
-    t = t.join(palette.select("image_id", "idx", "value"), "image_id")
-    best = F.min(F.struct(F.round(F.abs(F.col("value") - (F.col("va") + F.col("vb")) / 2), 9).alias("d"), F.col("idx")))
-    return t.groupBy("image_id", "a", "b").agg(best.alias("m")).select("image_id", "a", "b", F.col("m.idx").alias("idx"))
+    middle = t.select("image_id", "a", "b", ((F.col("va") + F.col("vb")) / 2).alias("at"), F.lit(None).cast("struct<value:double,idx:int>").alias("e"))
+    entry = palette.select("image_id", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.col("value").cast("double").alias("at"), F.struct(F.col("value").cast("double").alias("value"), F.col("idx").cast("int").alias("idx")).alias("e"))
+    # the least idx of equal values is the last of those below and the first of those above
+    at = W.partitionBy("image_id").orderBy
+    below = F.last("e", True).over(at(F.col("at"), F.col("e").isNull(), F.desc("e.idx")).rowsBetween(W.unboundedPreceding, 0))
+    above = F.last("e", True).over(at(F.desc("at"), F.col("e").isNull(), F.desc("e.idx")).rowsBetween(W.unboundedPreceding, 0))
+    t = middle.unionByName(entry).select("*", below.alias("lo"), above.alias("hi")).where("e is null")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.round(F.abs(F.col(f"{c}.value") - F.col("at")), 9).alias("d"), F.col(f"{c}.idx").alias("idx")))
+    return t.select("image_id", "a", "b", F.least(near("lo"), near("hi"))["idx"].alias("idx"))
 
 
-def similar_pairs(palette: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one image's palette entries closer than the threshold: image_id, a, b."""
-    a, b = palette.select("image_id", F.col("idx").alias("a"), F.col("value").alias("va")), palette.select("image_id", F.col("idx").alias("b"), F.col("value").alias("vb"))
-    return a.join(b, "image_id").where((F.col("a") < F.col("b")) & (F.abs(F.col("va") - F.col("vb")) < threshold)).select("image_id", "a", "b")
+def similar_pairs(palette: DataFrame, threshold: float, colour: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Pairs of one image's palette entries nearer than the threshold: image_id, a, b.
+
+    Entries meet in buckets of the threshold along the first axis: those of one bucket and of neighbouring ones.
+    """
+    k = F.floor(F.col(colour[0]) / threshold)
+    a = palette.select("image_id", F.col("idx").alias("a"), F.explode(F.array(k - 1, k, k + 1)).alias("k"), *(F.col(c).alias(f"a_{c}") for c in colour))
+    b = palette.select("image_id", F.col("idx").alias("b"), k.alias("k"), *(F.col(c).alias(f"b_{c}") for c in colour))
+    apart = F.sqrt(sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), F.lit(2.0)) for c in colour), F.lit(0.0)))
+    return a.join(b, ["image_id", "k"]).where((F.col("a") < F.col("b")) & (apart < threshold)).select("image_id", "a", "b")
 
 
 def zigzag(n: int) -> list[tuple[int, int]]:
@@ -131,13 +201,13 @@ def dct_basis(n: int) -> list[list[float]]:
     return [[math.sqrt((1 if u == 0 else 2) / n) * math.cos(math.pi * (2 * i + 1) * u / (2 * n)) for i in range(n)] for u in range(n)]
 
 
-def _transformed(t: DataFrame, n: int, inverse: bool) -> DataFrame:
-    """Each block (image_id, by, bx, block) times the 2-D basis: image_id, by, bx, p, c; one row a cell, no join."""
+def _transformed(t: DataFrame, n: int, inverse: bool, cells: list[int] | None = None) -> DataFrame:
+    """Each block (image_id, by, bx, block) times the 2-D basis: image_id, by, bx, p, c; one row a cell (of those asked for), no join."""
     basis = dct_basis(n)
     if inverse:
         basis = [list(c) for c in zip(*basis, strict=True)]
-    rows = F.array(*(F.array(*(F.lit(a * b) for a in up for b in across)) for up in basis for across in basis))
-    t = t.select("image_id", "by", "bx", "block", F.posexplode(rows).alias("p", "w"))
+    rows = F.array(*(F.struct(F.lit(p).alias("p"), F.array(*(F.lit(a * b) for a in basis[p // n] for b in basis[p % n])).alias("w")) for p in (range(n * n) if cells is None else cells)))
+    t = t.select("image_id", "by", "bx", "block", F.explode(rows).alias("r")).select("image_id", "by", "bx", "block", "r.p", "r.w")
     return t.select("image_id", "by", "bx", "p", F.aggregate(F.zip_with("w", "block", lambda w, v: w * v), F.lit(0.0), lambda s, v: s + v).alias("c"))
 
 
@@ -152,9 +222,9 @@ def blocks(planes: DataFrame, n: int) -> DataFrame:
     return t.select("image_id", "by", "bx", _array_of(F.col("at"), n).alias("block"))
 
 
-def dct(planes: DataFrame, n: int) -> DataFrame:
-    """Block coefficients: image_id, by, bx, p (cell, row by row), c."""
-    return _transformed(blocks(planes, n), n, False)
+def dct(planes: DataFrame, n: int, keep: int | None = None) -> DataFrame:
+    """Block coefficients, all or the first `keep` in zig-zag order: image_id, by, bx, p (cell, row by row), c."""
+    return _transformed(blocks(planes, n), n, False, None if keep is None else [r * n + c for r, c in zigzag(n)[:keep]])
 
 
 def _pixels(t: DataFrame, n: int, value: Column) -> DataFrame:
@@ -204,6 +274,24 @@ def deblocked(planes: DataFrame, n: int, reach: int, limit: float) -> DataFrame:
     return planes.join(e, ["image_id", "y", "x"], "left").select("image_id", "y", "x", ((F.col("v") + F.coalesce("wc", F.lit(0.0))) / (1 + F.coalesce("w", F.lit(0.0)))).alias("v"))
 
 
+def aligned(original: DataFrame, other: DataFrame) -> DataFrame:
+    """Pixels (image_id, y, x, v) of two relations side by side: image_id, y, x, p, q; images of different shapes raise when they are read."""
+    t = original.select("image_id", "y", "x", F.col("v").alias("p")).join(other.select("image_id", "y", "x", F.col("v").alias("q")), ["image_id", "y", "x"], "full")
+    whole = F.assert_true(F.col("p").isNotNull() & F.col("q").isNotNull(), F.lit("the images' shapes differ"))
+    return t.where(whole.isNull())
+
+
+def first_samples(planes: DataFrame, n: int) -> DataFrame:
+    """The first n pixels of each image in raster order, numbered: image_id, nth, v."""
+    nth = F.row_number().over(W.partitionBy("image_id").orderBy("y", "x"))
+    return planes.select("image_id", nth.alias("nth"), "v").where(F.col("nth") <= n)
+
+
+def channel_mse(pairs: DataFrame) -> DataFrame:
+    """Mean squared error of each channel of pairs (image_id, channel, p, q): image_id, channel, mse."""
+    return pairs.groupBy("image_id", "channel").agg(F.avg((F.col("p") - F.col("q")) * (F.col("p") - F.col("q"))).alias("mse"))
+
+
 def mse_psnr(pairs: DataFrame, peak: float = 255.0) -> DataFrame:
     """Per image of pairs (image_id, p, q): mse and psnr (null if mse is 0)."""
     t = pairs.groupBy("image_id").agg(F.avg(F.pow(F.col("p") - F.col("q"), F.lit(2.0))).alias("mse"))

@@ -6,18 +6,17 @@ engines' floating-point sums compare.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import entropy, gradients, quantize, resample, stencil
+from ..operators import entropy, gradients, noise, quantize, resample, stencil
 from ..sources import container, older
 from ..sources import relations as R
-from ..sources.shared import settled
-from . import layers
+from ..sources.shared import settled, shared_folder
+from . import layers, twins
 
 EPS, STEPS, EDGE, SEGMENT = 0.05, 2, 8, 8
 
@@ -40,11 +39,6 @@ EDGES = """ed as (select a.image_id, 2 * (a.y * 8 + a.x) + d.nth as edge_seq, a.
 from ix a, (values (0, 1, 0), (1, 0, 1)) d(nth, dx, dy), ix b where b.image_id = a.image_id and b.x = a.x + d.dx and b.y = a.y + d.dy and a.idx <> b.idx)"""
 
 
-def _plain(sql: str) -> str:
-    """Spark's double literals as DuckDB's."""
-    return re.sub(r"(?<=\d)D\b", "", sql)
-
-
 def _r(*columns: str, digits: int = 6):
     return [F.round(c, digits).alias(c) for c in columns]
 
@@ -171,10 +165,61 @@ def huffman_bits(spark, d):
     return entropy.code_bits(huffman_codes(spark, d))
 
 
+def _layer_parts(planes: DataFrame, eps: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(matrix with recon, palette, descriptors, blended pixels) of one layer over planes."""
+    clusters, palette = quantize.bounded_runs(planes, eps, STEPS)
+    flat = settled(quantize.decoded(quantize.index_matrix(planes, clusters, eps), palette))
+    matrix = flat.select("image_id", "y", "x", "v", "idx")
+    edge = gradients.edges(matrix, EDGE)
+    queue = gradients.descriptors(gradients.segments(edge, matrix, 64), 1.0)
+    return flat, palette, queue, gradients.blended(flat, edge, queue, EDGE, linear=True)
+
+
+def _sections(flat: DataFrame, palette: DataFrame, queue: DataFrame, group: str) -> DataFrame:
+    runs = entropy.runs(entropy.med_encode(flat, _sizes(palette)), "e")
+    return entropy.section_sizes(palette, entropy.codes(entropy.run_keys(runs)), queue, group)
+
+
+def _two_layers(spark: SparkSession, d: str) -> tuple[tuple, tuple]:
+    """The parts of a base layer over the embeddings' planes and of its residual layer."""
+    base = _layer_parts(R.planes_of_embeddings(spark, d), EPS)
+    rest = base[0].select("image_id", "y", "x", "v").join(base[3], ["image_id", "y", "x"]).select("image_id", "y", "x", (F.col("v") - F.col("recon")).alias("v"))
+    return base, _layer_parts(rest, 0.02)
+
+
 def size_report(spark, d):
-    palette = quantize_bfs1d(spark, d).select(F.lit("BASE").alias("section_group"), F.lit("palette").alias("section"), F.lit(2).cast("long").alias("bytes"))
-    keys = run_key_freq(spark, d).select(F.lit("BASE").alias("section_group"), F.lit("code table").alias("section"), F.lit(9).cast("long").alias("bytes"))
-    return entropy.size_report(palette.unionByName(keys))
+    base, rest = _two_layers(spark, d)
+    sections = _sections(*base[:3], "BASE").unionByName(_sections(*rest[:3], "RESIDUAL"))
+    header = base[0].select("image_id").distinct().select("image_id", F.lit("HEADER").alias("section_group"), F.lit("sizes").alias("section"), F.lit(8).cast("long").alias("bytes"))
+    report = entropy.size_report(sections.unionByName(header), base[0])
+    return report.select("image_id", "section_group", "section", "bytes", *_r("bits_a_pixel", "percent", "ratio", digits=4))
+
+
+def container_layers(spark, d):
+    """Base and residual layers with their queues, written as files and read again."""
+    base, rest = _two_layers(spark, d)
+    parts = [container.layer_rows(flat, palette, tag, queue) for (flat, palette, queue, _), tag in ((base, container.BASE), (rest, container.RESIDUAL))]
+    return container.read_container(container.assembled(parts[0].unionByName(parts[1]))).select("image_id", "layer", "y", "x", "idx", *_r("value", digits=9))
+
+
+def container_queue(spark, d):
+    """Descriptors and, where one is a change, its point (else -1), as container files give them back."""
+    flat, palette = _flat(spark, d)
+    queue = gradients.descriptors(gradients.segments(gradients.edges(flat, EDGE), flat, SEGMENT), 0.25)
+    files = settled(container.assembled(container.layer_rows(flat, palette, container.BASE, queue, 6)))
+    codes = container.read_queue(files).select("image_id", "queue_idx", "code")
+    points = container.read_points(files).select("image_id", "queue_idx", "x", "y")
+    return codes.join(points, ["image_id", "queue_idx"], "left").fillna(-1, ["x", "y"])
+
+
+def container_reduced(spark, d):
+    """Three channels of one plane, the first at odd and the others at even places, as reduced files."""
+    flat, palette = _flat(spark, d)
+    parts = [container.layer_rows(stencil.subsample(flat, "idx", odd=k == 0, size=(8, 8) if k == 0 else None), palette, container.BASE + k) for k in range(3)]
+    rest = container.layer_rows(flat, palette, container.RESIDUAL, gradients=False)
+    for own in parts:
+        rest = rest.unionByName(own)
+    return container.read_container(container.assembled(rest, (8, 8)), True).select("image_id", "layer", "y", "x", "idx", *_r("value", digits=9))
 
 
 def edges(spark, d):
@@ -186,43 +231,153 @@ def pair_first_seen(spark, d):
     return gradients.first_seen(gradients.edges(_indexed(spark, d)[0], EDGE))
 
 
-def _segments(spark, d):
+def _flat(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The decoded index matrix, written once as it is read several times, and its palette."""
     ix, palette = _indexed(spark, d)
-    edge = gradients.edges(ix, EDGE)
-    return ix, palette, edge, gradients.segments(edge, ix, SEGMENT)
+    return settled(quantize.decoded(ix, palette)), palette
+
+
+def _segments(spark, d):
+    flat, _ = _flat(spark, d)
+    edge = gradients.edges(flat, EDGE)
+    return flat, edge, gradients.segments(edge, flat, SEGMENT)
 
 
 def segments(spark, d):
-    return _segments(spark, d)[3].select("image_id", "lo", "hi", "seg", "n", "first_x", "first_y", "direction")
+    return _segments(spark, d)[2].select("image_id", "lo", "hi", "seg", "n", "first_x", "first_y", "direction")
 
 
 def segment_shapes(spark, d):
-    return _segments(spark, d)[3].select("image_id", "lo", "hi", "seg", "shape", "direction", "width")
+    return _segments(spark, d)[2].select("image_id", "lo", "hi", "seg", "shape", "direction", "width")
 
 
 def change_points(spark, d):
-    return gradients.descriptors(_segments(spark, d)[3], 0.25)
+    return gradients.descriptors(_segments(spark, d)[2], 0.25)
 
 
 def change_points_strict(spark, d):
     """Segments of two edges and a threshold that only two changed fields reach."""
-    ix, _ = _indexed(spark, d)
-    return gradients.descriptors(gradients.segments(gradients.edges(ix, EDGE), ix, 2), 1.2)
+    flat, _ = _flat(spark, d)
+    return gradients.descriptors(gradients.segments(gradients.edges(flat, EDGE), flat, 2), 1.2)
 
 
 def apply_gradients(spark, d):
-    ix, palette, edge, seg = _segments(spark, d)
-    return gradients.blended(quantize.decoded(ix, palette), edge, gradients.descriptors(seg, 0.25), EDGE).select("image_id", "y", "x", *_r("recon"))
+    flat, edge, seg = _segments(spark, d)
+    return gradients.blended(flat, settled(edge.select("image_id", "lo", "hi", "edge_seq")), settled(gradients.descriptors(seg, 0.25)), EDGE).select("image_id", "y", "x", *_r("recon"))
+
+
+def apply_gradients_along(spark, d):
+    """The legacy decoder's rule: blended along the stored direction over the whole width."""
+    flat, edge, seg = _segments(spark, d)
+    return gradients.blended_along(flat, settled(edge.select("image_id", "lo", "hi", "edge_seq")), settled(gradients.descriptors(seg, 0.25)), EDGE).select("image_id", "y", "x", *_r("recon"))
 
 
 def reconstruct(spark, d):
     return layers.reconstruct(R.planes_of_embeddings(spark, d), EPS, STEPS, EDGE, 0.02).select("image_id", "y", "x", *_r("base", "recon"))
 
 
+def reconstruct_scaled(spark, d):
+    """Residuals are quantised at four times their size."""
+    return layers.reconstruct(R.planes_of_embeddings(spark, d), EPS, STEPS, EDGE, 0.04, 4.0).select("image_id", "y", "x", *_r("base", "recon"))
+
+
+def reconstruct_channels(spark, d):
+    """Each channel of Lab images as a base layer and a residual layer."""
+    planes = layers.folded(layers.stacked(_lab(R.rgb_of_embeddings(spark, d))))
+    return layers.unfolded(layers.reconstruct(planes, 5.0, STEPS, 4, 3.0)).select("image_id", "channel", "y", "x", *_r("base", "recon", digits=5))
+
+
+def reconstruct_rgb(spark, d):
+    """As reconstruct_channels, the three channels brought together and turned back to bytes."""
+    t = layers.unfolded(layers.reconstruct(layers.folded(layers.stacked(_lab(R.rgb_of_embeddings(spark, d)))), 5.0, STEPS, 4, 3.0))
+    t = t.groupBy("image_id", "y", "x").pivot("channel", list(layers.CHANNELS)).agg(F.first("recon"))
+    return t.select("image_id", "y", "x", *(F.expr(e).alias(n) for e, n in zip(scalar.rgb(), "rgb", strict=True)))
+
+
+def layer_sum(spark, d):
+    """Base values plus a residual layer that only every second image has."""
+    pairs = _pairs(spark, d)
+    rest = pairs.where("image_id % 2 = 0").select("image_id", "y", "x", (F.col("p") - F.col("q")).alias("v"))
+    return layers.summed(pairs.select("image_id", "y", "x", F.col("q").alias("v")), [rest]).select("image_id", "y", "x", *_r("v"))
+
+
 def pyramid(spark, d):
     return layers.pyramid(R.planes_of_embeddings(spark, d), EPS, STEPS, EDGE, EDGE, 0.02).select("image_id", "y", "x", *_r("recon"))
 
 
+def subsample_short(spark, d):
+    """Odd places, without the last one of an even side."""
+    return stencil.subsample(R.planes_of_embeddings(spark, d), "v", size=(8, 8)).select("image_id", "y", "x", *_r("v"))
+
+
+def resized(spark, d):
+    return stencil.resized(R.planes_of_embeddings(spark, d), (8, 8), 5, 11).select("image_id", "y", "x", *_r("v"))
+
+
+def resize_error(spark, d):
+    """What halving the size and doubling it again loses."""
+    planes = R.planes_of_embeddings(spark, d)
+    back = stencil.resized(stencil.resized(planes, (8, 8), 4, 4), (4, 4), 8, 8)
+    return stencil.mse_psnr(stencil.aligned(planes, back), 1.0).select("image_id", *_r("mse", digits=9), *_r("psnr", digits=5))
+
+
+def first_samples(spark, d):
+    return stencil.first_samples(_pairs(spark, d).select("image_id", "y", "x", F.col("q").alias("v")), 5).select("image_id", "nth", *_r("v"))
+
+
+def palette_errors(spark, d):
+    planes = R.planes_of_embeddings(spark, d)
+    return quantize.error_summary(quantize.direct(planes, EPS), planes).select("image_id", *_r("mean_error", "worst_error", "reduction"))
+
+
+def lab_mse(spark, d):
+    """Each Lab channel's error of images whose bytes were cut to four bits."""
+    px = R.rgb_of_embeddings(spark, d)
+    cut = px.select("image_id", "y", "x", *(F.expr(f"{c} div 16 * 16 + 8").cast("int").alias(c) for c in "rgb"))
+    side = lambda t, n: layers.stacked(_lab(t)).withColumnRenamed("v", n)
+    return stencil.channel_mse(side(px, "p").join(side(cut, "q"), ["image_id", "channel", "y", "x"])).select("image_id", "channel", *_r("mse", digits=5))
+
+
+def _bucket_colours(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lab pixels with their 3-D bucket as cluster, and the clusters' mean colours and errors."""
+    ix = settled(quantize.numbered_voxels(quantize.voxelled(_lab(R.rgb_of_embeddings(spark, d)), (20.0, 20.0, 20.0))))
+    return ix, quantize.colour_palette(ix)
+
+
+def noise_uniform(spark, d):
+    return noise.between(*_bucket_colours(spark, d), 7).select("image_id", "y", "x", *_r("l", "a", "b", digits=5))
+
+
+def noise_border(spark, d):
+    ix, palette = _bucket_colours(spark, d)
+    return noise.between(ix, palette, 7, stencil.near_boundary(ix, 1)).select("image_id", "y", "x", *_r("l", "a", "b", digits=5))
+
+
+def noise_normal(spark, d):
+    return noise.around_middle(*_bucket_colours(spark, d), 7).select("image_id", "y", "x", *_r("l", "a", "b", digits=5))
+
+
+def similar_border_blur(spark, d):
+    flat, _ = _flat(spark, d)
+    planes = flat.withColumn("v", F.floor((F.col("v") + 0.6) * 200).cast("double"))
+    return stencil.similar_border_blur(planes, ("recon",), 2, 0.12).select("image_id", "y", "x", "v")
+
+
+def similar_colours(spark, d):
+    return stencil.similar_pairs(_bucket_colours(spark, d)[1], 30.0, ("l", "a", "b"))
+
+
+def upsample_index_older(spark, d):
+    flat, palette = _flat(spark, d)
+    return resample.upsample_index_older(stencil.subsample(flat, "idx", odd=False), palette, 7, 8)
+
+
+def image_scan(spark, d):
+    """Images written as PNG files and scanned by Spark's image source."""
+    folder = container.write_png_files(container.write_png(R.rgb_of_embeddings(spark, d)), shared_folder(spark, "png"))
+    return R.image_pixels(spark.read.format("image").load(folder))
+
+
 def subsample_odd(spark, d):
     return stencil.subsample(R.planes_of_embeddings(spark, d), "v").select("image_id", "y", "x", *_r("v"))
 
@@ -236,7 +391,7 @@ def upsample_nearest(spark, d):
 
 
 def _upsampled(spark, d, odd: bool) -> DataFrame:
-    ix, palette = _indexed(spark, d)
+    ix, palette = _flat(spark, d)
     return resample.upsample_index(stencil.subsample(ix, "idx", odd=odd), palette, 8, 8, odd)
 
 
@@ -293,7 +448,7 @@ def dct_block(spark, d):
 
 
 def dct_topk(spark, d):
-    return stencil.keep_coefficients(stencil.dct(R.planes_of_embeddings(spark, d), 8), 8, 6, 0.05).select("image_id", "k", "q")
+    return stencil.keep_coefficients(stencil.dct(R.planes_of_embeddings(spark, d), 8, 6), 8, 6, 0.05).select("image_id", "k", "q")
 
 
 def idct_roundtrip(spark, d):
@@ -301,7 +456,7 @@ def idct_roundtrip(spark, d):
 
 
 def dct_residual(spark, d):
-    kept = stencil.keep_coefficients(stencil.dct(R.planes_of_embeddings(spark, d), 8), 8, 6, 0.05)
+    kept = stencil.keep_coefficients(stencil.dct(R.planes_of_embeddings(spark, d), 8, 6), 8, 6, 0.05)
     return stencil.restored_residual(kept, 8, 0.05, 2.5).select("image_id", "y", "x", *_r("v"))
 
 
@@ -368,12 +523,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         quantised_run_statistics, lab_convert, lab_roundtrip, lab_roundtrip_legacy, voxel_agg, quantize_bfs1d, quantize_direct, signal_palette, palette_decode, residual_plane, cluster_error, plane_ranges, half_float, descriptor_codes, easing,
         med_encode, med_decode, rle, rle_roundtrip, run_key_freq, huffman_codes, huffman_bits, size_report, edges, pair_first_seen, segments, segment_shapes, change_points, change_points_strict, apply_gradients, reconstruct, pyramid,
-        subsample_odd, subsample_even, upsample_nearest, upsample_index_odd, upsample_index_even, upsample_index_box, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, bfs3d, colour_palette, container_first, container_second, container_roundtrip, png_files,
+        subsample_odd, subsample_even, upsample_nearest, upsample_index_odd, upsample_index_even, upsample_index_box, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, container_layers, container_queue, container_reduced, apply_gradients_along, reconstruct_scaled, reconstruct_channels, reconstruct_rgb, layer_sum, subsample_short, resized, resize_error, first_samples, palette_errors, lab_mse, noise_uniform, noise_border, noise_normal, similar_border_blur, similar_colours, upsample_index_older, image_scan, bfs3d, colour_palette, container_first, container_second, container_roundtrip, png_files,
     )
 }
 
-_LAB = ", ".join(f"{e} as {n}" for e, n in zip(map(_plain, scalar.lab()), "lab", strict=True))
-_LABS = f"lb as (select image_id, y, x, {_LAB} from rgb)"
+_LABS = f"lb as {twins.lab('rgb')}"
 _DECODE = "select ix.image_id, y, x, v, value as q from ix join pal using (image_id, idx)"
 _DCT = "cs as (select u, i, sqrt((case when u = 0 then 1 else 2 end) / 8.0) * cos(pi() * (2 * i + 1) * u / 16.0) as w from range(8) a(u), range(8) b(i)), co as (select image_id, a.u, b.u as w, sum(v * a.w * b.w) as c from px join cs a on a.i = y join cs b on b.i = x group by all)"
 _CLAMP = "(select a.image_id, a.y, a.x, a.r as own, o.dy, o.dx, b.r as v from big a, lim l, (select i - {r} as dy, j - {r} as dx from range({n}) s(i), range({n}) t(j)) o, big b where b.y = least(l.my, greatest(0, a.y + o.dy)) and b.x = least(l.mx, greatest(0, a.x + o.dx)))"
@@ -397,9 +551,9 @@ ORACLE: dict[str, str] = {
     "upsample_index_even": _upsample_sql(0),
     "quantised_run_statistics": f"{BASE}, {MED}, {RUNS} select image_id, count(*) as n_runs, max(len) as max_run, cast(sum(len) as bigint) as pixels, any_value(size)::bigint as palette_size from runs join sz using (image_id) group by image_id",
     "lab_convert": f"with {RGB}, {_LABS} select image_id, y, x, round(l, 5) as l, round(a, 5) as a, round(b, 5) as b from lb",
-    "lab_roundtrip": f"with {RGB}, {_LABS} select image_id, y, x, " + ", ".join(f"{_plain(e)} as {n}" for e, n in zip(scalar.rgb(), "rgb", strict=True)) + " from lb",
-    "lab_roundtrip_legacy": f"with {RGB}, {_LABS} select image_id, y, x, " + ", ".join(f"{_plain(e)} as {n}" for e, n in zip(scalar.rgb("legacy"), "rgb", strict=True)) + " from lb",
-    "voxel_agg": f"with {BIG}, lb as (select image_id, {_LAB} from big) select image_id, cast(floor(l / 5.0) as int) as kl, cast(floor(a / 5.0) as int) as ka, cast(floor(b / 5.0) as int) as kb, count(*) as n, round(sum(l), 4) as sum_l, round(sum(a), 4) as sum_a, round(sum(b), 4) as sum_b from lb group by 1, 2, 3, 4",
+    "lab_roundtrip": f"with {RGB}, {_LABS} select image_id, y, x, r, g, b from {twins.rgb('lb')}",
+    "lab_roundtrip_legacy": f"with {RGB}, {_LABS} select image_id, y, x, r, g, b from {twins.rgb('lb', True)}",
+    "voxel_agg": f"with {BIG}, lb as {twins.lab('big', 'image_id')} select image_id, cast(floor(l / 5.0) as int) as kl, cast(floor(a / 5.0) as int) as ka, cast(floor(b / 5.0) as int) as kb, count(*) as n, round(sum(l), 4) as sum_l, round(sum(a), 4) as sum_a, round(sum(b), 4) as sum_b from lb group by 1, 2, 3, 4",
     "quantize_bfs1d": f"{BASE} select image_id, idx, round(value, 6) as value, n from pal",
     "quantize_direct": f"with {PX} select image_id, k, cast(dense_rank() over (partition by image_id order by k) - 1 as int) as idx, round(m, 6) as value, round(greatest(m - lo, hi - m), 6) as error, n from (select image_id, cast(floor(v / {EPS}) as int) as k, avg(v) as m, min(v) as lo, max(v) as hi, count(*) as n from px group by all)",
     "signal_palette": f"with {SIG} select image_id, k, cast(dense_rank() over (partition by image_id order by k) - 1 as int) as idx, round(m, 6) as value, round(greatest(m - lo, hi - m), 6) as error, n from (select image_id, cast(floor(v / 25.0) as int) as k, avg(v) as m, min(v) as lo, max(v) as hi, count(*) as n from sig group by all)",
@@ -415,7 +569,6 @@ ORACLE: dict[str, str] = {
     "rle": f"{BASE}, {MED}, {RUNS} select image_id, run_no, value, len from runs",
     "rle_roundtrip": f"{BASE}, {MED} select image_id, y, x, e as value from med",
     "run_key_freq": f"{BASE}, {MED}, {RUNS}, {KEYS} select * from keys",
-    "size_report": f"{BASE}, {MED}, {RUNS}, {KEYS}, s as (select 'BASE' as g, 'palette' as s, 2 as b from pal union all select 'BASE', 'code table', 9 from keys) select coalesce(g, 'TOTAL') as section_group, coalesce(s, 'ALL') as section, cast(sum(b) as bigint) as bytes from s group by rollup (g, s)",
     "edges": f"{BASE}, {EDGES} select image_id, cast(edge_seq as bigint) as edge_seq, x, y, ca, cb, lo, hi, 2 + (select count(*) from ix s where s.image_id = ed.image_id and s.y = ed.ny and s.x between ed.x - 1 and ed.x + 1 and s.idx = ed.cb) as n_samples from ed",
     "pair_first_seen": f"{BASE}, {EDGES}, f as (select image_id, lo, hi, min(edge_seq) as first_seq from ed group by all) select image_id, lo, hi, cast(first_seq as bigint) as first_seq, row_number() over (partition by image_id order by first_seq) - 1 as pair_no from f",
     "segments": f"{BASE}, {EDGES}, n as (select *, cast((row_number() over (partition by image_id, lo, hi order by edge_seq) - 1) // {SEGMENT} as int) as seg from ed), g as (select image_id, lo, hi, seg, count(*) as n, arg_min(x, edge_seq) as first_x, arg_min(y, edge_seq) as first_y, arg_max(x, edge_seq) as last_x, arg_max(y, edge_seq) as last_y, max(x) - min(x) as sx, max(y) - min(y) as sy from n group by image_id, lo, hi, seg) select image_id, lo, hi, seg, n, first_x, first_y, case when n < 2 then 0 when sx > 2 * sy then 0 when sy > 2 * sx then 1 when (last_x - first_x) * (last_y - first_y) >= 0 then 2 else 3 end as direction from g",
@@ -436,3 +589,145 @@ ORACLE: dict[str, str] = {
     "ssim": f"{BASE}, t as ({_DECODE}), w as (select c.image_id, c.y, c.x, avg(n.v) as up, avg(n.q) as uq, var_samp(n.v) as sp, var_samp(n.q) as sq, covar_samp(n.v, n.q) as pq from t c join t n on n.image_id = c.image_id and abs(n.y - c.y) <= 3 and abs(n.x - c.x) <= 3 where c.y between 3 and 4 and c.x between 3 and 4 group by all) select image_id, round(avg((2 * up * uq + 0.0001) * (2 * pq + 0.0009) / ((up * up + uq * uq + 0.0001) * (sp + sq + 0.0009))), 6) as ssim from w group by image_id",
     "difference_map": f"{BASE}, t as (select *, abs(v - q) as a from ({_DECODE})), l as (select image_id, min(a) as lo, max(a) as hi from t group by all) select image_id, y, x, round((a - lo) * 255 / (hi - lo), 4) as d from t join l using (image_id)",
 }
+
+#: One layer over px, which also has the steps before blending; two layers; and their inputs.
+_BASE = f"{PX}, {twins.palette('t', 'px', EPS, STEPS)}, {twins.descriptors('t', EDGE, SEGMENT, 0.25)}"
+_TWO = f"{PX}, {twins.two_layers('t', 'px', EPS, STEPS, EDGE, 0.02)}"
+_CHANNELS = f"{RGB}, {_LABS}, pl as (select image_id * 3 + c as image_id, y, x, [l, a, b][c + 1] as v from lb, range(3) r(c)), {twins.two_layers('t', 'pl', 5.0, STEPS, 4, 3.0)}"
+_QUEUE = "image_id, queue_idx, lo, hi, first_x, first_y, shape, direction, width, change"
+_VOXELS = f"{RGB}, {_LABS}, vx as (select image_id, y, x, l, a, b, cast(floor(l / 20) as int) as kl, cast(floor(a / 20) as int) as ka, cast(floor(b / 20) as int) as kb from lb), vi as (select *, cast(dense_rank() over (partition by image_id order by kl, ka, kb) - 1 as int) as idx from vx), vm as (select image_id, idx, avg(l) as cl, avg(a) as ca, avg(b) as cb from vi group by all), vp as (select image_id, idx, cl, ca, cb, max(sqrt(power(l - cl, 2) + power(a - ca, 2) + power(b - cb, 2))) as radius from vi join vm using (image_id, idx) group by all)"
+_PLACED = "select image_id, y, x, round(cl + f * ml, 5) as l, round(ca + f * ma, 5) as a, round(cb + f * mb, 5) as b from (select *, case when sqrt(ml * ml + ma * ma + mb * mb) > radius then radius / sqrt(ml * ml + ma * ma + mb * mb) else 1 end as f from w)"
+_COLOURS = f"{RGB}, {_LABS}, vx as (select image_id, y, x, l, a, b, cast(floor(l / 5) as int) as kl, cast(floor(a / 5) as int) as ka, cast(floor(b / 5) as int) as kb from lb), {twins.cover('vx', 2)}, ci as (select p.*, c.cluster::int as idx from vx p join cv c on c.image_id = p.image_id and c.v.kl = kl and c.v.ka = ka and c.v.kb = kb), cm as (select image_id, idx, avg(l) as ml, avg(a) as ma, avg(b) as mb from ci group by all), cp as (select image_id, idx, ml as l, ma as a, mb as b, max(sqrt(power(i.l - ml, 2) + power(i.a - ma, 2) + power(i.b - mb, 2))) as error from ci i join cm using (image_id, idx) group by all)"
+_KINDS = f"{BASE}, {MED}, {RUNS}, {KEYS}, {twins.huffman('keys')}"
+
+
+def _noise(share: str, more: str = "") -> str:
+    return f"with {_VOXELS}{more}, w as (select *, {share} * (l - cl) as ml, {share} * (a - ca) as ma, {share} * (b - cb) as mb from vi join vp using (image_id, idx)) {_PLACED}"
+
+
+_U = twins.uniform(7, ("image_id", "y", "x"))
+_NEAR = ", nb as (select p.image_id, p.y, p.x, exists (select 1 from vi q where q.image_id = p.image_id and abs(q.y - p.y) + abs(q.x - p.x) = 1 and q.idx <> p.idx) as near from vi p)"
+
+
+def _box_sql() -> str:
+    """Odd samples of the colour matrix brought up again: a gap takes the colour nearest to the middle in the neighbours' box."""
+    near = """near as (select p.image_id, p.idx as a, q.idx as b, n.idx from cp p join cp q using (image_id) join cp n using (image_id) where """ + " and ".join(f"n.{c} between least(p.{c}, q.{c}) - 5 and greatest(p.{c}, q.{c}) + 5" for c in "lab") + " qualify row_number() over (partition by p.image_id, p.idx, q.idx order by round(" + " + ".join(f"(n.{c} - (p.{c} + q.{c}) / 2) * (n.{c} - (p.{c} + q.{c}) / 2)" for c in "lab") + ", 6), case when n.idx = p.idx then 0 when n.idx = q.idx then 1 else n.idx + 2 end) = 1)"
+    small = "small as (select image_id, y // 2 as y, x // 2 as x, idx from ci where y % 2 = 1 and x % 2 = 1)"
+
+    def filled(out: str, source: str, axis: str, other: str) -> str:
+        part = ", ".join(f"max(case when 2 * s.{axis} + 1 = g.p + {d} then s.idx end) as {n}" for d, n in ((0, "own"), (-1, "p"), (1, "q")))
+        return f"{out}0 as (select s.image_id, s.{other}, g.p as {axis}, {part} from {source} s join range(4) g(p) on abs(2 * s.{axis} + 1 - g.p) <= 1 group by s.image_id, s.{other}, g.p), {out} as (select t.image_id, y, x, coalesce(own, case when p is null then q when q is null then p when p = q then p end, near.idx) as idx from {out}0 t left join near on near.image_id = t.image_id and near.a = p and near.b = q)"
+
+    return f"with recursive {_COLOURS}, {near}, {small}, {filled('wide', 'small', 'x', 'y')}, {filled('tall', 'wide', 'y', 'x')} select image_id, cast(y as int) as y, cast(x as int) as x, idx from tall"
+
+
+def _older_sql() -> str:
+    """Even samples of a 7 x 8 matrix brought up by the oldest rule."""
+    near = "near as (select a.image_id, a.idx as a, b.idx as b, c.idx from pal a join pal b using (image_id) join pal c using (image_id) qualify row_number() over (partition by a.image_id, a.idx, b.idx order by round(abs(c.value - (a.value + b.value) / 2), 9), c.idx) = 1)"
+    wide = "wide as (select s.image_id, s.y // 2 as y, g.x, case when g.x % 2 = 0 then max(case when s.x = g.x then s.idx end) when max(case when s.x = g.x - 1 then s.idx end) = max(case when s.x = g.x + 1 then s.idx end) then max(case when s.x = g.x - 1 then s.idx end) else max(n.idx) end as idx from range(7) g(x) join ix s on s.y % 2 = 0 and s.x % 2 = 0 and abs(s.x - g.x) <= 1 left join ix o on o.image_id = s.image_id and o.y = s.y and o.x = g.x + 1 and s.x = g.x - 1 and g.x % 2 = 1 left join near n on n.image_id = s.image_id and n.a = s.idx and n.b = o.idx group by s.image_id, s.y, g.x)"
+    side = "side as (select image_id, y, x, idx from wide where x < 6 union all select image_id, y, 6, idx from wide where x = 5)"
+    tall = "select a.image_id, cast(g.y as int) as y, cast(a.x as int) as x, cast(case when g.y = 7 then 0 when g.y % 2 = 0 then a.idx when a.idx = b.idx then a.idx else n.idx end as int) as idx from range(8) g(y) join side a on a.y = g.y // 2 left join side b on b.image_id = a.image_id and b.x = a.x and b.y = g.y // 2 + 1 left join near n on n.image_id = a.image_id and n.a = a.idx and n.b = b.idx"
+    return f"{BASE}, {near}, {wide}, {side} {tall}"
+
+
+def _resized_sql(source: str, out: str, n: tuple[int, int], size: tuple[int, int]) -> str:
+    def taps(name: str, n: int, out: int) -> str:
+        return f"{name} as (select k, i, case when i = floor(p) then 1 - (p - floor(p)) else p - floor(p) end as w from (select k, least({n - 1}.0::double, greatest(0.0, (k + 0.5) * {n} / {out}.0::double - 0.5)) as p from range({out}) r(k)), range({n}) s(i) where i = floor(p) or i = floor(p) + 1 and p > floor(p))"
+
+    return f"{taps(out + 'x', n[0], size[0])}, {taps(out + 'y', n[1], size[1])}, {out} as (select image_id, cast(b.k as int) as y, cast(a.k as int) as x, sum(v * a.w * b.w) as v from {source} s join {out}x a on a.i = s.x join {out}y b on b.i = s.y group by all)"
+
+
+def _layer_size_sql(n: str, group: str, source: str) -> str:
+    """{n}s: the sections of a layer whose steps are named {n}."""
+    med = MED.replace("from ix)", f"from {n}_ix)").replace("from pal ", f"from {n}_pal ")
+    steps = f"{med}, {RUNS}, {KEYS}, {twins.huffman('keys')}"
+    for name in ("nb", "nc", "sz", "med", "sq", "ch", "rn", "runs", "mx", "keys", "hs", "hr", "hf"):
+        steps = _renamed(steps, name, f"{n}{name}")
+    bits = f"{n}bits as (select h.image_id, any_value(entries) as entries, sum(freq * length(c.code)) as bits, any_value(entries) = 1 as alone from {n}hf h join {n}keys k on k.image_id = h.image_id and k.key = c.key group by h.image_id)"
+    queue = f"{n}qu as (select image_id, (count(*) * 2 + 7) // 8 + 8 * count(*) filter (where change) as b from {n}_ds group by all)"
+    part = f"{n}s as (select image_id, '{group}' as g, unnest(['palette', 'fields', 'table', 'runs', 'gradients']) as s, unnest([p, 18, 9 * entries, ((case when alone then (select sum(freq) from {n}keys k where k.image_id = t.image_id) else bits end) + 7) // 8, 13 + coalesce(b, 0)]) as b from (select image_id, 2 + 2 * count(*) as p from {n}_pal group by all) t join {n}bits using (image_id) left join {n}qu using (image_id))"
+    return f"{steps}, {bits}, {queue}, {part}"
+
+
+def _renamed(sql: str, name: str, new: str) -> str:
+    """sql with a relation under another name, where it stands as a word of its own."""
+    out, at = [], 0
+    while (k := sql.find(name, at)) >= 0:
+        around = sql[k - 1 : k] + sql[k + len(name) : k + len(name) + 1]
+        alone = not any(c.isalnum() or c == "_" for c in around)
+        out += [sql[at:k], new if alone else name]
+        at = k + len(name)
+    return "".join([*out, sql[at:]])
+
+
+def _report_sql() -> str:
+    sections = f"sections as (select * from tbs union all select * from trs union all select distinct image_id, 'HEADER', 'sizes', 8 from px)"
+    return f"""with recursive {_TWO}, {_layer_size_sql('tb', 'BASE', 'px')}, {_layer_size_sql('tr', 'RESIDUAL', 't_res')}, {sections},
+ru as (select image_id, coalesce(g, 'TOTAL') as section_group, coalesce(s, 'ALL') as section, cast(sum(b) as bigint) as bytes from sections group by grouping sets ((image_id), (image_id, g), (image_id, g, s))),
+whole as (select image_id, bytes as w from ru where section_group = 'TOTAL')
+select image_id, section_group, section, bytes, round(8.0 * bytes / 64, 4) as bits_a_pixel, round(100.0 * bytes / w, 4) as percent, round(24.0 * 64 / (8.0 * bytes), 4) as ratio from ru join whole using (image_id)"""
+
+
+def _blur_sql() -> str:
+    """Pixels near borders of similar clusters, blurred with radius 2."""
+    return f"""{BASE}, bp as (select i.image_id, y, x, i.idx, floor((v + 0.6) * 200) as v, value as recon from ix i join pal using (image_id, idx)),
+bn as (select distinct a.image_id, a.y, a.x from bp a join bp b on b.image_id = a.image_id and abs(a.y - b.y) + abs(a.x - b.x) = 1 and a.idx <> b.idx and abs(a.recon - b.recon) < 0.12),
+bm as (select distinct p.image_id, p.y, p.x from bp p join bn on bn.image_id = p.image_id and abs(bn.y - p.y) <= 2 and abs(bn.x - p.x) <= 2),
+bw as (select p.image_id, p.y, p.x, sum(q.v * w) / sum(w) as soft from bm p, {twins.gauss(2)}, bp q where q.image_id = p.image_id and q.y = p.y + dy and q.x = p.x + dx group by all)
+select image_id, y, x, case when soft is null then v else floor(least(255, greatest(0, soft + 1e-9))) end as v from bp left join bw using (image_id, y, x)"""
+
+
+def _container_sql() -> str:
+    files = " union all ".join(f"select i.image_id, {tag} as layer, y, x, idx, value from {n}_ix i join {n}_pal p using (image_id, idx)" for n, tag in (("tb", 193), ("tr", 209)))
+    return f"with {_TWO}, f as ({files}) select image_id, layer, y, x, idx, round({twins.half('value')}, 9) as value from f"
+
+
+def _reduced_sql() -> str:
+    parts = [f"select image_id, {193 + k} as layer, y // 2 as y, x // 2 as x, idx from ix where " + ("y % 2 = 1 and x % 2 = 1 and y < 7 and x < 7" if k == 0 else "y % 2 = 0 and x % 2 = 0") for k in range(3)]
+    return f"{BASE}, f as ({' union all '.join(parts)} union all select image_id, 209, y, x, idx from ix) select image_id, layer, cast(y as int) as y, cast(x as int) as x, idx, round({twins.half('value')}, 9) as value from f join pal using (image_id, idx)"
+
+
+_DCT_KEPT = f"with {PX}, {_DCT}, {_ZZ}, kept as (select image_id, u, co.w, greatest(-127, least(127, round(co.c / 0.05))) as q from co join zz on zz.r = u and zz.c = co.w where k < 6), {twins.idct('kept', 0.05)}"
+_COLOUR_PIXELS = "select i.image_id, 0 as layer, y, x, idx, {} from ci i join cp p using (image_id, idx)"
+
+ORACLE |= {
+    "segment_shapes": f"with {_BASE} select image_id, lo, hi, seg, shape, direction, width from t_sg",
+    "change_points": f"with {_BASE} select {_QUEUE} from t_ds",
+    "change_points_strict": f"with recursive {PX}, {twins.palette('t', 'px', EPS, STEPS)}, {twins.descriptors('t', EDGE, 2, 1.2)} select {_QUEUE} from t_ds",
+    "apply_gradients": f"with {_BASE}, {twins.blended('t', EDGE, False)} select image_id, y, x, round(recon, 6) as recon from t_out",
+    "apply_gradients_along": f"with {_BASE}, {twins.blended('t', EDGE, False, True)} select image_id, y, x, round(recon, 6) as recon from t_out",
+    "reconstruct": f"with {_TWO} select image_id, y, x, round(base, 6) as base, round(recon, 6) as recon from t",
+    "reconstruct_scaled": f"with {PX}, {twins.two_layers('t', 'px', EPS, STEPS, EDGE, 0.04, 4.0)} select image_id, y, x, round(base, 6) as base, round(recon, 6) as recon from t",
+    "reconstruct_channels": f"with {_CHANNELS} select image_id // 3 as image_id, ['l', 'a', 'b'][image_id % 3 + 1] as channel, y, x, round(base, 5) as base, round(recon, 5) as recon from t",
+    "reconstruct_rgb": f"with {_CHANNELS}, rc as (select image_id // 3 as image_id, y, x, max(case when image_id % 3 = 0 then recon end) as l, max(case when image_id % 3 = 1 then recon end) as a, max(case when image_id % 3 = 2 then recon end) as b from t group by 1, 2, 3) select image_id, y, x, r, g, b from {twins.rgb('rc')}",
+    "layer_sum": f"{BASE} select image_id, y, x, round(q + case when image_id % 2 = 0 then v - q else 0 end, 6) as v from ({_DECODE})",
+    "pyramid": f"with {_TWO}, sm as (select image_id, cast(y // 2 as int) as y, cast(x // 2 as int) as x, recon as v from t where y % 2 = 1 and x % 2 = 1), {twins.layer('s', 'sm', EPS, STEPS, EDGE // 2)}, up as (select o.image_id, g.y, g.x, o.recon as up from (select cast(i as int) as y, cast(j as int) as x, greatest(0, i - 1) // 2 as sy, greatest(0, j - 1) // 2 as sx from range(8) a(i), range(8) b(j)) g join s_out o on o.y = sy and o.x = sx), df as (select image_id, y, x, recon - up as v from t join up using (image_id, y, x)), {twins.layer('e', 'df', 0.02, STEPS, EDGE)} select image_id, y, x, round(up + recon, 6) as recon from e_out join up using (image_id, y, x)",
+    "subsample_short": f"with {PX} select image_id, cast(y // 2 as int) as y, cast(x // 2 as int) as x, round(v, 6) as v from px where x % 2 = 1 and y % 2 = 1 and x < 7 and y < 7",
+    "resized": f"with {PX}, {_resized_sql('px', 'o', (8, 8), (5, 11))} select image_id, y, x, round(v, 6) as v from o",
+    "resize_error": f"with {PX}, {_resized_sql('px', 'h', (8, 8), (4, 4))}, {_resized_sql('h', 'o', (4, 4), (8, 8))}, e as (select px.image_id, avg(power(px.v - o.v, 2)) as mse from px join o using (image_id, y, x) group by all) select image_id, round(mse, 9) as mse, round(10 * log10(1 / mse), 5) as psnr from e",
+    "first_samples": f"{BASE} select image_id, cast(x + 1 as int) as nth, round(q, 6) as v from ({_DECODE}) where y = 0 and x < 5",
+    "palette_errors": f"with {PX}, p as (select image_id, floor(v / {EPS}) as k, avg(v) as m, min(v) as lo, max(v) as hi from px group by all) select image_id, round(avg(greatest(m - lo, hi - m)), 6) as mean_error, round(max(greatest(m - lo, hi - m)), 6) as worst_error, round(64.0::double / count(*), 6) as reduction from p group by all",
+    "lab_mse": f"with {RGB}, {_LABS}, cut as (select image_id, y, x, r // 16 * 16 + 8 as r, g // 16 * 16 + 8 as g, b // 16 * 16 + 8 as b from rgb), lc as {twins.lab('cut')}, e as (select p.image_id, avg(power(p.l - q.l, 2)) as l, avg(power(p.a - q.a, 2)) as a, avg(power(p.b - q.b, 2)) as b from lb p join lc q using (image_id, y, x) group by all) select image_id, channel, round(mse, 5) as mse from (unpivot e on l, a, b into name channel value mse)",
+    "noise_uniform": _noise(_U),
+    "noise_border": _noise(f"(case when near then 0.85 + {_U} * (1 - 0.85) else {_U} end)", _NEAR).replace("join vp using (image_id, idx))", "join vp using (image_id, idx) join nb using (image_id, y, x))"),
+    "noise_normal": f"with {_VOXELS}, z as (select *, l - cl as dl, a - ca as da, b - cb as db from vi join vp using (image_id, idx)), g as (select *, greatest(0.6 * sqrt(dl * dl + da * da + db * db) / 3, 1e-4) as s from z), h as (select *, " + ", ".join(f"0.6 * d{c} + s * {twins.normal(7 + k, ('image_id', 'y', 'x'))} as g{c}" for k, c in enumerate("lab")) + f" from g), w as (select *, case when gl * dl + ga * da + gb * db < 0 then -gl else gl end as ml, case when gl * dl + ga * da + gb * db < 0 then -ga else ga end as ma, case when gl * dl + ga * da + gb * db < 0 then -gb else gb end as mb from h) {_PLACED}",
+    "similar_border_blur": _blur_sql(),
+    "similar_colours": f"with {_VOXELS} select p.image_id, p.idx as a, q.idx as b from vp p join vp q on p.image_id = q.image_id and p.idx < q.idx where sqrt(power(p.cl - q.cl, 2) + power(p.ca - q.ca, 2) + power(p.cb - q.cb, 2)) < 30",
+    "upsample_index_older": _older_sql(),
+    "upsample_index_box": _box_sql(),
+    "image_scan": f"with {RGB} select image_id, y, x, r, g, b from rgb",
+    "huffman_codes": _KINDS.replace("with ", "with recursive ", 1) + " select h.image_id, c.key, freq, case when entries = 1 then 0 else list_reduce(list_transform(string_split(c.code, ''), lambda t: cast(t as bigint)), lambda p, t: p * 2 + t) end as code, cast(greatest(1, length(c.code)) as int) as len from hf h join keys k on k.image_id = h.image_id and k.key = c.key",
+    "huffman_bits": _KINDS.replace("with ", "with recursive ", 1) + ", t as (select h.image_id, cast(sum(freq * greatest(1, length(c.code))) as bigint) as bits, count(*) as entries from hf h join keys k on k.image_id = h.image_id and k.key = c.key group by h.image_id) select image_id, bits, entries, cast((bits + 7) // 8 as bigint) as bytes from t",
+    "size_report": _report_sql(),
+    "container_layers": _container_sql(),
+    "container_queue": f"with {_BASE} select image_id, queue_idx, cast(shape * 16 + direction * 4 + width as int) as code, case when change then first_x else -1 end as x, case when change then first_y else -1 end as y from t_ds",
+    "container_reduced": _reduced_sql(),
+    "container_roundtrip": f"{BASE} select image_id, 193 as layer, y, x, idx, {twins.half('value')} as value from ix join pal using (image_id, idx)",
+    "container_first": f"with recursive {_COLOURS} {_COLOUR_PIXELS.format(', '.join(f'least(127.0, greatest(-128.0, trunc(p.{c} + sign(p.{c}) * 0.5)))::double + 0.0 as {c}' for c in 'lab'))}",
+    "container_second": f"with recursive {_COLOURS} {_COLOUR_PIXELS.format(', '.join(f'{twins.half(chr(112) + chr(46) + c)} as {c}' for c in 'lab'))}",
+    "colour_palette": f"with recursive {_COLOURS} select image_id, idx, round(l, 5) as l, round(a, 5) as a, round(b, 5) as b, round(error, 5) as error from cp",
+    "bfs3d": f"with recursive {BIG}, lb as {twins.lab('big')}, vx as (select distinct image_id, cast(floor(l / 5) as int) as kl, cast(floor(a / 5) as int) as ka, cast(floor(b / 5) as int) as kb from lb), {twins.cover('vx', 2)} select image_id, v.kl as kl, v.ka as ka, v.kb as kb, cluster::int as cluster from cv",
+    "dct_residual": f"{_DCT_KEPT}, mx as (select image_id, max(abs(c)) as m from rs group by all) select image_id, cast(y as int) as y, cast(x as int) as x, round(c * 2.5 * least(m / 10, 1.0), 6) + 0.0 as v from rs join mx using (image_id)",
+    "deblock": f"with {PX}, {twins.deblocked('px', 4, 2, 0.5)}",
+    "region_blur": f"{BASE}, rg as (select image_id, y, x, idx, floor((v + 0.6) * 200) as v from ix), {twins.region_blur('rg')} select image_id, y, x, v from rb6",
+}

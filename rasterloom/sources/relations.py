@@ -26,11 +26,16 @@ def rgb_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_of_lineitem(spark: SparkSession, sf_dir: str, width: int = 100) -> DataFrame:
     """lineitem in its total order as one RGB raster: image_id 0, y, x, r, g, b.
 
-    Rows are numbered in coarse key ranges; only the ranges' counts are summed in order by one task.
+    Rows are numbered in coarse key ranges. Ranges' counts are summed in order within blocks of ranges, and only the
+    blocks' sums, a millionth of the rows, by one task.
     """
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*keys, "l_quantity", "l_discount", "l_tax").withColumn("range", F.expr(f"l_orderkey div {COARSE}"))
-    before = t.groupBy("range").count().select("range", (F.sum("count").over(W.orderBy("range")) - F.col("count")).alias("before"))
+    counts = t.groupBy("range").count().withColumn("block", F.expr(f"range div {COARSE}"))
+    inside = F.sum("count").over(W.partitionBy("block").orderBy("range")) - F.col("count")
+    blocks = counts.groupBy("block").agg(F.sum("count").alias("n"))
+    blocks = blocks.select("block", (F.sum("n").over(W.orderBy("block")) - F.col("n")).alias("base"))
+    before = counts.withColumn("inside", inside).join(blocks, "block").select("range", (F.col("base") + F.col("inside")).alias("before"))
     n = F.row_number().over(W.partitionBy("range").orderBy(*keys)) - 1 + F.col("before")
     t = t.join(before, "range").withColumn("n", n)
     return t.select(
@@ -47,8 +52,12 @@ def planes_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_pixels(images: DataFrame) -> DataFrame:
-    """Pixels of Spark's image source (rows of `image` with BGR(A) or grey bytes): image_id, y, x, r, g, b; alpha is dropped."""
-    i = images.select(F.xxhash64("image.origin").alias("image_id"), "image.width", "image.nChannels", "image.data", F.explode(F.expr("sequence(0, image.width * image.height - 1)")).alias("p"))
+    """Pixels of Spark's image source (rows of `image` with BGR(A) or grey bytes): image_id, y, x, r, g, b; alpha is dropped.
+
+    image_id is the number that a file's name is, else a hash of its path.
+    """
+    number = F.expr(r"try_cast(regexp_extract(image.origin, '([0-9]+)[.][A-Za-z]+$', 1) as bigint)")
+    i = images.select(F.coalesce(number, F.xxhash64("image.origin")).alias("image_id"), "image.width", "image.nChannels", "image.data", F.explode(F.expr("sequence(0, image.width * image.height - 1)")).alias("p"))
     byte = lambda c: F.expr(f"cast(conv(hex(substring(data, p * nChannels + 1 + {c}, 1)), 16, 10) as int)")
     of = lambda c: F.when(F.col("nChannels") >= 3, byte(c)).otherwise(byte(0))
     return i.select("image_id", F.expr("cast(p div width as int)").alias("y"), (F.col("p") % F.col("width")).alias("x"), of(2).alias("r"), of(1).alias("g"), of(0).alias("b"))
