@@ -28,8 +28,9 @@ GRAM = 20
 RUN = 32
 #: Places of an anchor in all rows beyond which each of its windows travels by itself, to the bucket of its own hash.
 HOT = 4096
-#: Bytes of strings that are merged together, about; one anchor's are at most HOT times the longest context.
-CHUNK = 400_000
+#: Bytes of strings that are merged together, about, so few that codes of ten bytes fit 16 bits; one anchor's are at
+#: most HOT times the longest context.
+CHUNK = 50_000
 SHARDS = 4
 
 
@@ -42,7 +43,11 @@ def gram_codes(data: np.ndarray, nxt: np.ndarray) -> tuple[int, np.ndarray]:
         if k == 1:
             two = packed.astype(np.uint16)
     kinds, codes = np.unique(packed, return_inverse=True)
-    return (5, codes.astype(np.uint16)) if len(kinds) <= 1 << 16 else (2, two)
+    if len(kinds) > 1 << 16:
+        return 2, two
+    codes = codes.astype(np.uint32)
+    kinds, longer = np.unique(codes << np.uint32(16) | codes[at], return_inverse=True)
+    return (10, longer.astype(np.uint16)) if len(kinds) <= 1 << 16 else (5, codes.astype(np.uint16))
 
 
 def shard_order(codes: np.ndarray, back: np.ndarray, rounds: int) -> np.ndarray:
