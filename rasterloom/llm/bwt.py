@@ -399,9 +399,9 @@ def _mark(root: str, anchors: str, with_text: bool):
             columns = [rb.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                rest = [i for i, n in enumerate(rb.schema.names) if n not in ("doc_id", "text", "_batch", "_ord")]
-                columns += [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), *(rb.column(i) for i in rest)]
-                names += ["text", *(rb.schema.names[i] for i in rest)]
+                rest = [n for n in rb.schema.names if n.startswith("carry ")]
+                columns += [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), *(rb.column(n) for n in rest)]
+                names += ["text", *rest]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -424,12 +424,13 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, hot: int = H
     with_text = carry is not None
     carry = carry or []
     least_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    staged, n = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), least_id.alias("_ord"), "text", *carry), "repeats")
+    staged, n = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), least_id.alias("_ord"), "text", *(F.col(f"`{c}`").alias(f"carry {i}") for i, c in enumerate(carry))), "repeats")
     slim = staged.select("_batch", "_ord", "text")
     anchors = slim.mapInArrow(_send_anchors(n, hot), "bucket int, batch int, keys binary, many binary, times binary")
     shared = write_answers(in_buckets(anchors, _answer_anchors(hot), "batch int, keys binary, hot binary"), n, "anchors")
     contexts = slim.mapInArrow(_send_contexts(2 * n, shared), "bucket int, batch int, hash binary, key binary, ord binary, windows binary, bytes binary")
     marks = write_answers(in_buckets(contexts, _answer_contexts, "batch int, hash binary, ord binary, mask binary"), n, "marks")
     kinds = dict(docs.dtypes)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return (staged if with_text else staged.select("doc_id", "_batch", "_ord", "text")).mapInArrow(_mark(marks, shared, with_text), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", `carry {i}` {kinds[c]}" for i, c in enumerate(carry))
+    marked = (staged if with_text else staged.select("doc_id", "_batch", "_ord", "text")).mapInArrow(_mark(marks, shared, with_text), schema)
+    return marked.toDF(*marked.columns[: len(marked.columns) - len(carry)], *carry)

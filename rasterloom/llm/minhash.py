@@ -324,9 +324,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
 
 
 def first_of_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that aren't kept: one document stays of each group."""
-    groups, staged, batches = near_duplicates(docs, percent)
-    return without(staged, batches, groups.where("not kept"), docs.columns)
+    """docs without the rows that aren't kept: one document stays of each group. Other columns may have any name."""
+    own = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"carry {i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+    groups, staged, batches = near_duplicates(own, percent)
+    rest = without(staged, batches, groups.where("not kept"), own.columns)
+    return rest.select(*(F.col(c if c in ("doc_id", "text") else f"`carry {i}`").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def _sketched(pairs: DataFrame, look: DataFrame, percent: int) -> DataFrame:

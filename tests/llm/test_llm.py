@@ -4,11 +4,11 @@ import collections
 import hashlib
 import itertools
 import random
-import re
 import struct
 import zlib
 from pathlib import Path
 
+import brute
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -21,14 +21,9 @@ import corpus_pipeline
 from rasterloom.llm import bitpack, bpe, bwt, crf, langid, minhash, queries, suffixtree, tiff, tiling, urls
 
 DATA = "/root/testdata/sf0.001"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TRICKY = ["a", "aa", "th", "İ", " ", "  ", "\n", "é", "ñ", "日本", "'s", "1", "22", "!", "?!", "\x1c", "\xa0", "\t", "x" * 30]
 
 
-def lowered(text):
-    return WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
-
-
 def frame(spark, rows, parts=3):
     return spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, batch int").repartition(parts)
 
@@ -44,20 +39,8 @@ def mixed(n=120):
 def test_repeats_equal_brute_force(spark, hot):
     """With 3, most shared anchors are divided into windows."""
     rows = mixed()
-    first = {}
-    for d, t in rows:
-        b = (t or "").encode()
-        for i in range(len(b) - 49):
-            k = -1 if d is None else d
-            first[b[i : i + 50]] = min(first.get(b[i : i + 50], k), k)
     got = {r[0]: tuple(r)[1:] for r in bwt.remove_repeats(frame(spark, rows), hot=hot).collect()}
-    for d, t in rows:
-        b, gone = (t or "").encode(), bytearray(len((t or "").encode()))
-        for i in range(len(b) - 49):
-            if first[b[i : i + 50]] < (-1 if d is None else d):
-                gone[i : i + 50] = b"\1" * 50
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        assert got[d] == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+    assert got == {d: (*own[:3], brute.sha(own[3])) for d, own in brute.repeats(rows).items()}
 
 
 def test_merged_order_is_sorted():
@@ -98,18 +81,10 @@ def test_near_duplicates_equal_brute_force(spark):
             w[r.randrange(len(w))] = str(r.random())
         rows.append((i, " ".join(w)))
     rows += [(100, None), (101, ""), (102, "A b"), (103, "a  B"), (None, "a b"), (104, "x")]
-    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := lowered(t)) else frozenset() for d, t in rows if d is not None}
-    parent = {d: d for d in sets}
-    find = lambda x: x if parent[x] == x else find(parent[x])
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
     groups, _, _ = minhash.near_duplicates(frame(spark, rows).select("doc_id", "text"))
     got = {g.doc_id: (g.n_shingles, g.component_id, g.kept) for g in groups.collect()}
     assert got.pop(None) == (1, None, True)
-    assert got == {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
+    assert got == {d: (n, c, c == d) for d, (n, c) in brute.groups(rows, 85).items()}
 
 
 def test_open_bands_lose_no_pair(spark, monkeypatch):
@@ -253,33 +228,12 @@ def test_tiff_rows(spark):
     assert got[1].payload_sha256 == hashlib.sha256(b" " * 192).hexdigest()
 
 
-def brute_tiles(doc, item, least=5):
-    used, done, out = [x == 0 for x in doc], [x == 0 for x in item], []
-    while True:
-        best, size = [], least
-        for i in range(len(doc)):
-            for j in range(len(item)):
-                n = 0
-                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not used[i + n] and not done[j + n]:
-                    n += 1
-                if n > size:
-                    best, size = [(i, j)], n
-                elif n == size:
-                    best.append((i, j))
-        if not best:
-            return sorted(out)
-        for i, j in best:
-            if not any(used[i : i + size]) and not any(done[j : j + size]):
-                used[i : i + size] = done[j : j + size] = [True] * size
-                out.append((size, i, j))
-
-
 def test_tiles_equal_brute_force(spark):
     r = random.Random(4)
     for _ in range(60):
         item = np.array([r.randint(1, 4) for _ in range(r.randint(5, 30))])
         doc = np.concatenate([[r.randint(0, 4) for _ in range(r.randrange(15))], item[r.randrange(len(item)) :], item[: r.randrange(len(item))]]).astype(int)
-        assert sorted(tiling.tiles(doc, item)) == brute_tiles(doc, item)
+        assert sorted(tiling.tiles(doc, item)) == brute.tiles(doc, item)
     item = " ".join(f"w{i}" for i in range(20))
     halves = item.split()
     docs = frame(spark, [(1, "start " + item + " end"), (2, " ".join(halves[10:] + ["and"] + halves[:10])), (3, " ".join(halves[:8])), (4, None), (5, "")])
@@ -420,10 +374,10 @@ def test_suffix_tree_scores(spark):
     rows = [(i, None if i == 3 else "" if i == 4 else f"The cat {'sat ' * (i % 3)}on mat{i % 5}.") for i in range(40)]
     docs = frame(spark, rows).selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out")
     got = {r.doc_id: r for r in suffixtree.score(docs).collect()}
-    count = collections.Counter(w for d, t in rows if d % 5 != 1 for w in [*lowered(t), None])
+    count = collections.Counter(w for d, t in rows if d % 5 != 1 for w in [*brute.lowered(t), None])
     n, v = sum(count.values()), len(count)
     for d, t in rows:
-        own = [*lowered(t), None]
+        own = [*brute.lowered(t), None]
         assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (len(own), sum(count[w] > 0 for w in own), n)
         assert abs(got[d].base_score - sum(np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)) < 1e-9
         assert got[d].score < 0
@@ -431,7 +385,7 @@ def test_suffix_tree_scores(spark):
 
 def brute_tree_score(corpus, text):
     """log10 of text by dictionaries: contexts of up to DEPTH bytes that are seen twice and diverge."""
-    symbols = lambda t: b"\n" * suffixtree.DEPTH + " ".join(lowered(t)).encode() + b"\n"
+    symbols = lambda t: b"\n" * suffixtree.DEPTH + " ".join(brute.lowered(t)).encode() + b"\n"
     count = collections.defaultdict(collections.Counter)
     for b in map(symbols, corpus):
         for i in range(suffixtree.DEPTH, len(b)):
@@ -493,10 +447,3 @@ def test_suffix_tree_keeps_rare_contexts(spark):
         docs = frame(spark, rows).selectExpr("doc_id", "text", "doc_id = -1 as held_out")
         got.append({x.doc_id: x.score for x in suffixtree.score(docs).collect()}[-1])
     assert got[1] > got[0] - 12
-
-
-def test_empty_tables(spark):
-    docs = spark.createDataFrame([], "doc_id long, text string")
-    assert bwt.remove_repeats(docs).count() == minhash.near_duplicates(docs)[0].count() == 0
-    assert suffixtree.score(docs.selectExpr("doc_id", "text", "false held_out")).count() == tiff.text_digests(docs).count() == 0
-    assert bitpack.tokenise_to_shards(docs, public_tokenizers.path("word_bpe_49k.json"), 2).count() == 0
