@@ -221,7 +221,9 @@ def _send_anchors(buckets: int, most: int):
                 held, now = [], batch
             c = Contexts(*text_bytes(rb.column("text")), hashes=False)
             ids = rb.column("_ord").to_numpy()[c.row]
-            held.append(_key_extent(c.key, ids, ids, np.ones(len(ids), np.int64)))
+            held.append(_key_extent(c.key, ids, ids, np.ones(len(ids), np.uint32)))
+            if len(held) >= 16:
+                held = [_key_extent(*(np.concatenate(x) for x in zip(*held, strict=True)))]
         yield from flush(now, held)
 
     return run

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that reaches a Python worker; texts may be long, so it stays small.
-ARROW_ROWS = 500
-ARROW_BYTES = 4 << 20
+ARROW_ROWS = 250
+ARROW_BYTES = 2 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
