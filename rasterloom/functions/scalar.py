@@ -94,10 +94,6 @@ def unpack_descriptor(code: str, bits: int, legacy: bool = False) -> tuple[str,
     return (field(0), "0", "0") if legacy else ("1", "0", field(0))
 
 
-def descriptor_distance(a: str, b: str) -> str:
-    return f"((case when {a}.shape <> {b}.shape then 1.0D else 0.0D end) + (case when {a}.direction <> {b}.direction then 0.5D else 0.0D end) + (case when {a}.width <> {b}.width then 0.3D else 0.0D end))"
-
-
 def bits_per_index(n: str) -> str:
     """The least number of bits, at least 1, whose power of two reaches n."""
     return f"greatest(1, length(bin(greatest(1, {n} - 1))))"

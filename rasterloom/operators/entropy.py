@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 MOST_BITS = 32
 
 
-def med_encode(indexed: DataFrame, size: DataFrame) -> DataFrame:
-    """Median-edge prediction residuals: image_id, y, x, e = idx - prediction + size (image_id, size).
+def med_encode(indexed: DataFrame, size: DataFrame | None = None) -> DataFrame:
+    """Median-edge prediction residuals: image_id, y, x, e = idx - prediction + size, a column of indexed or (image_id, size).
 
     The neighbours are lags within rows and within columns, so a large image is spread over many tasks.
     """
     row, column = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
-    t = indexed.select("image_id", "y", "x", "idx").withColumn("n", F.lag("idx").over(column)).withColumn("w", F.lag("idx").over(row)).withColumn("nw", F.lag("n").over(row))
+    t = (indexed if size is None else indexed.drop("size").join(size, "image_id")).select("image_id", "y", "x", "idx", "size").withColumn("n", F.lag("idx").over(column)).withColumn("w", F.lag("idx").over(row)).withColumn("nw", F.lag("n").over(row))
     inner = F.when(F.col("nw") >= F.greatest("w", "n"), F.least("w", "n")).when(F.col("nw") <= F.least("w", "n"), F.greatest("w", "n")).otherwise(F.col("w") + F.col("n") - F.col("nw"))
     guess = F.when((F.col("y") == 0) & (F.col("x") == 0), 0).when(F.col("y") == 0, F.col("w")).when(F.col("x") == 0, F.col("n")).otherwise(inner)
-    return t.join(size, "image_id").select("image_id", "y", "x", (F.col("idx") - guess + F.col("size")).cast("int").alias("e"))
+    return t.select("image_id", "y", "x", (F.col("idx") - guess + F.col("size")).cast("int").alias("e"))
 
 
 def undo_med(e: np.ndarray) -> np.ndarray:

@@ -7,14 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import eased, width_pixels
-
-
-def _row():
-    return W.partitionBy("image_id", "y").orderBy("x")
-
-
-def _tall():
-    return W.partitionBy("image_id", "x").orderBy("y")
+from .stencil import along_columns, along_rows, tiled
 
 
 def edges(indexed: DataFrame, width: int) -> DataFrame:
@@ -23,11 +16,10 @@ def edges(indexed: DataFrame, width: int) -> DataFrame:
     image_id, edge_seq (raster order, right before down), x, y, ca, cb, lo, hi and the samples taken there: the
     two pixels, then those of the neighbour's row at x - 1 to x + 1 that have its cluster.
     """
-    t = indexed.select("image_id", "y", "x", "idx", "v")
-    t = t.withColumn("me", F.struct("idx", "v")).withColumn("down", F.lead("me").over(_tall()))
+    t = tiled(indexed.select("image_id", "y", "x", "idx", "v"), 1)
+    t = t.withColumn("me", F.struct("idx", "v")).withColumn("down", F.lead("me").over(along_columns()))
     near = {"left": F.lag("me"), "right": F.lead("me"), "dl": F.lag("down"), "dr": F.lead("down")}
-    for name, value in near.items():
-        t = t.withColumn(name, value.over(_row()))
+    t = t.select("*", *(value.over(along_rows()).alias(name) for name, value in near.items())).where("own")
 
     def side(nth: int, other: str, before: str, own: str, after: str):
         around = F.filter(F.array(before, own, after), lambda s: s["idx"] == F.col(other)["idx"])
@@ -136,9 +128,9 @@ def _sides(decoded: DataFrame) -> DataFrame:
 
     nb numbers the neighbours +x, -x, +y, -y; behind is the cluster on the other side of the pixel.
     """
-    t = decoded.select("image_id", "y", "x", "idx", "recon").withColumn("me", F.struct("idx", "recon"))
-    for name, f, window in (("e", F.lead, _row()), ("w", F.lag, _row()), ("s", F.lead, _tall()), ("n", F.lag, _tall())):
-        t = t.withColumn(name, f("me").over(window))
+    t = tiled(decoded.select("image_id", "y", "x", "idx", "recon").withColumn("me", F.struct("idx", "recon")), 1)
+    around = (("e", F.lead, along_rows()), ("w", F.lag, along_rows()), ("s", F.lead, along_columns()), ("n", F.lag, along_columns()))
+    t = t.select("*", *(f("me").over(window).alias(name) for name, f, window in around)).where("own")
     sides = [("e", "w", 1, 0), ("w", "e", -1, 0), ("s", "n", 0, 1), ("n", "s", 0, -1)]
     t = t.select("image_id", "y", "x", F.col("idx").alias("ca"), F.col("recon").alias("pa"), F.explode(F.array(*(F.struct(F.lit(k).alias("nb"), F.col(a)["idx"].alias("cb"), F.col(a)["recon"].alias("pb"), F.col(o)["idx"].alias("behind"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (a, o, dx, dy) in enumerate(sides)))).alias("s"))
     return t.select("image_id", "y", "x", "ca", "pa", "s.*").where("cb is not null and cb <> ca").withColumn("lo", F.least("ca", "cb")).withColumn("hi", F.greatest("ca", "cb"))

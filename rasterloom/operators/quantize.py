@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import bits_per_index
+
 
 def bucketed(planes: DataFrame, epsilon: float) -> DataFrame:
     """planes with the bucket k of v."""
@@ -40,7 +42,7 @@ def voxels(lab: DataFrame, epsilon: tuple[float, float, float]) -> DataFrame:
 
 
 def bounded_runs(planes: DataFrame, epsilon: float, steps: int) -> tuple[DataFrame, DataFrame]:
-    """Clusters of neighbouring 1-D buckets: (image_id, k, idx) and the palette (image_id, idx, value, n).
+    """Clusters of neighbouring 1-D buckets: (image_id, k, idx, size), size being the image's clusters, and the palette (image_id, idx, value, n).
 
     Each maximal run of occupied buckets is cut into blocks of steps + 1, the form that a bounded breadth-first
     cover takes from ascending roots. Windows run over occupied buckets, not pixels.
@@ -50,7 +52,8 @@ def bounded_runs(planes: DataFrame, epsilon: float, steps: int) -> tuple[DataFra
     v = v.withColumn("block", F.expr(f"(row_number() over (partition by image_id, island order by k) - 1) div {steps + 1}"))
     v = v.withColumn("idx", (F.dense_rank().over(W.partitionBy("image_id").orderBy("island", "block")) - 1).cast("int"))
     palette = v.groupBy("image_id", "idx").agg((F.sum("s") / F.sum("n")).alias("value"), F.sum("n").alias("n"))
-    return v.select("image_id", "k", "idx"), palette
+    size = F.max("idx").over(W.partitionBy("image_id")) + 1
+    return v.select("image_id", "k", "idx", size.alias("size")), palette
 
 
 def direct(planes: DataFrame, epsilon: float) -> DataFrame:
@@ -61,10 +64,10 @@ def direct(planes: DataFrame, epsilon: float) -> DataFrame:
 
 
 def error_summary(palette: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Per image the mean and the greatest of its entries' errors, and pixels an entry: image_id, mean_error, worst_error, reduction."""
+    """Per image the mean and the greatest of its entries' errors, pixels an entry and bits an index: image_id, mean_error, worst_error, reduction, index_bits."""
     entries = palette.groupBy("image_id").agg(F.avg("error").alias("mean_error"), F.max("error").alias("worst_error"), F.count("*").alias("entries"))
     sizes = pixels.groupBy("image_id").agg(F.count("*").alias("pixels"))
-    return entries.join(sizes, "image_id").select("image_id", "mean_error", "worst_error", (F.col("pixels") / F.col("entries")).alias("reduction"))
+    return entries.join(sizes, "image_id").select("image_id", "mean_error", "worst_error", (F.col("pixels") / F.col("entries")).alias("reduction"), F.expr(bits_per_index("entries")).alias("index_bits"))
 
 
 def numbered_voxels(indexed: DataFrame) -> DataFrame:
@@ -75,8 +78,8 @@ def numbered_voxels(indexed: DataFrame) -> DataFrame:
 
 
 def index_matrix(planes: DataFrame, clusters: DataFrame, epsilon: float) -> DataFrame:
-    """planes with the cluster idx of each pixel, by an equi-join on the bucket."""
-    return bucketed(planes, epsilon).join(clusters.select("image_id", "k", "idx"), ["image_id", "k"]).drop("k")
+    """planes with the cluster idx of each pixel (and its image's size), by an equi-join on the bucket."""
+    return bucketed(planes, epsilon).join(clusters, ["image_id", "k"]).drop("k")
 
 
 def decoded(indexed: DataFrame, palette: DataFrame) -> DataFrame:

@@ -9,21 +9,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def neighbourhood(planes: DataFrame, column: str, radius: int, clamp: bool = True) -> DataFrame:
-    """planes with `nb`: the (2r + 1)**2 values around each pixel, row by row.
+#: Rows and columns of a tile.
+TILE = 256
 
-    Values beyond the border are those of the nearest pixel (clamp) or null. Two window passes, by row and
-    by column; no pixel is copied for each of its neighbours.
+
+def tiled(planes: DataFrame, reach: int) -> DataFrame:
+    """planes dealt to tiles ty, tx by one shuffle, with `own`: pixels also go to each tile that is `reach` or less away, there not as its own.
+
+    Inside a tile, windows along rows and along columns then need no shuffle, and its own pixels see everything up
+    to `reach` pixels off as in the whole image.
+    """
+    at = lambda c: F.array_distinct(F.array(*(F.expr(f"({c} + {d}) div {TILE}") for d in (-reach, 0, reach))))
+    t = planes.withColumn("ty", F.explode(at("y"))).withColumn("tx", F.explode(at("x")))
+    return t.withColumn("own", F.expr(f"ty = y div {TILE} and tx = x div {TILE}")).repartition("image_id", "ty", "tx")
+
+
+def along_rows():
+    """The window of a tile's row."""
+    return W.partitionBy("image_id", "ty", "tx", "y").orderBy("x")
+
+
+def along_columns():
+    """The window of a tile's column."""
+    return W.partitionBy("image_id", "ty", "tx", "x").orderBy("y")
+
+
+def neighbourhood(planes: DataFrame, column: str | dict[str, str], radius: int, clamp: bool = True) -> DataFrame:
+    """planes with `nb`: the (2r + 1)**2 values of a column around each pixel, row by row; or several such, by name.
+
+    Values beyond the border are those of the nearest pixel (clamp) or null. One shuffle to tiles, then windows by
+    row and by column; no pixel is copied for each of its neighbours.
     """
-    row, tall = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
+    row, tall = along_rows(), along_columns()
 
     def shifted(value: str, d: int, window) -> Column:
         far = [(F.lag if d < 0 else F.lead)(value, k).over(window) for k in range(abs(d), 0, -1)]
         return F.coalesce(*far, F.col(value)) if clamp else (far[0] if far else F.col(value))
 
-    reach = range(-radius, radius + 1)
-    t = planes.withColumn("_row", F.array(*(shifted(column, d, row) for d in reach)))
-    return t.withColumn("nb", F.flatten(F.array(*(F.coalesce(shifted("_row", d, tall), F.array_repeat(F.lit(None).cast("double"), 2 * radius + 1)) for d in reach)))).drop("_row")
+    reach, names = range(-radius, radius + 1), column if isinstance(column, dict) else {"nb": column}
+    t = tiled(planes, radius)
+    t = t.select("*", *(F.array(*(shifted(c, d, row) for d in reach)).alias(f"_{n}") for n, c in names.items()))
+    none = F.array_repeat(F.lit(None).cast("double"), 2 * radius + 1)
+    t = t.select("*", *(F.flatten(F.array(*(F.coalesce(shifted(f"_{n}", d, tall), none) for d in reach))).alias(n) for n in names))
+    return t.where("own").drop("ty", "tx", "own", *(f"_{n}" for n in names))
 
 
 def gauss3(planes: DataFrame) -> DataFrame:
@@ -61,16 +89,16 @@ def soft_lowpass(planes: DataFrame, strength: float = 0.2, radius: int = 1) -> D
 
 def region_blur(indexed: DataFrame, radius: int = 1, passes: int = 3) -> DataFrame:
     """Box blur inside clusters: `passes` times along rows, then columns, over members of the pixel's own cluster, truncated each time."""
-    t = indexed.select("image_id", "y", "x", "idx", F.col("v"))
+    t = tiled(indexed.select("image_id", "y", "x", "idx", "v"), passes * radius)
     for _ in range(passes):
-        for window in (W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")):
+        for window in (along_rows(), along_columns()):
             top, count = F.col("v"), F.lit(1)
             for d in [k for k in range(-radius, radius + 1) if k]:
                 same = F.lead("idx", d).over(window) == F.col("idx") if d > 0 else F.lag("idx", -d).over(window) == F.col("idx")
                 value = F.lead("v", d).over(window) if d > 0 else F.lag("v", -d).over(window)
                 top, count = top + F.when(same, value).otherwise(0.0), count + F.when(same, 1).otherwise(0)
-            t = t.select("image_id", "y", "x", "idx", F.floor(top / count).cast("double").alias("v"))
-    return t
+            t = t.select("image_id", "ty", "tx", "own", "y", "x", "idx", F.floor(top / count).cast("double").alias("v"))
+    return t.where("own").drop("ty", "tx", "own")
 
 
 def near_boundary(indexed: DataFrame, distance: int) -> DataFrame:
@@ -92,22 +120,21 @@ def similar_border_blur(planes: DataFrame, colour: tuple[str, ...], radius: int
     beyond the image have no weight; results are truncated. Clusters' colours are compared where they meet, so no
     pair of palette entries is.
     """
-    row, tall, side = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y"), 2 * radius + 1
-    t = planes.withColumn("_me", F.struct("idx", *colour))
-    near = F.lit(False)
-    for f, window in ((F.lead, row), (F.lag, row), (F.lead, tall), (F.lag, tall)):
+    side = 2 * radius + 1
+    t, near = tiled(planes.withColumn("_me", F.struct("idx", *colour)), 1), F.lit(False)
+    for f, window in ((F.lead, along_rows()), (F.lag, along_rows()), (F.lead, along_columns()), (F.lag, along_columns())):
         other = f("_me").over(window)
         apart = F.sqrt(sum(((other[c] - F.col(c)) * (other[c] - F.col(c)) for c in colour), F.lit(0.0)))
         near = near | F.coalesce((other["idx"] != F.col("idx")) & (apart < threshold), F.lit(False))
-    t = t.withColumn("_near", F.when(near, 1.0).otherwise(0.0)).select("image_id", "y", "x", "v", "_near")
-    t = neighbourhood(t, "_near", radius, clamp=False).withColumn("_blur", F.exists("nb", lambda n: n > 0)).drop("nb")
+    t = t.withColumn("_near", F.when(near, 1.0).otherwise(0.0)).where("own").select("image_id", "y", "x", "v", "_near")
+    t = neighbourhood(t, {"nb": "v", "_around": "_near"}, radius, clamp=False)
     weight, top, total = [], F.lit(0.0), F.lit(0.0)
     for k in range(side * side):
         weight.append(math.exp(-((k // side - radius) ** 2 + (k % side - radius) ** 2) / (2 * (radius / 2) ** 2)))
         top = top + F.coalesce(F.col("nb")[k] * weight[k], F.lit(0.0))
         total = total + F.when(F.col("nb")[k].isNotNull(), weight[k]).otherwise(0.0)
     soft = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), top / total + 1e-9)))
-    return neighbourhood(t, "v", radius, clamp=False).select("image_id", "y", "x", F.when(F.col("_blur"), soft.cast("double")).otherwise(F.col("v")).alias("v"))
+    return t.select("image_id", "y", "x", F.when(F.exists("_around", lambda n: n > 0), soft.cast("double")).otherwise(F.col("v")).alias("v"))
 
 
 def subsample(values: DataFrame, column: str, odd: bool = True, size: tuple[int, int] | None = None) -> DataFrame:
@@ -301,8 +328,7 @@ def mse_psnr(pairs: DataFrame, peak: float = 255.0) -> DataFrame:
 def ssim(pairs: DataFrame, size: int = 7, peak: float = 1.0) -> DataFrame:
     """Mean structural similarity per image of pairs (image_id, y, x, p, q) over whole uniform windows, sample covariances."""
     r, n = size // 2, size * size
-    t = neighbourhood(pairs, "p", r, clamp=False).withColumnRenamed("nb", "np")
-    t = neighbourhood(t, "q", r, clamp=False).where(F.expr("forall(nb, v -> v is not null)"))
+    t = neighbourhood(pairs, {"np": "p", "nb": "q"}, r, clamp=False).where(F.expr("forall(nb, v -> v is not null)"))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     product = lambda a, b: add(F.zip_with(a, b, lambda x, y: x * y))
     t = t.select("image_id", (add("np") / n).alias("up"), (add("nb") / n).alias("uq"), product("np", "np").alias("pp"), product("nb", "nb").alias("qq"), product("np", "nb").alias("pq"))

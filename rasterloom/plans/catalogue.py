@@ -55,7 +55,7 @@ def _sizes(palette: DataFrame) -> DataFrame:
 
 def _residuals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ix, palette = _indexed(spark, d)
-    return entropy.med_encode(ix, _sizes(palette)), palette
+    return entropy.med_encode(ix), palette
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -69,9 +69,11 @@ def _lab(pixels: DataFrame) -> DataFrame:
 
 def quantised_run_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: planes, buckets, clusters, index matrix, prediction and runs, summed up by image."""
-    res, palette = _residuals(spark, d)
+    px = R.planes_of_embeddings(spark, d)
+    clusters, _ = quantize.bounded_runs(px, EPS, STEPS)
+    res = entropy.med_encode(quantize.index_matrix(px, clusters, EPS))
     runs = entropy.runs(res, "e").groupBy("image_id").agg(F.count("*").alias("n_runs"), F.max("len").alias("max_run"), F.sum("len").alias("pixels"))
-    return runs.join(palette.groupBy("image_id").agg(F.count("*").alias("palette_size")), "image_id")
+    return runs.join(clusters.groupBy("image_id").agg(F.max("size").cast("long").alias("palette_size")), "image_id")
 
 
 def lab_convert(spark, d):
@@ -131,6 +133,13 @@ def descriptor_codes(spark, d):
     return t.select("image_id", "y", "x", *(F.expr(f"cast({scalar.pack_descriptor(n, old)} as int)").alias(f"{'old' if old else 'code'}{n}") for n in (2, 4, 6) for old in (False, True)))
 
 
+def descriptor_fields(spark, d):
+    """What unpacking gives back of packed descriptors, by bits and version."""
+    codes = descriptor_codes(spark, d)
+    read = lambda n, old: zip(("shape", "direction", "width"), scalar.unpack_descriptor(f"{'old' if old else 'code'}{n}", n, old), strict=True)
+    return codes.select("image_id", "y", "x", *(F.expr(f"cast({e} as int)").alias(f"{'old' if old else 'new'}{n}_{f}") for n in (2, 4, 6) for old in (False, True) for f, e in read(n, old)))
+
+
 def easing(spark, d):
     t = R.planes_of_embeddings(spark, d).withColumn("t", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v") + 0.5)))
     return t.select("image_id", "y", "x", *(F.round(F.expr(scalar.eased("t", str(s))), 6).alias(f"s{s}") for s in range(4)))
@@ -176,7 +185,7 @@ def _layer_parts(planes: DataFrame, eps: float) -> tuple[DataFrame, DataFrame, D
 
 
 def _sections(flat: DataFrame, palette: DataFrame, queue: DataFrame, group: str) -> DataFrame:
-    runs = entropy.runs(entropy.med_encode(flat, _sizes(palette)), "e")
+    runs = entropy.runs(entropy.med_encode(flat), "e")
     return entropy.section_sizes(palette, entropy.codes(entropy.run_keys(runs)), queue, group)
 
 
@@ -207,7 +216,8 @@ def container_queue(spark, d):
     flat, palette = _flat(spark, d)
     queue = gradients.descriptors(gradients.segments(gradients.edges(flat, EDGE), flat, SEGMENT), 0.25)
     files = settled(container.assembled(container.layer_rows(flat, palette, container.BASE, queue, 6)))
-    codes = container.read_queue(files).select("image_id", "queue_idx", "code")
+    fields = zip(("shape", "direction", "width"), scalar.unpack_descriptor("code", 6), strict=True)
+    codes = container.read_queue(files).select("image_id", "queue_idx", *(F.expr(f"cast({e} as int)").alias(f) for f, e in fields))
     points = container.read_points(files).select("image_id", "queue_idx", "x", "y")
     return codes.join(points, ["image_id", "queue_idx"], "left").fillna(-1, ["x", "y"])
 
@@ -327,7 +337,7 @@ def first_samples(spark, d):
 
 def palette_errors(spark, d):
     planes = R.planes_of_embeddings(spark, d)
-    return quantize.error_summary(quantize.direct(planes, EPS), planes).select("image_id", *_r("mean_error", "worst_error", "reduction"))
+    return quantize.error_summary(quantize.direct(planes, EPS), planes).select("image_id", *_r("mean_error", "worst_error", "reduction"), "index_bits")
 
 
 def lab_mse(spark, d):
@@ -432,6 +442,29 @@ def container_second(spark, d):
     return older.read_older(older.write_older(*_colour_index(spark, d), 2), 2)
 
 
+def _as_colours(palette: DataFrame) -> DataFrame:
+    """A plane's palette as colours without chroma, as the older containers hold palettes."""
+    return palette.select("image_id", "idx", (F.col("value") * 100).alias("l"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("error"))
+
+
+def container_dct(spark, d):
+    """Kept coefficients in reduced files of the first version, read again."""
+    flat, palette = _flat(spark, d)
+    kept = stencil.keep_coefficients(stencil.dct(R.planes_of_embeddings(spark, d), 4, 5), 4, 5, 0.05)
+    files = older.write_older(stencil.subsample(flat, "idx"), _as_colours(palette), 1, kept=kept, dct=(4, 5, 0.05), full=(8, 8))
+    return older.read_coefficients(files, 8, True)
+
+
+def container_older_queue(spark, d):
+    """Descriptors of both older versions, the second with two layers, read again."""
+    flat, palette = _flat(spark, d)
+    queue = settled(gradients.descriptors(gradients.segments(gradients.edges(flat, EDGE), flat, SEGMENT), 0.25))
+    twice = lambda t: t.withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1))))
+    one = older.read_older_queue(older.write_older(flat, _as_colours(palette), 1, queue), 1)
+    two = older.read_older_queue(older.write_older(twice(flat), twice(_as_colours(palette)), 2, twice(queue), 6), 2)
+    return one.selectExpr("1 version", "*").unionByName(two.selectExpr("2 version", "*"))
+
+
 def nearest_palette(spark, d):
     ix, palette = _indexed(spark, d)
     pairs = gradients.first_seen(gradients.edges(ix, EDGE)).select("image_id", F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -521,9 +554,9 @@ def png_files(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        quantised_run_statistics, lab_convert, lab_roundtrip, lab_roundtrip_legacy, voxel_agg, quantize_bfs1d, quantize_direct, signal_palette, palette_decode, residual_plane, cluster_error, plane_ranges, half_float, descriptor_codes, easing,
+        quantised_run_statistics, lab_convert, lab_roundtrip, lab_roundtrip_legacy, voxel_agg, quantize_bfs1d, quantize_direct, signal_palette, palette_decode, residual_plane, cluster_error, plane_ranges, half_float, descriptor_codes, descriptor_fields, easing,
         med_encode, med_decode, rle, rle_roundtrip, run_key_freq, huffman_codes, huffman_bits, size_report, edges, pair_first_seen, segments, segment_shapes, change_points, change_points_strict, apply_gradients, reconstruct, pyramid,
-        subsample_odd, subsample_even, upsample_nearest, upsample_index_odd, upsample_index_even, upsample_index_box, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, container_layers, container_queue, container_reduced, apply_gradients_along, reconstruct_scaled, reconstruct_channels, reconstruct_rgb, layer_sum, subsample_short, resized, resize_error, first_samples, palette_errors, lab_mse, noise_uniform, noise_border, noise_normal, similar_border_blur, similar_colours, upsample_index_older, image_scan, bfs3d, colour_palette, container_first, container_second, container_roundtrip, png_files,
+        subsample_odd, subsample_even, upsample_nearest, upsample_index_odd, upsample_index_even, upsample_index_box, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, container_layers, container_queue, container_reduced, container_dct, container_older_queue, apply_gradients_along, reconstruct_scaled, reconstruct_channels, reconstruct_rgb, layer_sum, subsample_short, resized, resize_error, first_samples, palette_errors, lab_mse, noise_uniform, noise_border, noise_normal, similar_border_blur, similar_colours, upsample_index_older, image_scan, bfs3d, colour_palette, container_first, container_second, container_roundtrip, png_files,
     )
 }
 
@@ -691,6 +724,7 @@ _DCT_KEPT = f"with {PX}, {_DCT}, {_ZZ}, kept as (select image_id, u, co.w, great
 _COLOUR_PIXELS = "select i.image_id, 0 as layer, y, x, idx, {} from ci i join cp p using (image_id, idx)"
 
 ORACLE |= {
+    "descriptor_fields": f"with {RGB}, t as (select image_id, y, x, cast(r % 4 as int) as s, cast(g % 4 as int) as d, cast(b % 4 as int) as w from rgb) select image_id, y, x, " + ", ".join(f"{e} as {k}_{f}" for k, own in (("new2", ("1", "0", "w")), ("old2", ("s", "0", "0")), ("new4", ("s", "0", "w")), ("old4", ("s", "d", "0")), ("new6", ("s", "d", "w")), ("old6", ("s", "d", "w"))) for f, e in zip(("shape", "direction", "width"), own, strict=True)) + " from t",
     "segment_shapes": f"with {_BASE} select image_id, lo, hi, seg, shape, direction, width from t_sg",
     "change_points": f"with {_BASE} select {_QUEUE} from t_ds",
     "change_points_strict": f"with recursive {PX}, {twins.palette('t', 'px', EPS, STEPS)}, {twins.descriptors('t', EDGE, 2, 1.2)} select {_QUEUE} from t_ds",
@@ -706,7 +740,7 @@ ORACLE |= {
     "resized": f"with {PX}, {_resized_sql('px', 'o', (8, 8), (5, 11))} select image_id, y, x, round(v, 6) as v from o",
     "resize_error": f"with {PX}, {_resized_sql('px', 'h', (8, 8), (4, 4))}, {_resized_sql('h', 'o', (4, 4), (8, 8))}, e as (select px.image_id, avg(power(px.v - o.v, 2)) as mse from px join o using (image_id, y, x) group by all) select image_id, round(mse, 9) as mse, round(10 * log10(1 / mse), 5) as psnr from e",
     "first_samples": f"{BASE} select image_id, cast(x + 1 as int) as nth, round(q, 6) as v from ({_DECODE}) where y = 0 and x < 5",
-    "palette_errors": f"with {PX}, p as (select image_id, floor(v / {EPS}) as k, avg(v) as m, min(v) as lo, max(v) as hi from px group by all) select image_id, round(avg(greatest(m - lo, hi - m)), 6) as mean_error, round(max(greatest(m - lo, hi - m)), 6) as worst_error, round(64.0::double / count(*), 6) as reduction from p group by all",
+    "palette_errors": f"with {PX}, p as (select image_id, floor(v / {EPS}) as k, avg(v) as m, min(v) as lo, max(v) as hi from px group by all) select image_id, round(avg(greatest(m - lo, hi - m)), 6) as mean_error, round(max(greatest(m - lo, hi - m)), 6) as worst_error, round(64.0::double / count(*), 6) as reduction, cast(greatest(1, ceil(log2(count(*)))) as int) as index_bits from p group by image_id",
     "lab_mse": f"with {RGB}, {_LABS}, cut as (select image_id, y, x, r // 16 * 16 + 8 as r, g // 16 * 16 + 8 as g, b // 16 * 16 + 8 as b from rgb), lc as {twins.lab('cut')}, e as (select p.image_id, avg(power(p.l - q.l, 2)) as l, avg(power(p.a - q.a, 2)) as a, avg(power(p.b - q.b, 2)) as b from lb p join lc q using (image_id, y, x) group by all) select image_id, channel, round(mse, 5) as mse from (unpivot e on l, a, b into name channel value mse)",
     "noise_uniform": _noise(_U),
     "noise_border": _noise(f"(case when near then 0.85 + {_U} * (1 - 0.85) else {_U} end)", _NEAR).replace("join vp using (image_id, idx))", "join vp using (image_id, idx) join nb using (image_id, y, x))"),
@@ -720,8 +754,10 @@ ORACLE |= {
     "huffman_bits": _KINDS.replace("with ", "with recursive ", 1) + ", t as (select h.image_id, cast(sum(freq * greatest(1, length(c.code))) as bigint) as bits, count(*) as entries from hf h join keys k on k.image_id = h.image_id and k.key = c.key group by h.image_id) select image_id, bits, entries, cast((bits + 7) // 8 as bigint) as bytes from t",
     "size_report": _report_sql(),
     "container_layers": _container_sql(),
-    "container_queue": f"with {_BASE} select image_id, queue_idx, cast(shape * 16 + direction * 4 + width as int) as code, case when change then first_x else -1 end as x, case when change then first_y else -1 end as y from t_ds",
+    "container_queue": f"with {_BASE} select image_id, queue_idx, shape, direction, width, case when change then first_x else -1 end as x, case when change then first_y else -1 end as y from t_ds",
     "container_reduced": _reduced_sql(),
+    "container_dct": f"with {PX}, cs as (select u, i, sqrt((case when u = 0 then 1 else 2 end) / 4.0) * cos(pi() * (2 * i + 1) * u / 8.0) as w from range(4) a(u), range(4) b(i)), co as (select image_id, y // 4 as by_, x // 4 as bx, a.u, b.u as w, sum(v * a.w * b.w) as c from px join cs a on a.i = y % 4 join cs b on b.i = x % 4 group by all), zz as (select r, c, row_number() over (order by r + c, case when (r + c) % 2 = 1 then r else c end) - 1 as k from range(4) a(r), range(4) b(c)) select image_id, by_::int as by, bx::int as bx, k::int as k, cast(greatest(-127, least(127, round(co.c / 0.05))) as int) as q from co join zz on zz.r = u and zz.c = w where k < 5",
+    "container_older_queue": f"with {_BASE} select version, image_id, layer, queue_idx, cast(case when version = 1 then shape * 4 + direction else shape * 16 + direction * 4 + width end as int) as code from t_ds, (values (1, 0), (2, 0), (2, 1)) r(version, layer)",
     "container_roundtrip": f"{BASE} select image_id, 193 as layer, y, x, idx, {twins.half('value')} as value from ix join pal using (image_id, idx)",
     "container_first": f"with recursive {_COLOURS} {_COLOUR_PIXELS.format(', '.join(f'least(127.0, greatest(-128.0, trunc(p.{c} + sign(p.{c}) * 0.5)))::double + 0.0 as {c}' for c in 'lab'))}",
     "container_second": f"with recursive {_COLOURS} {_COLOUR_PIXELS.format(', '.join(f'{twins.half(chr(112) + chr(46) + c)} as {c}' for c in 'lab'))}",

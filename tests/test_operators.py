@@ -13,6 +13,7 @@ from rasterloom.functions import scalar
 from rasterloom.operators import entropy, gradients, quantize, resample, stencil
 from rasterloom.plans import catalogue
 from rasterloom.sources import container, older
+from rasterloom.streaming import images
 
 DATA = "/root/testdata/sf0.001"
 INDEX = [[2, 2, 3], [2, 4, 3], [1, 4, 4]]
@@ -109,6 +110,18 @@ def test_colours(spark):
         assert [tuple(r) for r in t.select(*(F.expr(e) for e in scalar.rgb(variant))).collect()] == [(255, 0, 0), (10, 200, 37), (0, 0, 0)]
 
 
+def test_pixels_that_arrive(spark, tmp_path):
+    """A stream of pixel files, read in two goes from its checkpoint, gives what the batch plan gives."""
+    rows = [(1, 0, 0, 255, 0, 0), (1, 0, 1, 10, 200, 37), (2, 0, 0, 0, 0, 0)]
+    for k, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, "image_id long, y int, x int, r int, g int, b int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = images.lab_stream(spark, f"{tmp_path}/in").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/out").count() == 2 + k
+    want = scalar.with_lab(spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int")).collect()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, want))
+
+
 def test_half_floats(spark):
     values = [1.0009, -3.7, 0.25, 1e-6, 70000.0]
     t = spark.createDataFrame([(v,) for v in values], "v double").select(F.expr(scalar.half("v")).alias("h"))
@@ -137,7 +150,7 @@ def test_container_round_trip(spark):
 
 TWINS = """quantised_run_statistics med_decode pair_first_seen segment_shapes change_points_strict apply_gradients apply_gradients_along reconstruct_channels pyramid nearest_palette
 similar_colours near_boundary ssim upsample_index_odd upsample_index_older upsample_index_box resize_error noise_border noise_normal similar_border_blur lab_mse palette_errors layer_sum
-size_report container_layers container_queue container_reduced container_second image_scan bfs3d huffman_codes""".split()
+size_report container_layers container_queue container_reduced container_second container_dct container_older_queue descriptor_fields image_scan bfs3d huffman_codes""".split()
 
 
 @pytest.mark.parametrize("name", TWINS)
@@ -232,6 +245,19 @@ def test_older_containers(spark):
         assert {(x.y, x.x, x.idx, x.l, x.b) for x in back} == {(y, x, v, float(v), -float(v)) for y, row in enumerate(INDEX) for x, v in enumerate(row)}
 
 
+def test_tiles_see_what_the_image_holds(spark, monkeypatch):
+    """Neighbourhoods, edges and blurs are the same when an image is cut into tiles of three by three."""
+    r = np.random.default_rng(9)
+    cells = [(1, y, x, int(r.integers(0, 3)), float(r.integers(0, 200))) for y in range(11) for x in range(8)]
+    planes = spark.createDataFrame(cells, "image_id long, y int, x int, idx int, v double").withColumn("recon", F.col("idx") * 5.0)
+    found = []
+    for tile in (256, 3):
+        monkeypatch.setattr(stencil, "TILE", tile)
+        made = [stencil.gauss3(planes), stencil.bilateral(planes), stencil.near_boundary(planes, 2), stencil.region_blur(planes), stencil.similar_border_blur(planes, ("recon",), 2, 6.0), stencil.soft_lowpass(planes), gradients.edges(planes, 8).drop("samples"), gradients._sides(planes)]
+        found.append([sorted(map(tuple, t.collect())) for t in made])
+    assert found[0] == found[1]
+
+
 def test_region_blur_and_deblocking(spark):
     r = np.random.default_rng(7)
     v, idx = r.integers(0, 200, (8, 8)).astype(float), r.integers(0, 2, (8, 8))
