@@ -24,6 +24,8 @@ from .common import texts
 LEAF = 8
 #: Encodings of up to this many bytes are remembered: leaves and border windows repeat.
 SHORT = 16
+#: Ids of a leaf of decoding's tree.
+LEAVES = 4096
 #: Entries of each of a worker's caches; a full cache is emptied, which only costs time.
 CACHE = 200_000
 #: A space between two other non-space characters always begins a match of the pattern.
@@ -130,8 +132,11 @@ class MonoidBPE:
         return [r] if r is not None else self.tree(b)
 
     def decode(self, ids) -> bytes:
-        """The bytes of ids."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of ids, concatenated up a tree whose leaves are a few thousand ids."""
+        if len(ids) <= LEAVES:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        mid = len(ids) // 2
+        return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
 class TextEncoder:

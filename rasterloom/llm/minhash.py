@@ -34,6 +34,8 @@ BANDS, ROWS = 20, 4
 SKETCH = 2048
 #: Members of a band that are compared with as many others in one task; larger bands are cut into such blocks.
 BLOCK = 256
+#: Rows of tasks that are compared at once.
+TOGETHER = 4096
 #: Members of a band's largest component that its other members are compared with first.
 HUBS = 8
 _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=U64)) | U64(1)
@@ -222,25 +224,44 @@ def confirm(staged: DataFrame, batches: int, nodes: DataFrame, pairs: DataFrame,
     return stage(staged.mapInArrow(_confirm(write_answers(sent, batches, "pairs"), percent), "a long, b long"), "links")
 
 
-def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of different components, of a member of side 0 and one of side 1 (or of two of side 0, where that is all), that the sketch doesn't rule out."""
-    side = table.column("side").to_numpy()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(side), -1)
-    ids, n, own, low = (table.column(c).to_numpy() for c in ("doc_id", "n", "component", "low"))
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if not table.column("inner").to_numpy().any() else (np.arange(len(side)),) * 2
-    inside = left is right
-    found = []
-    for i in left:
-        others = right[right > i] if inside else right
-        others = others[(own[others] != own[i]) & ~(low[i] & low[others])]
-        least, most = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-        others = others[100 * least >= percent * most]
-        if len(others):
-            apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
+def _across(percent: int):
+    """Pairs of different components that meet in a task of _blocked and that the sketch doesn't rule out; rows come sorted by task."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        task = np.stack([t.column(c).to_numpy() for c in ("band", "z", "x", "y")])
+        first = np.flatnonzero(np.append(True, (task[:, 1:] != task[:, :-1]).any(0))[: len(t)])
+        end = np.repeat(np.append(first[1:], len(t)), np.diff(np.append(first, len(t))))
+        ids, n, own, low, side, inner = (t.column(c).to_numpy() for c in ("doc_id", "n", "component", "low", "side", "inner"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(t), -1)
+        i, d, out = np.arange(len(t)), 0, []
+        while len(i := i[i + d + 1 < end[i]]):  # each row with the one d places on
+            d += 1
+            j = i + d
+            meet = (own[i] != own[j]) & (inner[i] | (side[i] != side[j])) & ~(low[i] & low[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            x, y = i[meet], j[meet]
+            apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
             # apart <= |A| + |B| - 2 * common, so common is at most:
-            common = (n[others] + n[i] - apart) // 2
-            found += [(int(ids[i]), int(ids[k])) for k in others[near_enough(n[others], n[i], common, percent)]]
-    return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
+            near = near_enough(n[x], n[y], (n[x] + n[y] - apart) // 2, percent)
+            out.append(np.stack([ids[x[near]], ids[y[near]]]))
+        pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for rb in batches:
+            held.append(rb)
+            n += len(rb)
+            if n >= TOGETHER:
+                t = pa.Table.from_batches(held)
+                task = np.stack([t.column(c).to_numpy() for c in ("band", "z", "x", "y")])
+                last = int(np.flatnonzero((task != task[:, -1:]).any(0)).max(initial=-1)) + 1  # the last task may go on
+                if last:
+                    yield found(t.slice(0, last))
+                held, n = t.slice(last).combine_chunks().to_batches(), len(t) - last
+        if n:
+            yield found(pa.Table.from_batches(held))
+
+    return run
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -311,7 +332,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     links = links.unionAll(confirm(slim, batches, nodes, stage(near, "hubpairs"), percent))
     rest = _blocked(_open(members, links), percent)
     rest = rest.join(look, rest.doc_id == look.id).drop("id")
-    pairs = rest.groupBy("band", "z", "x", "y").applyInArrow(lambda t: _across(t, percent), "a long, b long").distinct()
+    task, parts = ["band", "z", "x", "y"], int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rest.repartition(parts, *task).sortWithinPartitions(*task).mapInArrow(_across(percent), "a long, b long").distinct()
     more = confirm(slim, batches, nodes, stage(pairs, "crosspairs"), percent)
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     same = usable.join(repeated, "doc_id").join(heads, "identity").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))

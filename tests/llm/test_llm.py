@@ -105,6 +105,13 @@ def test_open_bands_lose_no_pair(spark, monkeypatch):
                 met[band, min(a.doc_id, b.doc_id), max(a.doc_id, b.doc_id)] += 1
     allowed = {(b, x, y) for b, x, y in itertools.product(range(3), range(1, 60), range(1, 60)) if x < y and size[b, x][1] != size[b, y][1] and 100 * min(size[b, x][0], size[b, y][0]) >= 85 * max(size[b, x][0], size[b, y][0])}
     assert allowed <= set(met) and max(met.values()) == 1
+    # the workers' side, batches of 7 rows, with sketches that rule nothing out
+    monkeypatch.setattr(minhash, "TOGETHER", 20)
+    dealt = [(*k, t.side, t.inner, t.low, t.doc_id, t.component, size[t.band, t.doc_id][0], b"\0" * 256) for k in sorted(groups) for t in groups[k]]
+    names = ["band", "z", "x", "y", "side", "inner", "low", "doc_id", "component", "n", "sketch"]
+    whole = pa.table({c: [r[k] for r in dealt] for k, c in enumerate(names)})
+    found = [p for b in minhash._across(85)(iter(whole.to_batches(max_chunksize=7))) for p in zip(*(b.column(c).to_pylist() for c in "ab"), strict=True)]
+    assert sorted(found) == sorted((x, y) for _, x, y in allowed)
 
 
 def test_pipeline_near_copies_from_80_percent(spark):
