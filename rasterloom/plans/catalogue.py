@@ -22,7 +22,7 @@ EPS, STEPS, EDGE, SEGMENT = 0.05, 2, 8, 8
 
 # SQL of the relations and of steps that several queries share.
 PX = "px as (select vec_id as image_id, cast(i // 8 as int) as y, cast(i % 8 as int) as x, cast(embedding[i + 1] as double) as v from embeddings, range(64) t(i))"
-RGB = "rgb as (select vec_id as image_id, cast(q // 4 as int) as y, cast(q % 4 as int) as x, " + ", ".join(f"cast(floor(least(1.0, greatest(0.0, cast(embedding[q * 3 + {c + 1}] as double) + 0.5)) * 255) as int) as {n}" for c, n in enumerate("rgb")) + " from embeddings, range(16) t(q))"
+RGB = "rgb as (select vec_id as image_id, cast(p // 8 as int) as y, cast(p % 8 as int) as x, " + ", ".join(f"cast(floor(least(1.0, greatest(0.0, cast(embedding[(p + {c}) % 64 + 1] as double) + 0.5)) * 255) as int) as {n}" for c, n in zip((0, 21, 42), "rgb", strict=True)) + " from embeddings, range(64) t(p))"
 BIG = "big as (select cast(0 as bigint) as image_id, cast(n // 100 as int) as y, cast(n % 100 as int) as x, cast(l_quantity * 5 as int) as r, cast(round(l_discount * 100) * 25 as int) as g, cast(round(l_tax * 100) * 31 as int) as b from (select *, row_number() over (order by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 as n from lineitem))"
 SIG = "sig as (select user_id as image_id, 0 as y, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as x, cast(value as double) as v from events where user_id is not null)"
 VOX = f"vox as (select image_id, cast(floor(v / {EPS}) as int) as k, count(*) as n, sum(v) as s from px group by all)"
@@ -294,12 +294,12 @@ def reconstruct_scaled(spark, d):
 def reconstruct_channels(spark, d):
     """Each channel of Lab images as a base layer and a residual layer."""
     planes = layers.folded(layers.stacked(_lab(R.rgb_of_embeddings(spark, d))))
-    return layers.unfolded(layers.reconstruct(planes, 5.0, STEPS, 4, 3.0)).select("image_id", "channel", "y", "x", *_r("base", "recon", digits=5))
+    return layers.unfolded(layers.reconstruct(planes, 5.0, STEPS, 8, 3.0)).select("image_id", "channel", "y", "x", *_r("base", "recon", digits=5))
 
 
 def reconstruct_rgb(spark, d):
     """As reconstruct_channels, the three channels brought together and turned back to bytes."""
-    t = layers.unfolded(layers.reconstruct(layers.folded(layers.stacked(_lab(R.rgb_of_embeddings(spark, d)))), 5.0, STEPS, 4, 3.0))
+    t = layers.unfolded(layers.reconstruct(layers.folded(layers.stacked(_lab(R.rgb_of_embeddings(spark, d)))), 5.0, STEPS, 8, 3.0))
     t = t.groupBy("image_id", "y", "x").pivot("channel", list(layers.CHANNELS)).agg(F.first("recon"))
     return t.select("image_id", "y", "x", *(F.expr(e).alias(n) for e, n in zip(scalar.rgb(), "rgb", strict=True)))
 
@@ -350,7 +350,7 @@ def lab_mse(spark, d):
 
 def _bucket_colours(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Lab pixels with their 3-D bucket as cluster, and the clusters' mean colours and errors."""
-    ix = settled(quantize.numbered_voxels(quantize.voxelled(_lab(R.rgb_of_embeddings(spark, d)), (20.0, 20.0, 20.0))))
+    ix = settled(quantize.numbered_voxels(settled(quantize.voxelled(_lab(R.rgb_of_embeddings(spark, d)), (20.0, 20.0, 20.0)))))
     return ix, quantize.colour_palette(ix)
 
 
@@ -427,7 +427,7 @@ def _colour_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def upsample_index_box(spark, d):
     ix, palette = _colour_index(spark, d)
-    return resample.upsample_index(stencil.subsample(ix, "idx"), palette, 4, 4, nearest=resample.nearest_in_box)
+    return resample.upsample_index(stencil.subsample(ix, "idx"), palette, 8, 8, nearest=resample.nearest_in_box)
 
 
 def colour_palette(spark, d):
@@ -626,7 +626,7 @@ ORACLE: dict[str, str] = {
 #: One layer over px, which also has the steps before blending; two layers; and their inputs.
 _BASE = f"{PX}, {twins.palette('t', 'px', EPS, STEPS)}, {twins.descriptors('t', EDGE, SEGMENT, 0.25)}"
 _TWO = f"{PX}, {twins.two_layers('t', 'px', EPS, STEPS, EDGE, 0.02)}"
-_CHANNELS = f"{RGB}, {_LABS}, pl as (select image_id * 3 + c as image_id, y, x, [l, a, b][c + 1] as v from lb, range(3) r(c)), {twins.two_layers('t', 'pl', 5.0, STEPS, 4, 3.0)}"
+_CHANNELS = f"{RGB}, {_LABS}, pl as (select image_id * 3 + c as image_id, y, x, [l, a, b][c + 1] as v from lb, range(3) r(c)), {twins.two_layers('t', 'pl', 5.0, STEPS, 8, 3.0)}"
 _QUEUE = "image_id, queue_idx, lo, hi, first_x, first_y, shape, direction, width, change"
 _VOXELS = f"{RGB}, {_LABS}, vx as (select image_id, y, x, l, a, b, cast(floor(l / 20) as int) as kl, cast(floor(a / 20) as int) as ka, cast(floor(b / 20) as int) as kb from lb), vi as (select *, cast(dense_rank() over (partition by image_id order by kl, ka, kb) - 1 as int) as idx from vx), vm as (select image_id, idx, avg(l) as cl, avg(a) as ca, avg(b) as cb from vi group by all), vp as (select image_id, idx, cl, ca, cb, max(sqrt(power(l - cl, 2) + power(a - ca, 2) + power(b - cb, 2))) as radius from vi join vm using (image_id, idx) group by all)"
 _PLACED = "select image_id, y, x, round(cl + f * ml, 5) as l, round(ca + f * ma, 5) as a, round(cb + f * mb, 5) as b from (select *, case when sqrt(ml * ml + ma * ma + mb * mb) > radius then radius / sqrt(ml * ml + ma * ma + mb * mb) else 1 end as f from w)"
@@ -649,7 +649,7 @@ def _box_sql() -> str:
 
     def filled(out: str, source: str, axis: str, other: str) -> str:
         part = ", ".join(f"max(case when 2 * s.{axis} + 1 = g.p + {d} then s.idx end) as {n}" for d, n in ((0, "own"), (-1, "p"), (1, "q")))
-        return f"{out}0 as (select s.image_id, s.{other}, g.p as {axis}, {part} from {source} s join range(4) g(p) on abs(2 * s.{axis} + 1 - g.p) <= 1 group by s.image_id, s.{other}, g.p), {out} as (select t.image_id, y, x, coalesce(own, case when p is null then q when q is null then p when p = q then p end, near.idx) as idx from {out}0 t left join near on near.image_id = t.image_id and near.a = p and near.b = q)"
+        return f"{out}0 as (select s.image_id, s.{other}, g.p as {axis}, {part} from {source} s join range(8) g(p) on abs(2 * s.{axis} + 1 - g.p) <= 1 group by s.image_id, s.{other}, g.p), {out} as (select t.image_id, y, x, coalesce(own, case when p is null then q when q is null then p when p = q then p end, near.idx) as idx from {out}0 t left join near on near.image_id = t.image_id and near.a = p and near.b = q)"
 
     return f"with recursive {_COLOURS}, {near}, {small}, {filled('wide', 'small', 'x', 'y')}, {filled('tall', 'wide', 'y', 'x')} select image_id, cast(y as int) as y, cast(x as int) as x, idx from tall"
 

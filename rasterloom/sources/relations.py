@@ -17,10 +17,10 @@ def planes_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 48 elements of each embedding as a 4 x 4 RGB image: image_id, y, x, r, g, b."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("q"))
-    byte = lambda c: F.expr(f"cast(floor(least(1d, greatest(0d, cast(embedding[q * 3 + {c}] as double) + 0.5d)) * 255) as int)")
-    return e.select(F.col("vec_id").alias("image_id"), F.expr("cast(q div 4 as int)").alias("y"), (F.col("q") % 4).alias("x"), byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"))
+    """Each embedding as an 8 x 8 RGB image, every element in each channel, a third of the row apart: image_id, y, x, r, g, b."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    byte = lambda c: F.expr(f"cast(floor(least(1d, greatest(0d, cast(embedding[(p + {c}) % 64] as double) + 0.5d)) * 255) as int)")
+    return e.select(F.col("vec_id").alias("image_id"), F.expr("cast(p div 8 as int)").alias("y"), (F.col("p") % 8).alias("x"), byte(0).alias("r"), byte(21).alias("g"), byte(42).alias("b"))
 
 
 def raster_of_lineitem(spark: SparkSession, sf_dir: str, width: int = 100) -> DataFrame:
