@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .exchange import by_batch, in_buckets, read_answer, stage_batches, write_answers
 from .kernel import U64, Spans, member, pack_sorted, text_bytes, unpack_sorted
 
@@ -428,6 +429,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, hot: int = H
     least_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     staged, n = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), least_id.alias("_ord"), "text", *(F.col(f"`{c}`").alias(f"carry {i}") for i, c in enumerate(carry))), "repeats")
     slim = staged.select("_batch", "_ord", "text")
+    tidy(docs.sparkSession)
     anchors = slim.mapInArrow(_send_anchors(n, hot), "bucket int, batch int, keys binary, many binary, times binary")
     shared = write_answers(in_buckets(anchors, _answer_anchors(hot), "batch int, keys binary, hot binary"), n, "anchors")
     contexts = slim.mapInArrow(_send_contexts(2 * n, shared), "bucket int, batch int, hash binary, key binary, ord binary, windows binary, bytes binary")

@@ -81,6 +81,11 @@ def restage(df: DataFrame, name: str, last: str | None) -> tuple[DataFrame, str]
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver's collector run, so that shuffle files that no plan needs any more are removed from executors' disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_fs(uri: str):
     """(file system, path) of a shared folder, for use inside a Python worker."""
     from pyarrow import fs

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fs, shared_path, stage
+from .common import arrow_fs, shared_path, stage, tidy
 
 
 def stage_batches(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -29,6 +29,7 @@ def write_answers(answers: DataFrame, batches: int, name: str) -> str:
     """Writes answers (with the column batch) as one folder a batch; gives the root."""
     root = shared_path(answers.sparkSession, name)
     answers.repartition(batches, "batch").write.partitionBy("batch").parquet(root)
+    tidy(answers.sparkSession)
     return root
 
 

@@ -215,13 +215,16 @@ def _confirm(root: str, percent: int):
 
 def confirm(staged: DataFrame, batches: int, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links. Sets of the a travel to the batches of their b; texts stay."""
-    where = nodes.select(F.col("doc_id").alias("id"), "batch")
-    wanted = pairs.select(F.col("a").alias("id")).distinct().join(where, "id").select(F.col("id").alias("doc_id"), "batch")
-    sets = stage(staged.mapInArrow(_emit_sets(write_answers(wanted, batches, "wanted")), "doc_id long, shingles binary"), "sets")
-    placed = stage(pairs.join(where, pairs.b == where.id).select("a", "b", "batch"), "placed")
+    spark, where = staged.sparkSession, nodes.select(F.col("doc_id").alias("id"), "batch")
+    wanted = write_answers(pairs.select(F.col("a").alias("id")).distinct().join(where, "id").select(F.col("id").alias("doc_id"), "batch"), batches, "wanted")
+    sets, sets_path = restage(staged.mapInArrow(_emit_sets(wanted), "doc_id long, shingles binary"), "sets", wanted)
+    placed, placed_path = restage(pairs.join(where, pairs.b == where.id).select("a", "b", "batch"), "placed", None)
     hubs = placed.select("batch", "a").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a")
-    sent = placed.withColumn("shingles", F.lit(None).cast("binary")).unionByName(hubs.withColumn("b", F.lit(None).cast("long")))
-    return stage(staged.mapInArrow(_confirm(write_answers(sent, batches, "pairs"), percent), "a long, b long"), "links")
+    sent = write_answers(placed.withColumn("shingles", F.lit(None).cast("binary")).unionByName(hubs.withColumn("b", F.lit(None).cast("long"))), batches, "pairs")
+    links = stage(staged.mapInArrow(_confirm(sent, percent), "a long, b long"), "links")
+    for path in (sets_path, placed_path, sent):
+        delete(spark, path)
+    return links
 
 
 def _across(percent: int):
