@@ -10,11 +10,11 @@ from ..functions.scalar import eased, width_pixels
 from .stencil import along_columns, along_rows, tiled
 
 
-def edges(indexed: DataFrame, width: int) -> DataFrame:
+def edges(indexed: DataFrame, width: int, diagonals: bool = True) -> DataFrame:
     """Pixels whose right or lower neighbour has another cluster.
 
     image_id, edge_seq (raster order, right before down), x, y, ca, cb, lo, hi and the samples taken there: the
-    two pixels, then those of the neighbour's row at x - 1 to x + 1 that have its cluster.
+    two pixels, then (with diagonals) those of the neighbour's row at x - 1 to x + 1 that have its cluster.
     """
     t = tiled(indexed.select("image_id", "y", "x", "idx", "v"), 1)
     t = t.withColumn("me", F.struct("idx", "v")).withColumn("down", F.lead("me").over(along_columns()))
@@ -23,7 +23,9 @@ def edges(indexed: DataFrame, width: int) -> DataFrame:
 
     def side(nth: int, other: str, before: str, own: str, after: str):
         around = F.filter(F.array(before, own, after), lambda s: s["idx"] == F.col(other)["idx"])
-        samples = F.concat(F.array(F.col("v"), F.col(other)["v"]), F.transform(around, lambda s: s["v"]))
+        samples = F.array(F.col("v"), F.col(other)["v"])
+        if diagonals:
+            samples = F.concat(samples, F.transform(around, lambda s: s["v"]))
         return F.struct(F.lit(nth).alias("nth"), F.col(other)["idx"].alias("cb"), samples.alias("samples"))
 
     t = t.select("image_id", "y", "x", F.col("idx").alias("ca"), F.explode(F.array(side(0, "right", "left", "me", "right"), side(1, "down", "dl", "down", "dr"))).alias("s"))
@@ -96,13 +98,15 @@ def _emitted_by_lag(segments: DataFrame, threshold: float) -> DataFrame:
     return segments.withColumn("emits", (F.col("seg") == 0) | F.coalesce(differs, F.lit(False))).where("emits")
 
 
-def _emitted_by_fold(segments: DataFrame, threshold: float) -> DataFrame:
+def _emitted_by_fold(segments: DataFrame, threshold: float, directions: bool) -> DataFrame:
     """One array a pair and image, folded in order; distances are counted in tenths, which are whole numbers."""
 
     def step(out, s):
         last = F.element_at(out, -1)
         tenths = sum((F.when(last[f] != s[f], n).otherwise(0) for f, n in (("shape", 10), ("direction", 5), ("width", 3))), F.lit(0))
-        emits = (tenths >= F.lit(threshold * 10 - 1e-6)) | (last["direction"] != s["direction"])
+        emits = tenths >= F.lit(threshold * 10 - 1e-6)
+        if directions:
+            emits = emits | (last["direction"] != s["direction"])
         return F.when(emits, F.concat(out, F.array(s))).otherwise(out)
 
     rest = [c for c in segments.columns if c not in ("image_id", "lo", "hi")]
@@ -111,14 +115,15 @@ def _emitted_by_fold(segments: DataFrame, threshold: float) -> DataFrame:
     return t.select("image_id", "lo", "hi", "s.*")
 
 
-def descriptors(segments: DataFrame, threshold: float) -> DataFrame:
+def descriptors(segments: DataFrame, threshold: float, directions: bool = True) -> DataFrame:
     """Emitted descriptors: image_id, queue_idx, lo, hi, first_x, first_y, shape, direction, width, change.
 
     A segment emits if it is its pair's first, or differs from the last emitted descriptor by the threshold (shape
-    counts 1.0, direction 0.5, width 0.3) or in direction. Up to 1.0 that is a change against the previous segment
-    (of any field up to 0.3, else of shape or direction), so a lag suffices; above, a pair's segments are folded.
+    counts 1.0, direction 0.5, width 0.3) or, with directions, in direction. Up to 1.0 that is then a change against the
+    previous segment (of any field up to 0.3, else of shape or direction), so a lag suffices; else a pair's segments
+    are folded.
     """
-    t = _emitted_by_fold(segments, threshold) if threshold > 1.0 else _emitted_by_lag(segments, threshold)
+    t = _emitted_by_fold(segments, threshold, directions) if threshold > 1.0 or not directions else _emitted_by_lag(segments, threshold)
     queue = (F.row_number().over(W.partitionBy("image_id").orderBy("flush")) - 1).cast("long")
     return t.select("image_id", queue.alias("queue_idx"), "lo", "hi", "first_x", "first_y", "shape", "direction", "width", (F.col("seg") > 0).alias("change"))
 

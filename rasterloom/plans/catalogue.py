@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import entropy, gradients, noise, quantize, resample, stencil
-from ..sources import container, older
+from ..sources import container, formats, older
 from ..sources import relations as R
 from ..sources.shared import settled, shared_folder
 from . import layers, twins
@@ -271,6 +271,12 @@ def change_points_strict(spark, d):
     return gradients.descriptors(gradients.segments(gradients.edges(flat, EDGE), flat, 2), 1.2)
 
 
+def change_points_first(spark, d):
+    """The first encoder's rules: no diagonal samples, widths as found, and no change for a direction alone."""
+    flat, _ = _flat(spark, d)
+    return gradients.descriptors(gradients.segments(gradients.edges(flat, EDGE, False), flat, 4, False), 1.0, False)
+
+
 def apply_gradients(spark, d):
     flat, edge, seg = _segments(spark, d)
     return gradients.blended(flat, settled(edge.select("image_id", "lo", "hi", "edge_seq")), settled(gradients.descriptors(seg, 0.25)), EDGE).select("image_id", "y", "x", *_r("recon"))
@@ -465,6 +471,12 @@ def container_older_queue(spark, d):
     return one.selectExpr("1 version", "*").unionByName(two.selectExpr("2 version", "*"))
 
 
+def format_scan(spark, d):
+    """Images in four formats that Spark's image source doesn't read, by image_id, scanned as binary files' bytes."""
+    files = formats.write_files(R.rgb_of_embeddings(spark, d))
+    return formats.read_files(files, "image_id", "data")
+
+
 def nearest_palette(spark, d):
     ix, palette = _indexed(spark, d)
     pairs = gradients.first_seen(gradients.edges(ix, EDGE)).select("image_id", F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -555,8 +567,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         quantised_run_statistics, lab_convert, lab_roundtrip, lab_roundtrip_legacy, voxel_agg, quantize_bfs1d, quantize_direct, signal_palette, palette_decode, residual_plane, cluster_error, plane_ranges, half_float, descriptor_codes, descriptor_fields, easing,
-        med_encode, med_decode, rle, rle_roundtrip, run_key_freq, huffman_codes, huffman_bits, size_report, edges, pair_first_seen, segments, segment_shapes, change_points, change_points_strict, apply_gradients, reconstruct, pyramid,
-        subsample_odd, subsample_even, upsample_nearest, upsample_index_odd, upsample_index_even, upsample_index_box, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, container_layers, container_queue, container_reduced, container_dct, container_older_queue, apply_gradients_along, reconstruct_scaled, reconstruct_channels, reconstruct_rgb, layer_sum, subsample_short, resized, resize_error, first_samples, palette_errors, lab_mse, noise_uniform, noise_border, noise_normal, similar_border_blur, similar_colours, upsample_index_older, image_scan, bfs3d, colour_palette, container_first, container_second, container_roundtrip, png_files,
+        med_encode, med_decode, rle, rle_roundtrip, run_key_freq, huffman_codes, huffman_bits, size_report, edges, pair_first_seen, segments, segment_shapes, change_points, change_points_strict, change_points_first, apply_gradients, reconstruct, pyramid,
+        subsample_odd, subsample_even, upsample_nearest, upsample_index_odd, upsample_index_even, upsample_index_box, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, container_layers, container_queue, container_reduced, container_dct, container_older_queue, apply_gradients_along, reconstruct_scaled, reconstruct_channels, reconstruct_rgb, layer_sum, subsample_short, resized, resize_error, first_samples, palette_errors, lab_mse, noise_uniform, noise_border, noise_normal, similar_border_blur, similar_colours, upsample_index_older, image_scan, format_scan, bfs3d, colour_palette, container_first, container_second, container_roundtrip, png_files,
     )
 }
 
@@ -728,6 +740,7 @@ ORACLE |= {
     "segment_shapes": f"with {_BASE} select image_id, lo, hi, seg, shape, direction, width from t_sg",
     "change_points": f"with {_BASE} select {_QUEUE} from t_ds",
     "change_points_strict": f"with recursive {PX}, {twins.palette('t', 'px', EPS, STEPS)}, {twins.descriptors('t', EDGE, 2, 1.2)} select {_QUEUE} from t_ds",
+    "change_points_first": f"with recursive {PX}, {twins.palette('t', 'px', EPS, STEPS)}, {twins.descriptors('t', EDGE, 4, 1.0, True)} select {_QUEUE} from t_ds",
     "apply_gradients": f"with {_BASE}, {twins.blended('t', EDGE, False)} select image_id, y, x, round(recon, 6) as recon from t_out",
     "apply_gradients_along": f"with {_BASE}, {twins.blended('t', EDGE, False, True)} select image_id, y, x, round(recon, 6) as recon from t_out",
     "reconstruct": f"with {_TWO} select image_id, y, x, round(base, 6) as base, round(recon, 6) as recon from t",
@@ -750,6 +763,7 @@ ORACLE |= {
     "upsample_index_older": _older_sql(),
     "upsample_index_box": _box_sql(),
     "image_scan": f"with {RGB} select image_id, y, x, r, g, b from rgb",
+    "format_scan": f"with {RGB} select image_id, ['pnm', 'tga', 'psd', 'hdr'][image_id % 4 + 1] as format, y, x, " + ", ".join(f"case when image_id % 4 = 3 then {twins.hdr(c)} else {c} end as {c}" for c in "rgb") + " from rgb",
     "huffman_codes": _KINDS.replace("with ", "with recursive ", 1) + " select h.image_id, c.key, freq, case when entries = 1 then 0 else list_reduce(list_transform(string_split(c.code, ''), lambda t: cast(t as bigint)), lambda p, t: p * 2 + t) end as code, cast(greatest(1, length(c.code)) as int) as len from hf h join keys k on k.image_id = h.image_id and k.key = c.key",
     "huffman_bits": _KINDS.replace("with ", "with recursive ", 1) + ", t as (select h.image_id, cast(sum(freq * greatest(1, length(c.code))) as bigint) as bits, count(*) as entries from hf h join keys k on k.image_id = h.image_id and k.key = c.key group by h.image_id) select image_id, bits, entries, cast((bits + 7) // 8 as bigint) as bytes from t",
     "size_report": _report_sql(),

@@ -23,14 +23,14 @@ def palette(n: str, source: str, eps: float, steps: int) -> str:
 {n}_ix as (select p.image_id, p.y, p.x, p.v, c.idx, l.value as recon from {source} p join {n}_vc c on c.image_id = p.image_id and c.k = cast(floor(p.v / {eps}) as int) join {n}_pal l on l.image_id = p.image_id and l.idx = c.idx)"""
 
 
-def descriptors(n: str, width: int, segment: int, threshold: float) -> str:
-    """{n}_ed (edges), {n}_sg (segments with their descriptors) and {n}_ds (the queue), from {n}_ix."""
+def descriptors(n: str, width: int, segment: int, threshold: float, first: bool = False) -> str:
+    """{n}_ed (edges), {n}_sg (segments with their descriptors) and {n}_ds (the queue), from {n}_ix; first: by the first encoder's rules."""
     errors = ", ".join(f"round(sum(abs(least(1.0, greatest(0.0, (s - low) / nullif(high - low, 0))) - {ease('pos', str(k))})), 9) as e{k}" for k in (1, 2, 3))
     head = f"""{n}_ed as (select a.image_id, 2 * (cast(a.y as bigint) * {width} + a.x) + d.nth as edge_seq, a.x, a.y, a.idx as ca, b.idx as cb, least(a.idx, b.idx) as lo, greatest(a.idx, b.idx) as hi, a.v as va, b.v as vb, b.y as ny
 from {n}_ix a, (values (0, 1, 0), (1, 0, 1)) d(nth, dx, dy), {n}_ix b where b.image_id = a.image_id and b.x = a.x + d.dx and b.y = a.y + d.dy and a.idx <> b.idx),
 {n}_no as (select *, cast((row_number() over (partition by image_id, lo, hi order by edge_seq) - 1) // {segment} as int) as seg from {n}_ed),
 {n}_sm as (select image_id, lo, hi, seg, edge_seq, 0 as ord, va as s from {n}_no union all select image_id, lo, hi, seg, edge_seq, 1, vb from {n}_no
-union all select e.image_id, lo, hi, seg, edge_seq, 3 + p.x - e.x, p.v from {n}_no e join {n}_ix p on p.image_id = e.image_id and p.y = e.ny and p.x between e.x - 1 and e.x + 1 and p.idx = e.cb),
+union all select e.image_id, lo, hi, seg, edge_seq, 3 + p.x - e.x, p.v from {n}_no e join {n}_ix p on p.image_id = e.image_id and p.y = e.ny and p.x between e.x - 1 and e.x + 1 and p.idx = e.cb and {str(not first).lower()}),
 {n}_mn as (select image_id, idx, avg(v) as m from {n}_ix group by all),
 {n}_gr as (select image_id, lo, hi, seg, count(*) as n, max(edge_seq) as last_seq, max(x) - min(x) as sx, max(y) - min(y) as sy, arg_min(x, edge_seq) as first_x, arg_min(y, edge_seq) as first_y, arg_max(x, edge_seq) as last_x, arg_max(y, edge_seq) as last_y from {n}_no group by image_id, lo, hi, seg),
 {n}_lv as (select g.*, least(a.m, b.m) as low, greatest(a.m, b.m) as high from {n}_gr g join {n}_mn a on a.image_id = g.image_id and a.idx = lo join {n}_mn b on b.image_id = g.image_id and b.idx = hi),
@@ -39,15 +39,16 @@ union all select e.image_id, lo, hi, seg, edge_seq, 3 + p.x - e.x, p.v from {n}_
 {n}_sg as (select image_id, lo, hi, seg, n, last_seq, first_x, first_y,
 case when high - low < 1e-4 then 0 when least(e1, e2, e3) > round(0.3::double * many, 9) then 0 when e1 <= least(e2, e3) then 1 when e2 <= e3 then 2 else 3 end as shape,
 case when n < 2 then 0 when sx > 2 * sy then 0 when sy > 2 * sx then 1 when (last_x - first_x) * (last_y - first_y) >= 0 then 2 else 3 end as direction,
-least(3, 1 + case when inside <= 1 then 0 when inside <= 3 then 1 when inside <= 6 then 2 else 3 end) as width from {n}_lv join {n}_er using (image_id, lo, hi, seg))"""
-    if threshold <= 1.0:
+least(3, {0 if first else 1} + case when inside <= 1 then 0 when inside <= 3 then 1 when inside <= 6 then 2 else 3 end) as width from {n}_lv join {n}_er using (image_id, lo, hi, seg))"""
+    turned = "" if first else " or di <> u.direction"
+    if threshold <= 1.0 and not first:
         fields = ("shape", "direction", "width") if threshold <= 0.3 else ("shape", "direction")
         differs = " or ".join(f"{f} <> lag({f}) over p" for f in fields)
         emits = f"{n}_em as (select *, seg = 0 or coalesce({differs}, false) as emits from {n}_sg window p as (partition by image_id, lo, hi order by seg))"
     else:
         emits = f"""{n}_em as (select *, true as emits, shape as sh, direction as di, width as wi from {n}_sg where seg = 0 union all
 select s.*, e.e, case when e.e then s.shape else e.sh end, case when e.e then s.direction else e.di end, case when e.e then s.width else e.wi end from {n}_sg s join
-(select image_id, lo, hi, t.seg + 1 as seg, sh, di, wi, round((sh <> u.shape)::int * 1.0 + (di <> u.direction)::int * 0.5 + (wi <> u.width)::int * 0.3, 6) >= {threshold} or di <> u.direction as e
+(select image_id, lo, hi, t.seg + 1 as seg, sh, di, wi, round((sh <> u.shape)::int * 1.0 + (di <> u.direction)::int * 0.5 + (wi <> u.width)::int * 0.3, 6) >= {threshold}{turned} as e
 from {n}_em t join {n}_sg u using (image_id, lo, hi) where u.seg = t.seg + 1) e using (image_id, lo, hi, seg))"""
     queue = f"{n}_ds as (select image_id, cast(row_number() over (partition by image_id order by (n < {segment})::int, case when n < {segment} then 0 else last_seq end, lo, hi) - 1 as bigint) as queue_idx, lo, hi, first_x, first_y, shape, direction, width, seg > 0 as change from {n}_em where emits)"
     return f"{head},\n{emits},\n{queue}"
@@ -182,3 +183,8 @@ def gauss(radius: int) -> str:
     """Offsets and weights (dy, dx, w) of the similar borders' kernel."""
     rows = ", ".join(f"({dy}, {dx}, {math.exp(-(dy * dy + dx * dx) / (2 * (radius / 2) ** 2))!r}::double)" for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1))
     return f"(values {rows}) k(dy, dx, w)"
+
+
+def hdr(c: str) -> str:
+    """A byte as light of 1 / 256 of it, brought back to a byte by a gamma of 2.2."""
+    return f"cast(floor(least(255.0, power({c} / 256.0::double, 1 / 2.2::double) * 255 + 0.5)) as int)"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import scalar
 from rasterloom.operators import entropy, gradients, quantize, resample, stencil
 from rasterloom.plans import catalogue
-from rasterloom.sources import container, older
+from rasterloom.sources import container, formats, older
 from rasterloom.streaming import images
 
 DATA = "/root/testdata/sf0.001"
@@ -122,6 +122,23 @@ def test_pixels_that_arrive(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, want))
 
 
+def test_formats_by_hand():
+    """Files that the module's encoders don't write."""
+    grey = formats.decode_pnm(b"P5 # grey\n2 1\n#more\n65535\n" + bytes([1, 2, 200, 9]))
+    assert grey.tolist() == [[[1] * 3, [200] * 3]]
+    head = lambda kind, w, h, bits, flags, mapped=0, entries=0: struct.pack("<BBBHHBHHHHBB", 2, mapped, kind, 0, entries, 24 if mapped else 0, 0, 0, w, h, bits, flags) + b"id"
+    assert formats.decode_tga(head(2, 1, 2, 24, 0) + bytes([1, 2, 3, 4, 5, 6])).tolist() == [[[6, 5, 4]], [[3, 2, 1]]]  # from the bottom
+    assert formats.decode_tga(head(1, 2, 1, 8, 32, 1, 2) + bytes([1, 2, 3, 7, 8, 9, 1, 0])).tolist() == [[[9, 8, 7], [3, 2, 1]]]
+    assert formats.decode_tga(head(10, 4, 1, 24, 32) + bytes([1, 1, 2, 3, 4, 5, 6, 129, 7, 8, 9])).tolist() == [[[3, 2, 1], [6, 5, 4], [9, 8, 7], [9, 8, 7]]]
+    assert formats.decode_tga(head(2, 1, 1, 16, 32) + struct.pack("<H", 31 << 10 | 5)).tolist() == [[[255, 0, 41]]]
+    psd = b"8BPS" + struct.pack(">H6xHIIHH", 1, 3, 1, 4, 8, 3) + struct.pack(">I", 2) + b"ab" + bytes(8) + struct.pack(">HHHH", 1, 2, 5, 2) + bytes([253, 9, 3, 1, 2, 3, 4, 253, 7])
+    assert formats.decode_psd(psd).tolist() == [[[9, 1, 7], [9, 2, 7], [9, 3, 7], [9, 4, 7]]]
+    rle = b"#?RADIANCE\n\n-Y 1 +X 8\n" + bytes([2, 2, 0, 8]) + bytes([136, 64]) + bytes([8, *range(8)]) + bytes([132, 0, 4, 1, 2, 3, 4]) + bytes([136, 128])
+    light = (np.array([[64, g, b] for g, b in zip(range(8), [0] * 4 + [1, 2, 3, 4], strict=True)]) / 256) ** (1 / 2.2) * 255
+    assert np.abs(formats.decode_hdr(rle)[0] - light).max() <= 0.5
+    assert [formats.sniff(b) for b in (b"P6\n", psd, rle, head(2, 1, 1, 24, 0) + b"x", b"GIF89a", b"")] == ["pnm", "psd", "hdr", "tga", None, None]
+
+
 def test_half_floats(spark):
     values = [1.0009, -3.7, 0.25, 1e-6, 70000.0]
     t = spark.createDataFrame([(v,) for v in values], "v double").select(F.expr(scalar.half("v")).alias("h"))
@@ -150,7 +167,7 @@ def test_container_round_trip(spark):
 
 TWINS = """quantised_run_statistics med_decode pair_first_seen segment_shapes change_points_strict apply_gradients apply_gradients_along reconstruct_channels pyramid nearest_palette
 similar_colours near_boundary ssim upsample_index_odd upsample_index_older upsample_index_box resize_error noise_border noise_normal similar_border_blur lab_mse palette_errors layer_sum
-size_report container_layers container_queue container_reduced container_second container_dct container_older_queue descriptor_fields image_scan bfs3d huffman_codes""".split()
+size_report container_layers container_queue container_reduced container_second container_dct container_older_queue descriptor_fields change_points_first format_scan image_scan bfs3d huffman_codes""".split()
 
 
 @pytest.mark.parametrize("name", TWINS)
