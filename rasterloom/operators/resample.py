@@ -14,11 +14,15 @@ def nearest_in_box(pairs: DataFrame, palette: DataFrame, margin: float = 5.0) ->
     """(image_id, a, b, idx): the colour nearest to the middle of a and b among both and those in their box.
 
     palette has image_id, idx and l, a, b. The box spans both colours and the margin on every axis. Ties take a,
-    then b, then the least idx; squared distances that agree to six decimals tie, as those of a and b always do. Distinct pairs meet their image's palette by an equi-join on the image.
+    then b, then the least idx; squared distances that agree to six decimals tie, as those of a and b always do.
+    Distinct pairs meet the entries in the slices of l that their box spans.
     """
     colour = lambda p: palette.select("image_id", F.col("idx").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in "lab"))
     t = pairs.select("image_id", F.col("a").alias("p"), F.col("b").alias("q")).distinct()
-    t = t.join(colour("p"), ["image_id", "p"]).join(colour("q"), ["image_id", "q"]).join(colour("n"), "image_id")
+    slice_of = lambda c: F.floor(c / (2 * margin)).cast("int")
+    t = t.join(colour("p"), ["image_id", "p"]).join(colour("q"), ["image_id", "q"])
+    spanned = F.sequence(slice_of(F.least("p_l", "q_l") - margin), slice_of(F.greatest("p_l", "q_l") + margin))
+    t = t.withColumn("slice", F.explode(spanned)).join(colour("n").withColumn("slice", slice_of(F.col("n_l"))), ["image_id", "slice"])
     inside, distance = F.lit(True), F.lit(0.0)
     for c in "lab":
         p, q, n = (F.col(f"{k}_{c}") for k in "pqn")

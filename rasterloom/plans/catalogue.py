@@ -346,6 +346,11 @@ def palette_errors(spark, d):
     return quantize.error_summary(quantize.direct(planes, EPS), planes).select("image_id", *_r("mean_error", "worst_error", "reduction"), "index_bits")
 
 
+def channel_plane(spark, d):
+    """One channel of stacked Lab planes."""
+    return layers.channel_of(layers.stacked(_lab(R.rgb_of_embeddings(spark, d))), "a").select("image_id", "y", "x", *_r("v", digits=5))
+
+
 def lab_mse(spark, d):
     """Each Lab channel's error of images whose bytes were cut to four bits."""
     px = R.rgb_of_embeddings(spark, d)
@@ -568,7 +573,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         quantised_run_statistics, lab_convert, lab_roundtrip, lab_roundtrip_legacy, voxel_agg, quantize_bfs1d, quantize_direct, signal_palette, palette_decode, residual_plane, cluster_error, plane_ranges, half_float, descriptor_codes, descriptor_fields, easing,
         med_encode, med_decode, rle, rle_roundtrip, run_key_freq, huffman_codes, huffman_bits, size_report, edges, pair_first_seen, segments, segment_shapes, change_points, change_points_strict, change_points_first, apply_gradients, reconstruct, pyramid,
-        subsample_odd, subsample_even, upsample_nearest, upsample_index_odd, upsample_index_even, upsample_index_box, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, container_layers, container_queue, container_reduced, container_dct, container_older_queue, apply_gradients_along, reconstruct_scaled, reconstruct_channels, reconstruct_rgb, layer_sum, subsample_short, resized, resize_error, first_samples, palette_errors, lab_mse, noise_uniform, noise_border, noise_normal, similar_border_blur, similar_colours, upsample_index_older, image_scan, format_scan, bfs3d, colour_palette, container_first, container_second, container_roundtrip, png_files,
+        subsample_odd, subsample_even, upsample_nearest, upsample_index_odd, upsample_index_even, upsample_index_box, nearest_palette, similar_pairs, dct_block, dct_topk, idct_roundtrip, dct_residual, deblock, gauss3, median3, bilateral, soft_lowpass, region_blur, near_boundary, mse_psnr, ssim, difference_map, container_layers, container_queue, container_reduced, container_dct, container_older_queue, apply_gradients_along, reconstruct_scaled, reconstruct_channels, reconstruct_rgb, layer_sum, subsample_short, resized, resize_error, first_samples, palette_errors, channel_plane, lab_mse, noise_uniform, noise_border, noise_normal, similar_border_blur, similar_colours, upsample_index_older, image_scan, format_scan, bfs3d, colour_palette, container_first, container_second, container_roundtrip, png_files,
     )
 }
 
@@ -754,6 +759,7 @@ ORACLE |= {
     "resize_error": f"with {PX}, {_resized_sql('px', 'h', (8, 8), (4, 4))}, {_resized_sql('h', 'o', (4, 4), (8, 8))}, e as (select px.image_id, avg(power(px.v - o.v, 2)) as mse from px join o using (image_id, y, x) group by all) select image_id, round(mse, 9) as mse, round(10 * log10(1 / mse), 5) as psnr from e",
     "first_samples": f"{BASE} select image_id, cast(x + 1 as int) as nth, round(q, 6) as v from ({_DECODE}) where y = 0 and x < 5",
     "palette_errors": f"with {PX}, p as (select image_id, floor(v / {EPS}) as k, avg(v) as m, min(v) as lo, max(v) as hi from px group by all) select image_id, round(avg(greatest(m - lo, hi - m)), 6) as mean_error, round(max(greatest(m - lo, hi - m)), 6) as worst_error, round(64.0::double / count(*), 6) as reduction, cast(greatest(1, ceil(log2(count(*)))) as int) as index_bits from p group by image_id",
+    "channel_plane": f"with {RGB}, {_LABS} select image_id, y, x, round(a, 5) as v from lb",
     "lab_mse": f"with {RGB}, {_LABS}, cut as (select image_id, y, x, r // 16 * 16 + 8 as r, g // 16 * 16 + 8 as g, b // 16 * 16 + 8 as b from rgb), lc as {twins.lab('cut')}, e as (select p.image_id, avg(power(p.l - q.l, 2)) as l, avg(power(p.a - q.a, 2)) as a, avg(power(p.b - q.b, 2)) as b from lb p join lc q using (image_id, y, x) group by all) select image_id, channel, round(mse, 5) as mse from (unpivot e on l, a, b into name channel value mse)",
     "noise_uniform": _noise(_U),
     "noise_border": _noise(f"(case when near then 0.85 + {_U} * (1 - 0.85) else {_U} end)", _NEAR).replace("join vp using (image_id, idx))", "join vp using (image_id, idx) join nb using (image_id, y, x))"),
