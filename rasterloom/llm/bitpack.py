@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fs, shared_path
+from .common import arrow_fs, shared_path, together
 
 MAGIC = b"RLTK"
 HEAD = struct.Struct("<4sHHQQII")
@@ -240,7 +240,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, root: str) -
         task = TaskContext.get()
         encode = word_encoder(tokenizer_path)
         shard = ShardWriter(bits_for(max(encode.vocabulary, end_id + 1)))
-        for batch in batches:
+        for batch in together(batches, 1000, 4 << 20):  # a word's turn comes once in each
             ids, counts = encode(batch.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)
