@@ -88,10 +88,6 @@ def two_layers(n: str, source: str, eps: float, steps: int, width: int, residual
 {n} as (select b.image_id, b.y, b.x, b.v, b.recon as base, b.recon + r.recon / {scale} as recon from {n}b_out b join {n}r_out r using (image_id, y, x))"""
 
 
-def recursive(sql: str) -> str:
-    return sql.replace("with ", "with recursive ", 1)
-
-
 #: sRGB bytes r, g, b of a relation to l, a, b, from the published formulas.
 def lab(source: str, keep: str = "image_id, y, x") -> str:
     linear = lambda c: f"case when {c} / 255.0::double > 0.04045 then power(({c} / 255.0::double + 0.055) / 1.055, 2.4) else {c} / 255.0::double / 12.92 end"
