@@ -427,12 +427,12 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, hot: int = H
     with_text = carry is not None
     carry = carry or []
     least_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    staged, n = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), least_id.alias("_ord"), "text", *(F.col(f"`{c}`").alias(f"carry {i}") for i, c in enumerate(carry))), "repeats")
+    staged, n, buckets = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), least_id.alias("_ord"), "text", *(F.col(f"`{c}`").alias(f"carry {i}") for i, c in enumerate(carry))), "repeats")
     slim = staged.select("_batch", "_ord", "text")
     tidy(docs.sparkSession)
-    anchors = slim.mapInArrow(_send_anchors(n, hot), "bucket int, batch int, keys binary, many binary, times binary")
+    anchors = slim.mapInArrow(_send_anchors(buckets, hot), "bucket int, batch int, keys binary, many binary, times binary")
     shared = write_answers(in_buckets(anchors, _answer_anchors(hot), "batch int, keys binary, hot binary"), n, "anchors")
-    contexts = slim.mapInArrow(_send_contexts(2 * n, shared), "bucket int, batch int, hash binary, key binary, ord binary, windows binary, bytes binary")
+    contexts = slim.mapInArrow(_send_contexts(2 * buckets, shared), "bucket int, batch int, hash binary, key binary, ord binary, windows binary, bytes binary")
     marks = write_answers(in_buckets(contexts, _answer_contexts, "batch int, hash binary, ord binary, mask binary"), n, "marks")
     kinds = dict(docs.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", `carry {i}` {kinds[c]}" for i, c in enumerate(carry))

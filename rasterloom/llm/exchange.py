@@ -18,11 +18,16 @@ from pyspark.sql import functions as F
 from .common import arrow_fs, shared_path, stage, tidy
 
 
-def stage_batches(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """docs with the column _batch, rewritten to the shared folder, and the number of batches (at least 1)."""
+#: Bytes of text for each of which there is a bucket, so that what meets in a bucket doesn't grow with the batches.
+BUCKET_BYTES = 6 << 20
+
+
+def stage_batches(docs: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """docs (with a text) and the column _batch, rewritten to the shared folder; the number of batches and of buckets (at least 1)."""
     staged = stage(docs.withColumn("_batch", F.spark_partition_id()), name)
-    last = staged.agg(F.max("_batch")).first()[0]
-    return staged, (last or 0) + 1
+    last, size = staged.agg(F.max("_batch"), F.sum(F.octet_length("text").cast("long"))).first()
+    batches = (last or 0) + 1
+    return staged, batches, max(batches, (size or 0) // BUCKET_BYTES)
 
 
 def write_answers(answers: DataFrame, batches: int, name: str) -> str:

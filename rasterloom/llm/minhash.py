@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     nothing, has a null component and is kept. Rows of equal doc_id count as one document: they are linked
     through their id. Equal sets are linked without a comparison, others from percent of Jaccard similarity on. An empty table gives no rows.
     """
-    staged, batches = stage_batches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "near")
+    staged, batches, _ = stage_batches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "near")
     slim = staged.select("doc_id", "_batch", "text")
     described = stage(slim.mapInArrow(_describe, "doc_id long, batch int, n long, identity binary, bands array<long>, sketch binary"), "described")
     usable = described.where("doc_id is not null and n > 0")

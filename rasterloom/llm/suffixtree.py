@@ -366,14 +366,14 @@ def score(docs: DataFrame) -> DataFrame:
     repeat; an empty table gives none; other columns are ignored. Word counts and the tree are exact at any
     corpus size: a batch asks for its own words and grams, one entry each.
     """
-    staged, n = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", (~F.col("held_out")).alias("learn"), "text"), "lm")
+    staged, n, buckets = stage_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", (~F.col("held_out")).alias("learn"), "text"), "lm")
     message = "bucket int, batch int, keys binary, times binary"
     asked_root = shared_path(staged.sparkSession, "grams")
-    staged.select("_batch", "learn", "text").mapInArrow(_send(n, _gram_counts, _gram_bucket, True), message).write.partitionBy("batch").parquet(asked_root)
+    staged.select("_batch", "learn", "text").mapInArrow(_send(buckets, _gram_counts, _gram_bucket, True), message).write.partitionBy("batch").parquet(asked_root)
     asked = staged.sparkSession.read.schema(message).parquet(asked_root)
     top = staged.sparkSession.sparkContext.broadcast(learn_top(asked))
     gram_root = write_answers(in_buckets(asked.where(F.col("bucket") != TOP), _answer_grams(top), "batch int, message binary, reach binary, scores binary"), n, "gramscores")
-    sent = staged.select("_batch", "learn", "text").mapInArrow(_send(n, _word_counts, _word_bucket), message)
+    sent = staged.select("_batch", "learn", "text").mapInArrow(_send(buckets, _word_counts, _word_bucket), message)
     root = write_answers(in_buckets(sent, _answer_words, "batch int, keys binary, counts binary, tokens long, kinds long"), n, "words")
     spark = staged.sparkSession
     tokens, kinds = 0, 0
