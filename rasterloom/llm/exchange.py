@@ -20,6 +20,8 @@ from .common import arrow_fs, shared_path, stage, tidy
 
 #: Bytes of text for each of which there is a bucket, so that what meets in a bucket doesn't grow with the batches.
 BUCKET_BYTES = 6 << 20
+#: Most buckets, as each batch may send a message to each of them; from 400 GB of text on, buckets grow instead.
+MOST_BUCKETS = 1 << 16
 
 
 def stage_batches(docs: DataFrame, name: str) -> tuple[DataFrame, int, int]:
@@ -27,7 +29,7 @@ def stage_batches(docs: DataFrame, name: str) -> tuple[DataFrame, int, int]:
     staged = stage(docs.withColumn("_batch", F.spark_partition_id()), name)
     last, size = staged.agg(F.max("_batch"), F.sum(F.octet_length("text").cast("long"))).first()
     batches = (last or 0) + 1
-    return staged, batches, max(batches, (size or 0) // BUCKET_BYTES)
+    return staged, batches, min(MOST_BUCKETS, max(batches, (size or 0) // BUCKET_BYTES))
 
 
 def write_answers(answers: DataFrame, batches: int, name: str) -> str:
