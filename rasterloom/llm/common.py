@@ -68,7 +68,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and rereads it, which cuts its lineage at a table that outlives executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,7 +76,7 @@ def restage(df: DataFrame, name: str, last: str | None) -> tuple[DataFrame, str]
     """As stage, for rounds: (rows reread, their folder); the folder of the last round, which df was made from, is deleted."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/rasterloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if last:
         delete(spark, last)
     return spark.read.schema(df.schema).parquet(path), path

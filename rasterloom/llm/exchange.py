@@ -19,8 +19,8 @@ from .common import arrow_fs, shared_path, stage, tidy
 
 
 #: Bytes of text for each of which there is a bucket, so that what meets in a bucket doesn't grow with the batches.
-BUCKET_BYTES = 6 << 20
-#: Most buckets, as each batch may send a message to each of them; from 400 GB of text on, buckets grow instead.
+BUCKET_BYTES = 12 << 20
+#: Most buckets, as each batch may send a message to each of them; from 800 GB of text on, buckets grow instead.
 MOST_BUCKETS = 1 << 16
 
 
@@ -35,7 +35,7 @@ def stage_batches(docs: DataFrame, name: str) -> tuple[DataFrame, int, int]:
 def write_answers(answers: DataFrame, batches: int, name: str) -> str:
     """Writes answers (with the column batch) as one folder a batch; gives the root."""
     root = shared_path(answers.sparkSession, name)
-    answers.repartition(batches, "batch").write.partitionBy("batch").parquet(root)
+    answers.repartition(batches, "batch").write.partitionBy("batch").option("compression", "zstd").parquet(root)
     tidy(answers.sparkSession)
     return root
 
